@@ -1,0 +1,7 @@
+"""Queries of the document-analytics operators, by name, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "q_bm25"
