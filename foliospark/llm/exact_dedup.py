@@ -62,7 +62,7 @@ def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[Dat
     rows = cut(
         text.select("rid", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform("blocks", key).alias("keys"))
     )
-    blocks = text.select(F.explode("blocks").alias("block")).select(
+    blocks = text.select(F.explode_outer("blocks").alias("block")).select(
         F.xxhash64("block").alias("k1"), F.xxhash64(F.lit(17), F.col("block")).alias("k2"), "block"
     )
     names, by = _block_names(blocks)

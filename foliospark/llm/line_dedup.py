@@ -47,7 +47,8 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     Chunks are grouped by digest and by their own bytes, partly before the shuffle, so a chunk that a third of
     all documents hold arrives as one row per task. A digest that two different texts share removes nothing.
     """
-    chunk = with_chunks(docs, window, divisor).select("doc_id", "key", F.explode("chunks").alias("c"))
+    # outer: a filter inferred from explode would be pushed below the projections and inline them into lambdas
+    chunk = with_chunks(docs, window, divisor).select("doc_id", "key", F.explode_outer("chunks").alias("c"))
     chunk = chunk.filter((F.col("c.n") >= min_lines) & F.col("c.body").rlike(r"\S"))
     chunk = chunk.select("doc_id", "key", "c.idx", "c.n", F.md5("c.body").alias("digest"), "c.body")
     place = F.struct("doc_id", "idx")

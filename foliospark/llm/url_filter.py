@@ -75,8 +75,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     wanted = F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("cast(array() as array<int>)")
     expressions = (
         address.filter("host != ''")
-        .withColumn("suffix", F.explode(suffixes))
-        .withColumn("size", F.explode(F.filter(wanted, lambda n: n <= F.length("path"))))
+        .withColumn("suffix", F.explode_outer(suffixes))
+        .withColumn("size", F.explode_outer(F.filter(wanted, lambda n: n <= F.length("path"))))
         .withColumn("digest", F.sha2(F.expr("concat(suffix, '\\0', left(path, size))"), 256))
         .select("host", "path", F.substring("digest", 1, PREFIX_DIGITS).alias("short"), "digest")
     )
