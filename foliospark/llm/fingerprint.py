@@ -96,33 +96,28 @@ def document_fingerprints(docs: DataFrame, k: int = K, size: int = TUPLE) -> Dat
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next
     document by descending doc_id. A null text is an empty one; its fingerprint is the empty string. A null
-    doc_id sorts below all others. An id that occurs several times is one document of the order: as a next
+    doc_id sorts below all others (and the least bigint is taken for one). An id that occurs several times is one document of the order: as a next
     document it stands for its smallest opening and its smallest fingerprint; each of its rows gets a row. An
     empty table gives an empty result. Other columns are not read.
     """
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
+    none = F.lit(-(2**63))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = cut(base.groupBy("v").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("need")))
     links = cut(next_descending(sizes).join(sizes, "v"))
-    openings = (
-        base.join(links.select(F.col("v").alias("to"), F.col("next").alias("v"), "need"), "v")
-        .groupBy("to")
-        .agg(F.min(F.expr("left(text, need)")).alias("opening"))
-    )
-    both = base.join(openings.withColumnRenamed("to", "v"), "v").withColumn("n", F.length("text"))
-    both = both.select("doc_id", "v", "text", "n", F.expr("concat(left(text, n - n div 3), left(opening, cast(n div 3 as int)))").alias("edited"))
+    # both uses of base are dealt by v with the same columns, so the texts are shuffled once; what travels to the
+    # document before is an opening of a third of its size and one fingerprint
+    sent = base.join(links.select(F.col("v").alias("to"), F.col("next").alias("v"), "need"), "v")
+    sent = fingerprint_columns(sent, "text", "nfp", k, size).select("to", F.expr("left(text, need)").alias("opening"), "nfp")
+    received = sent.groupBy("to").agg(F.min("opening").alias("opening"), F.min("nfp").alias("nfp"))
+    both = base.join(received.withColumnRenamed("to", "v"), "v").withColumn("n", F.length("text"))
+    both = both.select("v", "text", "n", "nfp", F.expr("concat(left(text, n - n div 3), left(opening, cast(n div 3 as int)))").alias("edited"))
     both = fingerprint_columns(fingerprint_columns(both, "text", "fp", k, size), "edited", "efp", k, size)
-    rows = cut(both.select("doc_id", "v", F.col("n").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp"))
-    following = (
-        rows.groupBy("v").agg(F.min("fp").alias("next_fp"))
-        .join(links.select(F.col("v").alias("to"), F.col("next").alias("v")), "v")
-        .select(F.col("to").alias("v"), "next_fp")
-    )
-    return rows.join(following, "v").select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
+    return both.select(
+        F.nullif(F.col("v"), none).alias("doc_id"),
+        F.col("n").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
     )
