@@ -1 +1 @@
-
+"""Scalar functions: text, cleaners, tokens, keys."""

@@ -1 +1 @@
-
+"""Structured Streaming into the same tables."""
