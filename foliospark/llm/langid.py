@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from foliospark.llm.common import held_out, small_batches
 
@@ -43,7 +42,8 @@ SCRIPTS = [
 _STARTS = [s for s, _ in SCRIPTS]
 SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 _SCRIPT_INDEX = [SCRIPT_NAMES.index(name) for _, name in SCRIPTS]
-words_of = re.compile(r"[^\W\d_]+").finditer
+_WORD = re.compile(r"[^\W\d_]+")
+words_of, all_words = _WORD.finditer, _WORD.findall
 
 
 def script_of(word: str) -> int:
@@ -54,10 +54,32 @@ def script_of(word: str) -> int:
     return -1
 
 
-def buckets_of(word: str) -> list[int]:
-    """Hash buckets of the character n-grams of a lower-cased word between boundary marks."""
-    w = f"<{word.lower()}>"
-    return [xxh32_intdigest(w[i : i + n]) & (BUCKETS - 1) for n in ORDERS for i in range(len(w) - n + 1)]
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, hash bucket) of every character n-gram of lower-cased words between boundary marks.
+
+    The words' code points stand in one array; an n-gram's hash is a polynomial of n of them, and those that would
+    run across a word's end are left out.
+    """
+    lowered = [f"<{w.lower()}>" for w in words]
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
+    owners, buckets = [], []
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        m = len(codes) - n + 1
+        if m <= 0:
+            break
+        h = h[:m] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        if n in ORDERS:
+            mixed = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            inside = left[:m] >= n
+            owners.append(owner[:m][inside])
+            buckets.append((mixed >> np.uint64(48)).astype(np.int64)[inside])
+    if not owners:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 class Model:
@@ -73,14 +95,13 @@ class Model:
         self.candidates = share >= SCRIPT_SHARE
         self.candidates[~self.candidates.any(axis=1)] = True  # a script that was never seen excludes nobody
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Scores relative to the best language; None for a word without a letter."""
-        script = script_of(word)
-        if script < 0:
-            return None
-        score = self.table[buckets_of(word)].sum(axis=0) / len(ORDERS)
-        score = np.where(self.candidates[script], score, -np.inf)
-        return np.maximum(score - score.max(), np.where(self.candidates[script], -WORD_LIMIT, UNLIKELY))
+    def scores(self, words: list[str], scripts: np.ndarray) -> np.ndarray:
+        """(word, language), relative to each word's best candidate."""
+        owner, bucket = buckets_of(words)
+        score = np.stack([np.bincount(owner, column[bucket], minlength=len(words)) for column in self.table.T], axis=1) / len(ORDERS)
+        able = self.candidates[scripts]
+        score = np.where(able, score, -np.inf)
+        return np.maximum(score - score.max(axis=1, keepdims=True), np.where(able, -WORD_LIMIT, UNLIKELY)).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -89,12 +110,12 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, switch: fl
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     order = np.argsort(-lengths, kind="stable")
     begin, size = starts[order], lengths[order]
-    out = np.zeros(len(ids), np.int64)
+    out = np.zeros(len(ids), np.int16)
     longest = int(size[0]) if len(size) else 0
     if not longest:
         return out
     active = np.searchsorted(-size, -np.arange(longest), "left")
-    moved, best_before = np.zeros((len(ids), n_labels), bool), np.zeros(len(ids), np.int64)
+    moved, best_before = np.zeros((len(ids), n_labels), bool), np.zeros(len(ids), np.int16)
     value = scores[ids[begin[: active[0]]]].astype(np.float64)
     final = value.copy()
     for t in range(1, longest):
@@ -118,60 +139,62 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, switch: fl
 
 
 class Labeller:
-    """Labels texts; remembers the scores of words it has met, up to a bound."""
+    """Labels texts. Word scores are remembered up to a bound; texts are decoded together up to a number of words,
+    so that the steps through the longest of them are shared by many."""
 
-    REMEMBER = 200_000
+    REMEMBER, TOGETHER = 200_000, 1_500_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-
-    def __call__(self, texts: list[str]) -> list[tuple[str, float, str]]:
+        self.rows = np.empty((0, len(model.langs)), np.float32)
+        self.sizes = np.empty(0, np.int64)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words that have a letter, text after text, and how many each text has."""
+        known = self.known
+        found = [all_words(t) for t in texts]
+        new = list(dict.fromkeys(w for ws in found for w in ws if w not in known))
+        scripts = np.fromiter(map(script_of, new), np.int64, len(new))
+        good = [w for w, s in zip(new, scripts, strict=True) if s >= 0]
+        known.update(dict.fromkeys((w for w, s in zip(new, scripts, strict=True) if s < 0), -1))
+        known.update(zip(good, range(len(self.rows), len(self.rows) + len(good)), strict=True))
+        if good:
+            self.rows = np.concatenate([self.rows, self.model.scores(good, scripts[scripts >= 0])])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, good), np.int64, len(good))])
+        ids = [np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)) for ws in found]
+        ids = [i[i >= 0] if len(i) and i.min() < 0 else i for i in ids]
+        return (np.concatenate(ids) if ids else np.empty(0, np.int32)), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def label(self, texts: list[str], ids: np.ndarray, lengths: np.ndarray) -> list[tuple[str, float, str]]:
         """(language, share of the letters in its spans, spans as lang:start:end in code points) of each text."""
-        langs, found = self.model.langs, []
-        if not langs:
-            return [("und", 0.0, "")] * len(texts)
-        if len(self.known) > self.REMEMBER:
-            self.forget()
-        ids, lengths, places = [], [], []
-        for text in texts:
-            n = 0
-            for m in words_of(text):
-                w = m[0]
-                i = self.known.get(w)
-                if i is None:
-                    score = self.model.word(w)
-                    i = -1 if score is None else len(self.rows)
-                    if score is not None:
-                        self.rows.append(score)
-                    self.known[w] = i
-                if i >= 0:
-                    ids.append(i)
-                    places.append(m.span())
-                    n += 1
-            lengths.append(n)
-        if not ids:
-            return [("und", 0.0, "")] * len(texts)
-        labels = viterbi(np.array(self.rows), np.array(ids), np.array(lengths))
-        spots = np.array(places)
-        at = 0
-        for n in lengths:
+        langs, out, at = self.model.langs, [], 0
+        labels = viterbi(self.rows, ids, lengths)
+        sizes = self.sizes[ids]
+        for text, n in zip(texts, lengths, strict=True):
             if not n:
-                found.append(("und", 0.0, ""))
+                out.append(("und", 0.0, ""))
                 continue
-            own, spot = labels[at : at + n], spots[at : at + n]
+            own = labels[at : at + n]
+            letters = np.bincount(own, sizes[at : at + n], minlength=len(langs))
             at += n
-            letters = np.bincount(own, spot[:, 1] - spot[:, 0], minlength=len(langs))
+            spots = [m.span() for m in words_of(text) if script_of(m[0]) >= 0] if (own != own[0]).any() else ends_of(text)
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             last = np.concatenate([first[1:], [n]]) - 1
-            spans = ",".join(f"{langs[own[f]]}:{spot[f, 0]}:{spot[e, 1]}" for f, e in zip(first, last, strict=True))
+            spans = ",".join(f"{langs[own[f]]}:{spots[f][0]}:{spots[e if len(spots) == n else -1][1]}" for f, e in zip(first, last, strict=True))
             k = int(letters.argmax())
-            found.append((langs[k], float(letters[k] / letters.sum()), spans))
-        return found
+            out.append((langs[k], float(letters[k] / letters.sum()), spans))
+        return out
+
+
+def ends_of(text: str) -> list[tuple[int, int]]:
+    """Spans of the first and the last word with a letter."""
+    spans = (m.span() for m in words_of(text) if script_of(m[0]) >= 0)
+    first = next(spans)
+    last = next(i for i in range(len(text) - 1, -1, -1) if text[i].isalpha())
+    while last + 1 < len(text) and all_words(text[last + 1]):
+        last += 1  # a number sign inside the word, as in a letter with a superscript
+    return [first, (last, last + 1)]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -195,17 +218,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             words: Counter = Counter()
             for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words.update((lang, m[0]) for m in words_of(text))
-            total: Counter = Counter()
-            for (lang, word), n in words.items():
-                for b in buckets_of(word):
-                    total[lang, b] += n
-                if (s := script_of(word)) >= 0:
-                    total[lang, BUCKETS + s] += n * len(word)
-            rows = list(total.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())],
-                ["lang", "bucket", "n"],
-            )
+            for lang in sorted({k for k, _ in words}):
+                own = [(w, n) for (k, w), n in words.items() if k == lang]
+                times = np.array([n for _, n in own], np.float64)
+                owner, bucket = buckets_of([w for w, _ in own])
+                scripts = np.fromiter((script_of(w) for w, _ in own), np.int64, len(own))
+                letters = np.fromiter((len(w) * n for w, n in own), np.float64, len(own))
+                total = np.bincount(bucket, times[owner], minlength=BUCKETS + len(SCRIPT_NAMES))
+                total[BUCKETS:] += np.bincount(scripts[scripts >= 0], letters[scripts >= 0], minlength=len(SCRIPT_NAMES))
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], ["lang", "bucket", "n"]
+                )
 
     learned = chosen.select("text", "lang").mapInArrow(count, "lang string, bucket int, n bigint")
     table = learned.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -224,12 +248,29 @@ def language_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = Labeller(model.value)
+        names = ["doc_id", "lang_pred", "score", "spans"]
+        kinds = [pa.string(), pa.float64(), pa.string()]
+        if not model.value.langs:
+            for part in parts:
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([v] * n, k) for v, k in zip(("und", 0.0, ""), kinds, strict=True)]], names)
+            return
+        worker, held = Labeller(model.value), []
+
+        def flush() -> pa.RecordBatch:
+            docs_, texts = pa.concat_arrays([h[0] for h in held]), [t for h in held for t in h[1]]
+            found = worker.label(texts, np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]))
+            held.clear()
+            if len(worker.known) > worker.REMEMBER:
+                worker.__init__(model.value)
+            return pa.RecordBatch.from_arrays([docs_, *[pa.array([f[k] for f in found], kinds[k]) for k in range(3)]], names)
+
         for part in parts:
-            found = label([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.string())],
-                ["doc_id", "lang_pred", "score", "spans"],
-            )
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            held.append((part.column(0), texts, *worker.ids(texts)))
+            if sum(len(h[2]) for h in held) >= worker.TOGETHER:
+                yield flush()
+        if held:
+            yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(batches, "doc_id bigint, lang_pred string, score double, spans string")
