@@ -61,7 +61,7 @@ def q_governor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.admit(rows, limits, "step").select("step", "refused")
 
 
-@register(oracle="SELECT * FROM (VALUES ('gpt-4o-mini', 115200, 113700), ('gpt-4o', 115200, 113700), ('gpt-4.1', 942819, 941319), ('gpt-4.1-mini', 942819, 941319), ('text-embedding-3-small', 7371, 5871), ('mock', 28800, 27300)) v(id, usable, input_room)")
+@register(oracle="SELECT * FROM (VALUES ('gpt-4o-mini', 115200, 113700), ('gpt-4o', 115200, 113700), ('gpt-4.1', 942818, 941318), ('gpt-4.1-mini', 942818, 941318), ('text-embedding-3-small', 7371, 5871), ('mock', 28800, 27300)) v(id, usable, input_room)")
 def q_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.models(spark).select("id", *[c.alias(k) for k, c in M.budget().items()])
 

@@ -44,18 +44,15 @@ def q_retrieve_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.filter((F.col("score") >= 0.2) | (F.col("rank") == 1)).select("label", "vec_id", "score", "rank")
 
 
-_GAIN = "round(0.5 * s.score - 0.5 * {0}, 9)"
-
-
 @register(oracle=f"""
     WITH {_SCORED},
     pool AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 50),
     one AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1),
     two AS (SELECT p.*, list_cosine_similarity(p.embedding::DOUBLE[], o.embedding::DOUBLE[]) AS sim FROM pool p JOIN one o USING (label) WHERE p.vec_id <> o.vec_id
             QUALIFY row_number() OVER (PARTITION BY label ORDER BY 0.5 * p.score - 0.5 * sim DESC, p.vec_id) = 1),
-    three AS (SELECT p.label, p.vec_id, p.score, greatest(list_cosine_similarity(p.embedding::DOUBLE[], o.embedding::DOUBLE[]), list_cosine_similarity(p.embedding::DOUBLE[], t.embedding::DOUBLE[])) AS sim
+    three AS (SELECT p.label, p.vec_id, p.score, greatest(list_cosine_similarity(p.embedding::DOUBLE[], o.embedding::DOUBLE[]), list_cosine_similarity(p.embedding::DOUBLE[], t.embedding::DOUBLE[])) AS sim3
             FROM pool p JOIN one o USING (label) JOIN two t USING (label) WHERE p.vec_id NOT IN (o.vec_id, t.vec_id)
-            QUALIFY row_number() OVER (PARTITION BY label ORDER BY 0.5 * p.score - 0.5 * sim DESC, p.vec_id) = 1)
+            QUALIFY row_number() OVER (PARTITION BY label ORDER BY 0.5 * p.score - 0.5 * sim3 DESC, p.vec_id) = 1)
     SELECT label, vec_id, score, 1 AS position FROM one UNION ALL SELECT label, vec_id, score, 2 FROM two UNION ALL SELECT label, vec_id, score, 3 FROM three""")
 def q_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mmr(scored_vectors(spark, sf_dir), "vec_id", "score", "embedding", 3, 0.5, "label", pool=50)
@@ -100,12 +97,12 @@ def q_scale01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(oracle=f"""
     WITH {_bm25_sql()}, {_SCORED}, j AS (SELECT vec_id, s.score AS cos, b.score AS bm FROM s JOIN b ON vec_id = doc_id), m AS (SELECT min(bm) AS lo, max(bm) AS hi FROM j)
-    SELECT vec_id, round(0.5 * cos + 0.5 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0.5 END, 5) AS hybrid FROM j, m""")
+    SELECT vec_id, round(0.5 * cos + 0.5 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0.5 END, 4) AS hybrid FROM j, m""")
 def q_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = scored_vectors(spark, sf_dir).select("vec_id", F.col("score").alias("cos"))
     joined = vectors.join(bm25_scores(spark, sf_dir).withColumnRenamed("doc_id", "vec_id"), "vec_id")
     scaled = R.scale01(joined, "score", "scaled")
-    return scaled.select("vec_id", F.round(0.5 * F.col("cos") + 0.5 * F.col("scaled"), 5).alias("hybrid"))
+    return scaled.select("vec_id", F.round(0.5 * F.col("cos") + 0.5 * F.col("scaled"), 4).alias("hybrid"))
 
 
 @register()

@@ -48,6 +48,11 @@ def lexical_embed(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIO
     return slots.select(key, "slot", (F.col("w") / size).alias("weight"))
 
 
+def times(terms: str, word: str) -> Column:
+    """How often a word stands in an array of terms."""
+    return F.size(F.filter(terms, lambda t: t == F.lit(word)))
+
+
 def bm25(df: DataFrame, key: str, text: str, query_terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of every row. N counts all rows, the mean length those that have terms.
 
@@ -56,7 +61,7 @@ def bm25(df: DataFrame, key: str, text: str, query_terms: list[str], k1: float =
     """
     wanted = sorted(set(query_terms))
     terms = lexical_terms(F.col(text), 2)
-    counts = F.array(*[F.size(F.filter("terms", lambda t, w=w: t == w)) for w in wanted]) if wanted else F.expr("cast(array() as array<int>)")
+    counts = F.array(*[times("terms", w) for w in wanted]) if wanted else F.expr("cast(array() as array<int>)")
     rows = df.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), counts.alias("f"))
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col("len") > 0, F.col("len"))), F.lit(1.0)).alias("avg"),

@@ -138,9 +138,12 @@ def find_passages(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataF
     text = docs.select("doc_id", squeeze(F.col("text")).alias("body"))
     sizes = [r[0] for r in keyed.select("n").distinct().collect()]  # at most ``words`` values
     shingles = text.withColumn("w", F.split("body", " "))
-    runs = F.array_distinct(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.array_join(F.slice("w", i, n), " "))) for n in sizes
-    ]))) if sizes else F.expr("cast(array() as array<bigint>)")
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+
+    runs = F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in sizes]))) if sizes else F.expr("cast(array() as array<bigint>)")
     hits = shingles.select("doc_id", "body", F.explode_outer(runs).alias("h")).join(keyed, "h")
     return hits.filter(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))).select("item_id", "doc_id").distinct()
 

@@ -201,7 +201,7 @@ def score_chunks(chunks: DataFrame, question: str) -> DataFrame:
     terms = spark.range(1).select(F.explode(F.array_distinct(lexical_terms(F.lit(question)))).alias("t"))
     wanted = sorted(r[0] for r in terms.collect())  # the question's own words
     own = chunks.withColumn("_t", lexical_terms(F.col("text"))).withColumn("_len", F.size("_t"))
-    own = own.withColumns({f"_f{i}": F.size(F.filter("_t", lambda x, w=w: x == w)) for i, w in enumerate(wanted)}).drop("_t")
+    own = own.withColumns({f"_f{i}": R.times("_t", w) for i, w in enumerate(wanted)}).drop("_t")
     stats = own.groupBy("document").agg(
         F.count(F.lit(1)).alias("_n"), F.coalesce(F.avg(F.when(F.col("_len") > 0, F.col("_len"))), F.lit(1.0)).alias("_avg"),
         *[F.sum((F.col(f"_f{i}") > 0).cast("int")).alias(f"_d{i}") for i in range(len(wanted))],
