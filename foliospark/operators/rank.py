@@ -40,6 +40,19 @@ def lexical_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return bind(bind(slots, weigh), lambda w: bind(norm(w), lambda z: F.when(z > 0, F.transform(w, lambda x: x / z)).otherwise(w)))
 
 
+#: name -> Column of texts to Column of vectors; registering a name again replaces it.
+EMBEDDERS = {"lexical": lexical_vector}
+
+
+def embed(df: DataFrame, text: str, out: str, embedder: str = "lexical", fallback: str | None = "lexical") -> DataFrame:
+    """Add ``out`` and ``embedding_source``. A vector that is null, ragged or not finite is replaced by the fallback's,
+    flagged as such; without a fallback it is an error."""
+    made = df.withColumn("_v", EMBEDDERS[embedder](F.col(text)))
+    bad = F.col("_v").isNull() | (F.size("_v") == 0) | F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    other = EMBEDDERS[fallback](F.col(text)) if fallback else F.raise_error(F.lit("a vector is not finite")).cast("array<double>")
+    return made.select(*df.columns, F.when(bad, other).otherwise(F.col("_v")).alias(out), F.when(bad, F.lit(fallback)).otherwise(F.lit(embedder)).alias("embedding_source"))
+
+
 def lexical_embed(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Sparse form for corpora: (key, slot, weight), from partial counts; unit length per key."""
     terms = df.select(key, F.explode(lexical_terms(F.col(text), 3)).alias("term"))

@@ -367,3 +367,22 @@ def chunk_stats(chunks: DataFrame, cap: int, *by: str) -> DataFrame:
         F.percentile("tokens", F.lit(0.5)).alias("median_tokens"), F.round(F.avg("tokens"), 1).alias("mean_tokens"),
         F.max("tokens").alias("max_tokens"), F.sum(F.when(F.col("tokens") > cap, 1).otherwise(0)).alias("over_cap"),
     )
+
+
+def seg_proposition(blocks: DataFrame, client, batch_tokens: int = 900) -> DataFrame:
+    """Batches of at most ``batch_tokens`` words, each rewritten by the model as a JSON array of statements.
+
+    A batch whose call fails or whose reply does not parse is kept word for word. Statements carry no page or section.
+    """
+    from foliospark.operators.model import call, read_json
+
+    batches = seg_paragraph(_shaped(blocks), SegmentSpec("paragraph", batch_tokens).clamped())
+    asked = call(batches.withColumn("prompt", F.concat(F.lit("STATEMENTS:\n\n"), "text")), client)
+    said = F.filter(F.coalesce(read_json(F.col("reply"), "array<string>"), F.expr("cast(array() as array<string>)")), lambda x: x.isNotNull() & has_content(x))
+    rows = asked.select("document", "chunk_id", F.posexplode(F.when(F.col("ok") & (F.size(said) > 0), said).otherwise(F.array("text"))).alias("k", "statement"))
+    n = F.row_number().over(Window.partitionBy("document").orderBy("chunk_id", "k"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        "document", n.alias("chunk_id"), F.col("statement").alias("text"), count_words(F.col("statement")).alias("tokens"), F.length("statement").alias("chars"),
+        none("int").alias("page"), none("string").alias("section"), none("int").alias("block_id"),
+    )

@@ -1,7 +1,7 @@
 """Reading strategies: plans that turn chunks and a question into one answer a document around the call operator.
 
 Every reader takes chunks(document, chunk_id, text, tokens) and returns
-answers(document, reader, answer, not_found, partial, chunks_used, calls). A strategy's map step is one call over a
+answers(document, reader, answer, not_found, premise, partial, chunks_used, calls). A strategy's map step is one call over a
 DataFrame of prompts; its reduce step is a grouped aggregation; loops have a bound known beforehand and cut their
 lineage through the shared checkpoint folder.
 """
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import NONE, NOT_FOUND, count_words, is_none_reply, is_not_found, lexical_terms
+from foliospark.functions.text import NONE, NOT_FOUND, count_words, is_none_reply, is_not_found, lexical_terms, premise_split
 from foliospark.operators import rank as R
 from foliospark.operators.model import Client, call
 from foliospark.session import cut
@@ -74,9 +74,10 @@ def _ask(df: DataFrame, client: Client) -> DataFrame:
 
 
 def _answers(df: DataFrame, reader: str) -> DataFrame:
-    """Shape to the contract; blank answers count as not found."""
-    answer = F.coalesce("answer", F.lit(NOT_FOUND))
-    return df.select("document", F.lit(reader).alias("reader"), answer.alias("answer"), is_not_found(answer).alias("not_found"), "partial", "chunks_used", F.col("calls").cast("bigint").alias("calls"))
+    """Shape to the contract; blank answers count as not found, and a denied premise is told apart from the answer."""
+    said = df.withColumn("_p", premise_split(F.coalesce("answer", F.lit(NOT_FOUND))))
+    answer = F.col("_p.answer")
+    return said.select("document", F.lit(reader).alias("reader"), answer.alias("answer"), is_not_found(answer).alias("not_found"), F.col("_p.premise").alias("premise"), "partial", "chunks_used", F.col("calls").cast("bigint").alias("calls"))
 
 
 def _gather(rows: DataFrame, order: str, budget: int | None = None) -> DataFrame:
