@@ -12,6 +12,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliospark.llm.common import small_batches
 
@@ -152,7 +153,7 @@ def _mapped(docs: DataFrame, path: str, row, schema: str) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=_arrow(schema, k)) for k, c in enumerate(columns)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, schema)
 
 
 def _arrow(schema: str, k: int) -> pa.DataType:

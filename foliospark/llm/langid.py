@@ -273,4 +273,4 @@ def language_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id bigint, lang_pred string, score double, spans string")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, lang_pred string, score double, spans string")

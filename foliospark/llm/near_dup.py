@@ -142,7 +142,7 @@ def _signatures(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                 ["rid", "key", "doc_id", "size", "sig"],
             )
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "doc_id", "text")
+    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.col("doc_id").cast("bigint"), "text")
     return keyed.mapInArrow(batches, "rid bigint, key string, doc_id bigint, size bigint, sig binary")
 
 

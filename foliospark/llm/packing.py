@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, largest: int) -> DataFrame:
     """doc_id, piece, start, length: words and one end mark, cut into pieces of at most ``largest``."""
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")) + 1
     return (
-        docs.select("doc_id", n.cast("bigint").alias("n"))
+        docs.select(F.col("doc_id").cast("bigint"), n.cast("bigint").alias("n"))
         .withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {largest})")))
         .select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.col("n") - F.col("piece") * largest, F.lit(largest)).alias("length"))
     )
