@@ -124,7 +124,8 @@ def _featured(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Learn from labelled documents that are not held out, at most about ``sample`` of each class.
 
-    A hash of the id picks them; the shares follow from counts over all labels. Rows with a null id or label are
+    A hash of the id picks them; the shares follow from counts over all labels, so the sample's size is bounded by
+    the parameter, not by the corpus. Rows with a null id or label are
     left out; an id with several labels counts as the rounded mean.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -134,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, sample / n))).otherwise(share)
     chosen = usable.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = _featured(docs.select("doc_id", "text").join(chosen, "doc_id").select("y", "text")).collect()
+    # ids and labels only, about 2 x sample rows at any corpus size; sent back out whole, so no text is shuffled
+    few = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in chosen.collect()], "doc_id bigint, y int")
+    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("y", "text")).collect()
     order = sorted(rows, key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in order]).reshape(len(order), len(FEATURES))
     return Scorer(x, np.array([r.y for r in order], np.int64))
