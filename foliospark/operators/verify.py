@@ -216,8 +216,8 @@ def cite_pattern(word: str) -> str:
     return rf"(?i)\[{plural}\s+({number}{more}){locator}\]"
 
 
-def cited_ids(text: Column, word: str, longest: int = 1000) -> Column:
-    """Distinct ids cited, in order; ranges expanded, one too long to be a citation as its two ends."""
+def cited_ids(text: Column, word: str, longest: int = 1000, distinct: bool = True) -> Column:
+    """Ids cited, in order; ranges expanded, one too long to be a citation as its two ends."""
     lists = F.regexp_extract_all(text, F.lit(cite_pattern(word)), F.lit(1))
     tokens = F.flatten(F.transform(lists, lambda t: F.regexp_extract_all(t, F.lit(r"[0-9]+(?:\s*[-‐-―−]\s*[0-9]+)?"), F.lit(0))))
 
@@ -227,7 +227,8 @@ def cited_ids(text: Column, word: str, longest: int = 1000) -> Column:
         low, high = F.array_min(ends), F.array_max(ends)
         return F.when(F.size(ends) == 0, F.expr("cast(array() as array<int>)")).when(high - low > longest, F.array(low, high)).otherwise(F.sequence(low, high))
 
-    return F.array_distinct(F.flatten(F.transform(tokens, ids)))
+    found = F.flatten(F.transform(tokens, ids))
+    return F.array_distinct(found) if distinct else found
 
 
 def unparsed_citations(text: Column, word: str) -> Column:
