@@ -6,7 +6,7 @@ import importlib
 
 from foliospark.catalogue.registry import ORACLES, QUERIES, register
 
-AREAS = ("text", "segments", "ranking", "reading", "corpus", "records", "screening", "extraction", "verification", "review", "ledger")
+AREAS = ("text", "segments", "ranking", "reading", "corpus", "records", "screening", "extraction", "verification", "review", "writing", "ledger")
 FLAGSHIP = "q_reader_retrieve"
 
 for _area in AREAS:
