@@ -83,7 +83,8 @@ def lexical_terms(text: Column, min_chars: int = 2) -> Column:
         return F.concat(rest, F.flatten(F.transform(F.regexp_extract_all(word, F.lit(run), F.lit(0)), pairs)))
 
     dense = F.flatten(F.transform(F.filter(words, lambda w: w.rlike(f"[{DENSE_SCRIPTS}]")), from_dense))
-    return F.concat(plain, dense)
+    # one look at the whole text spares most texts a look at every word
+    return F.when(text_or_empty(text).rlike(f"[{DENSE_SCRIPTS}]"), F.concat(plain, dense)).otherwise(F.filter(words, lambda w: F.length(w) >= min_chars))
 
 
 def is_not_found(answer: Column) -> Column:

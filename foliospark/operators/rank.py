@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import lexical_terms
+from foliospark.session import cut
 
 K1, B = 1.5, 0.75
 DIMENSIONS = 512
@@ -75,7 +76,8 @@ def bm25(df: DataFrame, key: str, text: str, query_terms: list[str], k1: float =
     wanted = sorted(set(query_terms))
     terms = lexical_terms(F.col(text), 2)
     counts = F.array(*[times("terms", w) for w in wanted]) if wanted else F.expr("cast(array() as array<int>)")
-    rows = df.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), counts.alias("f"))
+    # a few integers a row, written once: the texts are not read again for the scores
+    rows = cut(df.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), counts.alias("f")))
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col("len") > 0, F.col("len"))), F.lit(1.0)).alias("avg"),
         *[F.sum(F.when(F.col("f")[i] > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(wanted))],

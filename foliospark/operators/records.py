@@ -111,7 +111,11 @@ def dedupe_by_title(records: DataFrame, block_rows: int = 20_000) -> DataFrame:
                 out.append((r["first"], r["first"]))
         return pd.DataFrame(out, columns=["first", "root"])
 
-    roots = folded.groupBy("key", "year").applyInPandas(block, "first bigint, root bigint")
+    # a record alone in its block is its own root; only blocks of two or more go to Python
+    sized = folded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "year")))
+    alone = sized.filter("n = 1").select("first", F.col("first").alias("root"))
+    several = sized.filter("n > 1").drop("n").groupBy("key", "year").applyInPandas(block, "first bigint, root bigint")
+    roots = alone.select(F.col("first").cast("bigint"), F.col("root").cast("bigint")).unionByName(several)
     null_safe = keyed.join(folded.withColumnsRenamed({c: f"_{c}" for c in same}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same])
     placed = null_safe.select("record_id", "first").join(roots, "first")
     return placed.select("record_id", F.when(F.col("root") != F.col("record_id"), F.col("root")).alias("duplicate_of"))
