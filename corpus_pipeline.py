@@ -1,4 +1,4 @@
-"""Five stages over a corpus: reject bad documents, drop repeated line chunks, keep one document of each group of
+"""Five stages over a corpus: reject bad documents, drop repeated runs of lines, keep one document of each group of
 near duplicates, redact personal data, pack what is left.
 
 Each stage is written as Parquet to the shared folder and read again as the next one's input, so a lost executor
@@ -31,8 +31,8 @@ def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the line chunks that an earlier document holds."""
-    return _with_text(line_dedup.line_dedup(docs), docs.columns, "text")
+    """Every document, without the runs of two lines or more that an earlier place holds."""
+    return _with_text(line_dedup.line_runs(docs), docs.columns, "text")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

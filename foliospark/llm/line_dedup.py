@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of the last few lines decides where a chunk ends, so the same passage is cut at
 the same places wherever it stands. A chunk of several lines that occurs again anywhere in the corpus keeps its
-first occurrence and loses the others, after its bytes were compared.
+first occurrence and loses the others, after its bytes were compared. Chunk ends are too sparse for passages of a few
+lines; line_runs takes out every repeated run of two lines or more.
 """
 
 from __future__ import annotations
@@ -113,3 +114,57 @@ def _apply(joined: DataFrame, columns: list[str], window: int, divisor: int) ->
         F.size("__fs_ends").alias("__fs_chunks"),
         (F.size("__fs_l") - F.size("__fs_kept")).alias("__fs_removed"),
     )
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, key, ``lines``, ``at`` (numbers of the lines that are not blank) and ``h`` (md5 of every line)."""
+    return (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+        .withColumn("key", F.unhex(F.md5("body")))
+        .withColumn("lines", F.split("body", "\n", -1))
+        .withColumn("at", F.expr(r"filter(sequence(0, size(lines) - 1), i -> lines[i] rlike '\\S')"))
+        .withColumn("h", F.expr("transform(at, i -> unhex(md5(lines[i])))"))
+    )
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, gone) of each text that loses lines; gone has their numbers.
+
+    The unit is a line and the next one that is not blank, so every repeated run of two lines or more is met
+    whole, wherever it starts. Pairs are keyed by the digests of their two lines; a digest that two different
+    lines share, by their bytes, removes nothing. Pairs are folded before the shuffle as chunks are.
+    """
+    lined = _pairs(docs)
+    line = lined.select(F.explode_outer("lines").alias("line")).filter(F.col("line").rlike(r"\S"))
+    shared = line.select(F.unhex(F.md5("line")).alias("h"), "line").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pair = lined.select(
+        "doc_id", "key", F.explode_outer(F.expr("if(size(at) > 1, transform(sequence(0, size(at) - 2), j -> named_struct('lo', at[j], 'hi', at[j + 1], 'a', h[j], 'b', h[j + 1])), null)")).alias("p"),
+    ).filter("p is not null").select("doc_id", "key", "p.*")
+    repeated = pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "lo", "hi", "key")).alias("first")).filter("times > 1").drop("times")
+    for side in ("a", "b"):
+        repeated = repeated.join(shared.select(F.col("h").alias(side)), side, "left_anti")
+    later = pair.join(repeated, ["a", "b"]).filter(~F.struct("doc_id", "lo", "hi", "key").eqNullSafe(F.col("first")))
+    # a line said three times over: the second still belongs to the first pair
+    inside = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.hi"))
+    later = later.select("doc_id", "key", F.sequence(F.when(inside, F.col("lo") + 1).otherwise(F.col("lo")), F.col("hi")).alias("span"))
+    return later.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("span"))).alias("gone"))
+
+
+def line_runs(docs: DataFrame) -> DataFrame:
+    """The input's columns with ``text`` cleaned, and __fs_lines, __fs_removed (lines taken out).
+
+    A line goes if it stands in a run of two lines or more (blank ones aside) that an earlier place has; blank
+    lines inside the run go with it. Places are ordered by (doc_id, line), nulls first. The first place of any
+    line is never taken out, so no line is lost altogether. Null text counts as empty and stays null; rows that
+    repeat doc_id and text are treated alike; columns of other names pass through untouched.
+    """
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("__fs_id"), F.col("key").alias("__fs_key2"), F.col("gone").alias("__fs_gone"))
+    joined = docs.withColumn("__fs_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    joined = joined.join(gone, F.col("doc_id").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_key") == F.col("__fs_key2")), "left")
+    lined = joined.withColumn("__fs_l", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    kept = F.expr("transform(array_except(sequence(0, size(__fs_l) - 1), __fs_gone), i -> __fs_l[i])")
+    text = F.when(F.col("__fs_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return lined.select(
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.size("__fs_l").alias("__fs_lines"), F.coalesce(F.size("__fs_gone"), F.lit(0)).alias("__fs_removed"),
+    )

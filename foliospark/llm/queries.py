@@ -1,4 +1,4 @@
-"""The ten registered queries, with production parameters, and the SQL of those that SQL can express."""
+"""The registered queries, with production parameters, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -41,6 +41,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated run of two lines or more, as the pipeline drops them."""
+    cleaned = line_dedup.line_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.col("__fs_lines").alias("n_lines"), F.col("__fs_removed").alias("n_removed"), F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.language_spans(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
@@ -79,7 +85,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_ngram_jaccard, op3_quality, op4_line_dedup, op5_language_id, op6_bpe, op7_packing, op8_pii,
+        op1_exact_dedup, op2_ngram_jaccard, op3_quality, op4_line_dedup, op4_line_runs, op5_language_id, op6_bpe, op7_packing, op8_pii,
         op9_fingerprints, op10_url_filter,
     )
 }

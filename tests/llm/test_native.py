@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from foliospark.llm import exact_dedup, fingerprint, line_dedup, queries, url_filter
 from tests.comparison import duck, rows
 
@@ -70,6 +72,43 @@ def test_line_dedup_keeps_unrepeated_text(spark):
     assert all(r["__fs_removed"] == 0 for r in line_dedup.line_dedup(frame(spark, data)).collect())
 
 
+def without_runs(data):
+    """Brute force of line_runs for distinct ids."""
+    seen, out = {}, {}
+    for i, t in sorted(data):
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for lo, hi in zip(at, at[1:]):
+            first = seen.setdefault((lines[lo], lines[hi]), (i, lo, hi))
+            if first != (i, lo, hi):
+                gone |= set(range(lo + (first[0] == i and first[2] == lo), hi + 1))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_runs_take_out_every_short_passage(spark):
+    """Passages of two to five lines, each of over 50 words, between lines of their own."""
+    passages = [[" ".join(f"p{k}l{j}w{w}" for w in range(30)) for j in range(2 + k % 4)] for k in range(24)]
+    data = [(100 * r + k, "\n".join([f"own {r} {k}", *p, f"end {r} {k}"])) for r in range(2) for k, p in enumerate(passages)]
+    docs = frame(spark, data)
+    got = {r.doc_id: r["text"] for r in line_dedup.line_runs(docs).collect()}
+    assert got == {i: t if i < 100 else f"own 1 {i - 100}\nend 1 {i - 100}" for i, t in data}
+    assert got == {r.doc_id: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+
+
+def test_line_runs_against_brute_force(spark):
+    draw = random.Random(7)
+    data = [(i, "\n".join(draw.choice(["a", "b", "c", "d", "", " ", f"own {i}"]) for _ in range(draw.randrange(1, 9)))) for i in range(60)]
+    data += [(100, "s\ns\ns\ns\ns"), (101, "x\n\ny"), (102, "x\ny\nz"), (103, "")]
+    got = {r.doc_id: (r["text"], r["__fs_removed"], r["__fs_lines"]) for r in line_dedup.line_runs(frame(spark, data)).collect()}
+    want = without_runs(data)
+    assert {i: t for i, (t, _, _) in got.items()} == want and want[100] == "s\ns"
+    assert {x for t in want.values() for x in t.split("\n") if x.strip()} == {x for _, t in data for x in t.split("\n") if x.strip()}
+    odd = line_dedup.line_runs(frame(spark, [(1, None), (None, "a\nb"), (2, "a\nb"), (2, "a\nb")])).collect()
+    assert Counter((r.doc_id, r["text"]) for r in odd) == Counter([(1, None), (None, "a\nb"), (2, ""), (2, "")])
+
+
 def edited(docs):
     """Brute force of the contract's edited text for distinct ids."""
     order = sorted((i for i, _ in docs), reverse=True)
