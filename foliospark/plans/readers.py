@@ -107,15 +107,15 @@ def read_stuff(chunks: DataFrame, question: str, client: Client, spec: ReadSpec)
 
 
 def merge_levels(parts: DataFrame, question: str, client: Client, budget: int, levels: int = 7) -> DataFrame:
-    """(document, answer, calls, gave_up) from parts(document, n, text): greedy groups under the budget, merged level by level.
+    """(document, answer, calls, gave_up, merge_failed) from parts(document, n, text): greedy groups under the budget, merged level by level.
 
     A group of one passes through unmerged. The loop ends when every document has one part, when no document got
     fewer, or after ``levels``; what is left then is joined as it is and marked.
     """
-    state = cut(parts.select("document", "n", "text", F.lit(0).alias("calls")))
+    state = cut(parts.select("document", "n", "text", F.lit(0).alias("calls"), F.lit(False).alias("bad")))
     for _ in range(levels):
         counted = state.withColumn("tokens", count_words(F.col("text")))
-        lists = counted.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("n", "text", "tokens", "calls"))).alias("us"))
+        lists = counted.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("n", "text", "tokens", "calls", "bad"))).alias("us"))
         if not lists.filter(F.size("us") > 1).limit(1).count():
             break
         groups = F.expr(
@@ -124,17 +124,17 @@ def merge_levels(parts: DataFrame, question: str, client: Client, budget: int, l
             "  named_struct('g', s.g + 1, 't', cast(x.tokens as bigint), 'o', concat(s.o, array(s.g + 1)))), s -> s.o)"
         )
         placed = lists.withColumn("gs", groups).select("document", F.explode(F.arrays_zip("us", "gs")).alias("z")).select("document", F.col("z.gs").alias("g"), "z.us.*")
-        grouped = placed.groupBy("document", "g").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("u"), F.sum("calls").alias("calls"))
+        grouped = placed.groupBy("document", "g").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("u"), F.sum("calls").alias("calls"), F.max("bad").alias("bad"))
         grouped = grouped.withColumn("body", F.array_join(F.transform("u", lambda x: x["text"]), "\n\n"))
-        single = grouped.filter(F.size("u") == 1).select("document", F.col("g").alias("n"), F.col("body").alias("text"), "calls")
+        single = grouped.filter(F.size("u") == 1).select("document", F.col("g").alias("n"), F.col("body").alias("text"), "calls", "bad")
         many = _ask(grouped.filter(F.size("u") > 1).withColumn("prompt", _prompt(MERGE, question, F.col("body"))), client)
-        merged = many.select("document", F.col("g").alias("n"), F.coalesce("reply", "body").alias("text"), (F.col("calls") + 1).alias("calls"))
+        merged = many.select("document", F.col("g").alias("n"), F.coalesce("reply", "body").alias("text"), (F.col("calls") + 1).alias("calls"), (F.col("bad") | ~F.col("ok")).alias("bad"))
         after = cut(single.unionByName(merged))
         if after.count() == state.count():
             break
         state = after
-    done = state.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("u"), F.sum("calls").alias("calls"))
-    return done.select("document", F.array_join(F.transform("u", lambda x: x["text"]), "\n\n").alias("answer"), "calls", (F.size("u") > 1).alias("gave_up"))
+    done = state.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("u"), F.sum("calls").alias("calls"), F.max("bad").alias("merge_failed"))
+    return done.select("document", F.array_join(F.transform("u", lambda x: x["text"]), "\n\n").alias("answer"), "calls", (F.size("u") > 1).alias("gave_up"), "merge_failed")
 
 
 @register_reader("map_reduce", "all|N+logN|tree")
@@ -181,17 +181,26 @@ def read_refine(chunks: DataFrame, question: str, client: Client, spec: ReadSpec
 
 @register_reader("skim", "all|N+1|none")
 def read_skim(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
-    """Evidence from every chunk, NONE dropped, one answer over it."""
+    """Evidence from every chunk, NONE dropped, one answer over it. Evidence over the budget is merged in a tree first;
+    where the merge gives up short of the budget or one of its calls fails, the answer is over all that is left and partial."""
     asked = cut(_ask(chunks.withColumn("prompt", _prompt(EVIDENCE, question, render())), client))
     found = asked.filter(F.col("ok") & ~is_none_reply(F.col("reply"))).select("document", "chunk_id", F.col("reply").alias("text"), count_words(F.col("reply")).alias("tokens"))
-    packed = _gather(found, "chunk_id", spec.budget)
-    final = _ask(packed.withColumn("prompt", _prompt(ASK, question, F.col("body"))), client).select("document", F.col("reply").alias("answer"), "chunks_used", "dropped", F.col("ok").alias("final_ok"))
+    packed = _gather(found, "chunk_id").drop("dropped").join(found.groupBy("document").agg(F.sum("tokens").alias("size")), "document")
+    over = packed.filter(F.col("size") > spec.budget).select("document")
+    pieces = found.join(over, "document", "left_semi").select("document", F.col("chunk_id").alias("n"), render().alias("text"))
+    merged = merge_levels(pieces, question, client, spec.budget).withColumnRenamed("calls", "merges")
+    packed = packed.join(merged, "document", "left").withColumn("body", F.coalesce("answer", "body")).drop("answer")
+    final = _ask(packed.withColumn("prompt", _prompt(ASK, question, F.col("body"))), client).select(
+        "document", F.col("reply").alias("answer"), "chunks_used", F.coalesce("merges", F.lit(0)).alias("merges"),
+        (F.coalesce("merge_failed", F.lit(False)) | (F.coalesce("gave_up", F.lit(False)) & (count_words(F.col("body")) > spec.budget))).alias("unmerged"), F.col("ok").alias("final_ok"),
+    )
     totals = asked.groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("ok")).alias("failed"))
     out = totals.join(final, "document", "left")
     return _answers(
         out.select(
-            "document", "answer", (F.col("failed") | F.coalesce("dropped", F.lit(False)) | ~F.coalesce("final_ok", F.lit(True))).alias("partial"),
-            F.coalesce("chunks_used", F.expr("cast(array() as array<int>)")).alias("chunks_used"), (F.col("n") + F.col("final_ok").isNotNull().cast("int")).alias("calls"),
+            "document", "answer", (F.col("failed") | F.coalesce("unmerged", F.lit(False)) | ~F.coalesce("final_ok", F.lit(True))).alias("partial"),
+            F.coalesce("chunks_used", F.expr("cast(array() as array<int>)")).alias("chunks_used"),
+            (F.col("n") + F.coalesce("merges", F.lit(0)) + F.col("final_ok").isNotNull().cast("int")).alias("calls"),
         ), "skim",
     )
 

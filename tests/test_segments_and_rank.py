@@ -96,3 +96,16 @@ def test_readers_send_different_prompts_and_survive_failures(spark):
 def test_tree_and_backoff():
     assert [P.tree_levels(n, 5) for n in (0, 1, 2, 5, 6, 26)] == [0, 0, 1, 1, 2, 3]
     assert backoff(3, 7.0) == 7.0 and 4 <= backoff(3, rng=lambda: 0.0) <= 8
+
+
+def test_skim_answers_from_evidence_past_the_budget(spark):
+    """Evidence of the last chunk reaches the answer through merges that keep the words with "needle"."""
+    def reply(prompt):
+        head, _, body = prompt.partition("\n\n")
+        return " ".join(w for w in body.split() if "needle" in w) or "nothing" if head.startswith((P.MERGE, P.ASK)) else body
+
+    chunks = spark.createDataFrame([(d, i, " ".join([f"w{i}"] * 9 + [f"needle{d}{i}"]), 10) for d, n in (("a", 12), ("b", 2)) for i in range(1, n + 1)], "document string, chunk_id int, text string, tokens int")
+    got = {r.document: r for r in P.read(chunks, "q", mock_client(reply), P.ReadSpec("skim", budget=40)).collect()}
+    assert got["a"].answer.split() == [f"needlea{i}" for i in range(1, 13)] and not got["a"].partial
+    assert got["a"].chunks_used == list(range(1, 13)) and got["a"].calls > 13
+    assert got["b"].answer.split() == ["needleb1", "needleb2"] and got["b"].calls == 3
