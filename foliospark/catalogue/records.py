@@ -37,6 +37,12 @@ def q_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.filter(~F.col("t").rlike("[ßæœ]")).select("doc_id", K.title_key(F.col("t")).alias("title_key"))
 
 
+@register(oracle=r"SELECT doc_id, nullif(regexp_replace(lower(strip_accents(replace(replace(replace(lower(text), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))), '[^\p{L}\p{N}]+', '', 'g'), '') AS title_key FROM documents")
+def q_title_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its whole text; q_title_key reads what its SQL reads."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", K.title_key(F.col("text")).alias("title_key"))
+
+
 @register(oracle=f"WITH {_FINISHED} SELECT record_id, CASE WHEN doi IS NOT NULL THEN nullif(min(record_id) OVER (PARTITION BY doi), record_id) END AS duplicate_of FROM f")
 def q_doi_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dedupe_by_doi(R.finish_records(references(spark, sf_dir))).select("record_id", "duplicate_of")

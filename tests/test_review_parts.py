@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark import catalogue
 from foliospark.operators import extract as E
 from foliospark.operators import records as R
 from foliospark.operators import review as V
@@ -127,3 +128,10 @@ def test_bad_files_are_rows(spark):
     df = spark.createDataFrame([("a.docx", bytearray(b"no zip")), ("b.md", bytearray(b"# x")), ("c.pdf", bytearray(b""))], "path string, content binary")
     got = {(r.document, r.error is None) for r in D.extract(df).collect()}
     assert ("a.docx", False) in got and ("b.md", True) in got
+
+
+def test_title_keys_of_all_documents(spark, sf_dir):
+    keys = {r.doc_id: r.title_key for r in catalogue.QUERIES["q_title_key_all"](spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert keys.keys() == texts.keys() and any("ß" in (t or "")[:200] for t in texts.values())
+    assert not any(c in k for k in keys.values() if k for c in "ßæœ") and max(len(k) for k in keys.values() if k) > 200
