@@ -48,6 +48,11 @@ def q_trace_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir).select("step", "model", (F.col("step") % 2).cast("int").alias("src"))
     return M.absorb(rows.filter("src = 0"), rows.filter("src = 1"), "model").select("model", "src", "step")
 
+def _governed(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("max_output", 50 + F.col("tokens_out")).withColumn("worst_usd", F.when(F.col("model") != "unheard-of", 0.01))
+    limits = M.Governor(max_calls=200, max_cost_usd=1.5, max_output_tokens=95, allowed_models=("gpt-4o-mini", "text-embedding-3-small", "unheard-of"))
+    return M.admit(rows, limits, "step").select("step", "refused")
+
 
 @register(oracle=f"""
     WITH l AS (SELECT {_LEDGER} FROM events WHERE event_id < 600), r AS (SELECT *, 50 + tokens_out AS max_output, CASE WHEN model <> 'unheard-of' THEN 0.01 END AS worst_usd FROM l),
@@ -56,9 +61,17 @@ def q_trace_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT step, CASE WHEN own IS NOT NULL THEN own WHEN open AND calls > 200 THEN 'calls' WHEN worst_usd IS NULL THEN 'price' WHEN usd > 1.5 + 1e-9 THEN 'cost' END AS refused FROM c""")
 def q_governor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run's first six hundred requests, as a run has them."""
-    rows = ledger(spark, sf_dir).filter("step < 600").withColumn("max_output", 50 + F.col("tokens_out")).withColumn("worst_usd", F.when(F.col("model") != "unheard-of", 0.01))
-    limits = M.Governor(max_calls=200, max_cost_usd=1.5, max_output_tokens=95, allowed_models=("gpt-4o-mini", "text-embedding-3-small", "unheard-of"))
-    return M.admit(rows, limits, "step").select("step", "refused")
+    return _governed(ledger(spark, sf_dir).filter("step < 600"))
+
+
+@register(oracle=f"""
+    WITH l AS (SELECT {_LEDGER} FROM events), r AS (SELECT *, 50 + tokens_out AS max_output, CASE WHEN model <> 'unheard-of' THEN 0.01 END AS worst_usd FROM l),
+    a AS (SELECT *, CASE WHEN model = 'gpt-4o' THEN 'model' WHEN max_output > 95 THEN 'output' END AS own FROM r), o AS (SELECT *, own IS NULL AND worst_usd IS NOT NULL AS open FROM a),
+    c AS (SELECT *, sum(CASE WHEN open THEN 1 ELSE 0 END) OVER (ORDER BY step) AS calls, sum(CASE WHEN open THEN worst_usd ELSE 0 END) OVER (ORDER BY step) AS usd FROM o)
+    SELECT step, CASE WHEN own IS NOT NULL THEN own WHEN open AND calls > 200 THEN 'calls' WHEN worst_usd IS NULL THEN 'price' WHEN usd > 1.5 + 1e-9 THEN 'cost' END AS refused FROM c""")
+def q_governor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests as one run; q_governor judges those that its SQL reads."""
+    return _governed(ledger(spark, sf_dir))
 
 
 @register(oracle="SELECT * FROM (VALUES ('gpt-4o-mini', 115200, 113700), ('gpt-4o', 115200, 113700), ('gpt-4.1', 942818, 941318), ('gpt-4.1-mini', 942818, 941318), ('text-embedding-3-small', 7371, 5871), ('mock', 28800, 27300)) v(id, usable, input_room)")

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from foliospark.functions.keys import request_key
 from foliospark.functions.tokens import estimate_tokens
@@ -180,8 +181,9 @@ def admit(requests: DataFrame, governor: Governor, order: str) -> DataFrame:
     """Add ``refused``: the first check a request fails, null if it may be sent.
 
     requests(model, tokens_in, max_output, worst_usd). Checks: model, output, calls, tokens, price, cost. Limits on
-    sums take requests in ``order`` and charge each admitted request its worst case. The running sums are a window
-    over one run's requests, which max_calls bounds; without it the run's own size does.
+    sums take requests in ``order`` and charge each admitted request its worst case. The running sums
+    are taken in two steps, inside ranges of a numeric ``order`` and over the ranges' totals, so no task sees all
+    requests; another kind of order takes one window.
     """
     g = governor
     first = F.when(~F.col("model").isin(*g.allowed_models), "model") if g.allowed_models is not None else F.lit(None).cast("string")
@@ -190,9 +192,20 @@ def admit(requests: DataFrame, governor: Governor, order: str) -> DataFrame:
     priced = F.lit(None).cast("string") if g.allow_unpriced else F.when(F.col("worst_usd").isNull(), "price")
     ok = requests.withColumn("_own", first).withColumn("_price", priced)
     open_ = F.col("_own").isNull() & F.col("_price").isNull()
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = lambda c: F.sum(F.when(open_, c).otherwise(0)).over(w)
-    ok = ok.withColumns({"_calls": run(F.lit(1)), "_tokens": run(F.col("tokens_in") + F.col("max_output")), "_usd": run(F.coalesce("worst_usd", F.lit(0.0)))})
+    charge = lambda c: F.when(open_, c).otherwise(0)
+    ok = ok.withColumns({"_calls": charge(F.lit(1)), "_tokens": charge(F.col("tokens_in") + F.col("max_output")), "_usd": charge(F.coalesce("worst_usd", F.lit(0.0)))})
+    sums = ["_calls", "_tokens", "_usd"]
+    if isinstance(ok.schema[order].dataType, NumericType):
+        ok = ok.withColumn("_range", F.floor(F.col(order) / 4096))
+        totals = ok.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums])
+        ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(F.col("_range").alias("_of"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in sums])
+        w = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        ok = ok.withColumns({c: F.sum(c).over(w) for c in sums}).join(before, F.col("_range").eqNullSafe(F.col("_of")))
+        ok = ok.withColumns({c: F.coalesce(F.col(c), F.lit(0)) + F.col(f"{c}_before") for c in sums}).drop("_range", "_of", *[f"{c}_before" for c in sums])
+    else:
+        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        ok = ok.withColumns({c: F.sum(c).over(w) for c in sums})
     over = F.lit(None).cast("string")
     if g.max_calls is not None:
         over = F.coalesce(over, F.when(F.col("_calls") > g.max_calls, "calls"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliospark import catalogue
 from foliospark.operators import extract as E
+from foliospark.operators import model as M
 from foliospark.operators import records as R
 from foliospark.operators import review as V
 from foliospark.operators import screen as S
@@ -135,3 +136,14 @@ def test_title_keys_of_all_documents(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     assert keys.keys() == texts.keys() and any("ß" in (t or "")[:200] for t in texts.values())
     assert not any(c in k for k in keys.values() if k for c in "ßæœ") and max(len(k) for k in keys.values() if k) > 200
+
+
+def test_governor_judges_all_requests_across_ranges(spark, sf_dir):
+    got = catalogue.QUERIES["q_governor_all"](spark, sf_dir)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count() > 600
+    rows = spark.range(0, 20000, 7).select(F.col("id").alias("step"), F.lit("m").alias("model"), F.lit(1).alias("tokens_in"), F.lit(1).alias("max_output"), F.lit(0.01).alias("worst_usd"))
+    out = M.admit(rows, M.Governor(max_calls=2000, max_cost_usd=25.0), "step")
+    refused = {r.step: r.refused for r in out.select("step", "refused").collect()}
+    assert refused == {s: "calls" if k >= 2000 else None for k, s in enumerate(range(0, 20000, 7))}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" in plan and "partitioning" in plan and plan.count("SinglePartition") == 1  # the ranges' totals
