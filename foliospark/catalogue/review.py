@@ -45,6 +45,16 @@ def q_moderators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.moderator_splits(claims(spark, sf_dir)[1], values, True)
 
 
+@register(oracle=f"""
+    WITH {_VERIFIED}, j AS (SELECT k.claim_id, k.role, c_acctbal AS v FROM k JOIN n USING (claim_id) JOIN customer ON c_custkey = study),
+    m AS (SELECT claim_id, min(v) FILTER (role = 'support') AS a, max(v) FILTER (role = 'support') AS b, min(v) FILTER (role = 'contradict') AS c, max(v) FILTER (role = 'contradict') AS d FROM j GROUP BY 1)
+    SELECT n.claim_id, coalesce(b < c OR d < a, FALSE) AS splits FROM n LEFT JOIN m USING (claim_id)""")
+def q_moderators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All studies; the query above reads those that its SQL reads."""
+    values = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("study"), F.col("c_acctbal").alias("value"))
+    return R.moderator_splits(claims(spark, sf_dir)[1], values, True)
+
+
 @register(oracle=f"""
     WITH {_VERIFIED}, j AS (SELECT k.claim_id, k.role, lower(c_mktsegment) AS v FROM k JOIN n USING (claim_id) JOIN customer ON c_custkey = study WHERE study % 40 = 1),
     a AS (SELECT claim_id, list(DISTINCT v) FILTER (role = 'support') AS x, list(DISTINCT v) FILTER (role = 'contradict') AS y FROM j GROUP BY 1)
@@ -54,6 +64,16 @@ def q_moderators_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.moderator_splits(claims(spark, sf_dir)[1], values, False)
 
 
+@register(oracle=f"""
+    WITH {_VERIFIED}, j AS (SELECT k.claim_id, k.role, lower(c_mktsegment) AS v FROM k JOIN n USING (claim_id) JOIN customer ON c_custkey = study),
+    a AS (SELECT claim_id, list(DISTINCT v) FILTER (role = 'support') AS x, list(DISTINCT v) FILTER (role = 'contradict') AS y FROM j GROUP BY 1)
+    SELECT n.claim_id, coalesce(len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y), FALSE) AS splits FROM n LEFT JOIN a USING (claim_id)""")
+def q_moderators_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All studies; the query above reads those that its SQL reads."""
+    values = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("study"), F.col("c_mktsegment").alias("value"))
+    return R.moderator_splits(claims(spark, sf_dir)[1], values, False)
+
+
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("study"), F.col("c_mktsegment").alias("segment"), F.expr("cast(c_nationkey as string)").alias("nation"), F.lit("trial").alias("design"),
@@ -97,7 +117,16 @@ def q_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH u AS (SELECT p_partkey AS c, CASE WHEN p_partkey % 11 = 0 THEN -p_partkey ELSE p_size % 6 END AS a, CASE WHEN p_partkey % 13 = 0 THEN -p_partkey ELSE p_size % 4 END AS b FROM part WHERE p_partkey % 5 = 0 AND (p_partkey % 11 <> 0 OR p_partkey % 13 <> 0)),
     p AS (SELECT count(*) AS n, sum(CASE WHEN (x.a = y.a) <> (x.b = y.b) THEN 1 ELSE 0 END) AS d FROM u x JOIN u y ON x.c < y.c) SELECT round(d / n, 9) AS distance FROM p""")
 def q_outline_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, sf_dir, "part").filter("p_partkey % 5 = 0")
+    return _outlines(read_table(spark, sf_dir, "part").filter("p_partkey % 5 = 0"))
+
+
+@register()
+def q_outline_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts; without SQL, whose pairs grow with the square of the parts."""
+    return _outlines(read_table(spark, sf_dir, "part"))
+
+
+def _outlines(part: DataFrame) -> DataFrame:
     a = part.filter("p_partkey % 11 != 0").select((F.col("p_size") % 6).alias("section"), F.col("p_partkey").alias("claim_id"))
     b = part.filter("p_partkey % 13 != 0").select((F.col("p_size") % 4).alias("section"), F.col("p_partkey").alias("claim_id"))
     return R.outline_distance(a, b).select(F.round("distance", 9).alias("distance"))

@@ -15,6 +15,7 @@ from foliospark.operators import screen as S
 from foliospark.operators import verify as Q
 from foliospark.sources import bibliography as B
 from foliospark.sources import files as D
+from tests.comparison import duck, rows
 
 SOURCE = "Mortality fell by 25% in 1,204 patients who were not treated with aspirin at the start of the trial."
 
@@ -147,3 +148,17 @@ def test_governor_judges_all_requests_across_ranges(spark, sf_dir):
     assert refused == {s: "calls" if k >= 2000 else None for k, s in enumerate(range(0, 20000, 7))}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window [" in plan and "partitioning" in plan and plan.count("SinglePartition") == 1  # the ranges' totals
+
+
+def test_outline_distance_of_all_parts_against_pairs(spark, sf_dir):
+    """Every pair of parts by brute force."""
+    parts = [(r.p_partkey, r.p_size) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").collect()]
+    units = [(k, -k if k % 11 == 0 else z % 6, -k if k % 13 == 0 else z % 4) for k, z in parts if k % 11 or k % 13]
+    pairs = [(x, y) for i, x in enumerate(units) for y in units[i + 1 :]]
+    want = sum((x[1] == y[1]) != (x[2] == y[2]) for x, y in pairs) / len(pairs)
+    assert catalogue.QUERIES["q_outline_distance_all"](spark, sf_dir).collect()[0].distance == round(want, 9)
+
+
+def test_moderators_read_all_studies(spark, sf_dir):
+    for name in ("q_moderators", "q_moderators_words"):
+        assert rows(catalogue.QUERIES[f"{name}_all"](spark, sf_dir)) == duck(sf_dir, catalogue.ORACLES[name].replace("WHERE study % 40 = 1", ""))
