@@ -58,6 +58,21 @@ def q_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mmr(scored_vectors(spark, sf_dir), "vec_id", "score", "embedding", 3, 0.5, "label", pool=50)
 
 
+@register(oracle=f"""
+    WITH {_SCORED},
+    pool AS (SELECT * FROM s),
+    one AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1),
+    two AS (SELECT p.*, list_cosine_similarity(p.embedding::DOUBLE[], o.embedding::DOUBLE[]) AS sim FROM pool p JOIN one o USING (label) WHERE p.vec_id <> o.vec_id
+            QUALIFY row_number() OVER (PARTITION BY label ORDER BY 0.5 * p.score - 0.5 * sim DESC, p.vec_id) = 1),
+    three AS (SELECT p.label, p.vec_id, p.score, greatest(list_cosine_similarity(p.embedding::DOUBLE[], o.embedding::DOUBLE[]), list_cosine_similarity(p.embedding::DOUBLE[], t.embedding::DOUBLE[])) AS sim3
+            FROM pool p JOIN one o USING (label) JOIN two t USING (label) WHERE p.vec_id NOT IN (o.vec_id, t.vec_id)
+            QUALIFY row_number() OVER (PARTITION BY label ORDER BY 0.5 * p.score - 0.5 * sim3 DESC, p.vec_id) = 1)
+    SELECT label, vec_id, score, 1 AS position FROM one UNION ALL SELECT label, vec_id, score, 2 FROM two UNION ALL SELECT label, vec_id, score, 3 FROM three""")
+def q_mmr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out of all rows; q_mmr chooses from the fifty that its SQL chooses from."""
+    return R.mmr(scored_vectors(spark, sf_dir), "vec_id", "score", "embedding", 3, 0.5, "label")
+
+
 _TERMS_SQL = r"list_filter(string_split_regex(lower(regexp_replace(text, '[^\p{L}\p{M}\p{N}\s]', ' ', 'g')), '\s+'), lambda w: length(w) >= 2)"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,22 +124,29 @@ def mmr_order(relevance: np.ndarray, vectors: np.ndarray, k: int, weight: float)
     return out
 
 
-def mmr(df: DataFrame, key: str, score: str, vector: str, k: int, weight: float, by: str, pool: int = 200) -> DataFrame:
-    """(by, key, score, position) of the k chosen of each group, out of its ``pool`` most relevant rows.
+def mmr(df: DataFrame, key: str, score: str, vector: str, k: int, weight: float, by: str, pool: int | None = None) -> DataFrame:
+    """(by, key, score, position) of the k chosen of each group, the smaller key winning ties, as mmr_order does.
 
-    The pool bounds what one task holds; it is the operator's own two-stage top-k, as a report parameter.
+    Each round is one aggregate over all rows beside the few vectors already chosen in their group, so no task holds
+    a group. ``pool`` restricts the choice to that many most relevant rows of each group. A key stands once in a group.
     """
-    near = top_k(df.select(by, key, score, vector), pool, score, key, by).drop("rank")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-        order = mmr_order(pdf[score].to_numpy(float), np.array(pdf[vector].tolist(), float), k, weight)
-        out = pdf.loc[order, [by, key, score]].copy()
-        out["position"] = np.arange(1, len(order) + 1, dtype="int32")
-        return out
-
-    kinds = dict(df.dtypes)
-    return near.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, {score} double, position int")
+    rows = df.select(by, key, F.col(score).cast("double").alias("_s"), F.col(vector).cast("array<double>").alias("_v"))
+    rows = rows.filter(F.col("_s").isNotNull() & ~F.isnan("_s") & (F.abs("_s") != float("inf")))
+    if pool is not None:
+        rows = top_k(rows, pool, "_s", key, by).drop("rank")
+    rows, kinds, chosen, out = cut(rows), dict(df.dtypes), None, None
+    for n in range(1, k + 1):
+        if chosen is None:
+            gain, left = F.col("_s"), rows
+        else:
+            left = rows.join(chosen, F.col(by).eqNullSafe(F.col("_by"))).filter(~F.array_contains("_keys", F.col(key)))
+            nearest = F.array_max(F.transform("_near", lambda c: cosine(F.col("_v"), c)))
+            gain = F.col("_s") if weight >= 1 else weight * F.col("_s") - (1 - weight) * nearest
+        best = left.groupBy(by).agg(F.min_by(F.struct(key, "_s", "_v"), F.struct((-gain).alias("g"), F.col(key).alias("k"))).alias("b"))
+        best = best.select(by, F.col(f"b.{key}").alias(key), F.col("b._s").alias("_s"), F.col("b._v").alias("_v"), F.lit(n).alias("position"))
+        out = cut(best if out is None else out.unionByName(best))
+        chosen = out.groupBy(F.col(by).alias("_by")).agg(F.collect_list(key).alias("_keys"), F.collect_list("_v").alias("_near"))
+    return out.select(F.col(by).cast(kinds[by]), F.col(key).cast(kinds[key]), F.col("_s").alias(score), "position")
 
 
 def arrange(df: DataFrame, how: str, rank: str = "rank", order: str = "chunk_id", *by: str) -> DataFrame:

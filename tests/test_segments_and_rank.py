@@ -109,3 +109,12 @@ def test_skim_answers_from_evidence_past_the_budget(spark):
     assert got["a"].answer.split() == [f"needlea{i}" for i in range(1, 13)] and not got["a"].partial
     assert got["a"].chunks_used == list(range(1, 13)) and got["a"].calls > 13
     assert got["b"].answer.split() == ["needleb1", "needleb2"] and got["b"].calls == 3
+
+
+def test_mmr_chooses_out_of_all_rows(spark):
+    """The second and third choice lie behind 300 rows that are alike."""
+    data = [("a", i, 1 - i / 1e4, [1.0, i / 1e6, 0.0]) for i in range(300)] + [("a", 300, 0.5, [0.0, 1.0, 0.0]), ("a", 301, 0.4, [0.0, 0.0, 1.0])]
+    data += [("b", i, float(x), v.tolist()) for i, (x, v) in enumerate(zip(np.random.default_rng(1).random(40), np.random.default_rng(2).normal(size=(40, 3)), strict=True))]
+    got = R.mmr(spark.createDataFrame(data, "g string, k long, s double, v array<double>"), "k", "s", "v", 3, 0.5, "g").orderBy("g", "position").collect()
+    want = {g: R.mmr_order(np.array([r[2] for r in data if r[0] == g]), np.array([r[3] for r in data if r[0] == g]), 3, 0.5) for g in "ab"}
+    assert want["a"] == [0, 300, 301] and {g: [r.k for r in got if r.g == g] for g in "ab"} == want
