@@ -155,6 +155,8 @@ def _cells(candidates: DataFrame, threshold: float, tolerance: float) -> DataFra
         sides = {}
         for side in {x, y}:
             part = table.filter(pa.compute.equal(table.column("block"), side))
+            if not part.num_rows:  # a text of more than a block's shingles skips block numbers
+                return pa.table({c: pa.array([], pa.int64()) for c in ("cid", "links", "texts", "near")})
             ids, first = np.unique(part.column("cid").to_numpy(), return_index=True)
             sets = [np.frombuffer(v, np.uint64) for v in part.column("shingles").take(pa.array(first)).to_pylist()]
             sig = np.frombuffer(b"".join(part.column("sig").take(pa.array(first)).to_pylist()), np.uint32).reshape(len(ids), -1)

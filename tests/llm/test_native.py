@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import exact_dedup, fingerprint, line_dedup, queries, url_filter
+from foliospark.llm import exact_dedup, fingerprint, line_dedup, near_dup, queries, url_filter
 from tests.comparison import duck, rows
 
 LONG = "word " * 9000
@@ -172,3 +172,10 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, url_filter.rule_frame(spark, rules)).collect()}
     assert got == {k: brute(u, rules) for k, u in enumerate(urls)}
     assert url_filter.url_filter(pages.limit(0), url_filter.rule_frame(spark, rules)).collect() == []
+
+
+def test_near_copies_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 1500)
+    text = " ".join(f"w{k}" for k in range(3000))
+    got = near_dup.near_duplicates(frame(spark, [(1, text), (2, text + " end"), (3, "a b c")])).collect()
+    assert {r.doc_id: (r.class_id, r.kept) for r in got} == {1: (1, True), 2: (1, False), 3: (3, True)}
