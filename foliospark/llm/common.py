@@ -11,13 +11,16 @@ from foliospark.sources import read_table
 __all__ = ["connected_components", "cut", "ensure_checkpoint_dir", "held_out", "read_table", "small_batches"]
 
 #: Rows in an Arrow batch handed to Python; texts can be long.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of texts can hold in a Python worker, by rows and by bytes."""
+    """Bound what one Arrow batch of texts can hold in a Python worker, by rows and by bytes.
+
+    These are settings of the session, and Spark reads them when a plan runs: they stay in force for later queries.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -28,28 +31,27 @@ def held_out(doc_id: Column) -> Column:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Components of an undirected graph of bigint pairs: (node, label), label = smallest node reached.
 
-    Every round takes the least label among a node's neighbours and then jumps to that label's own label, so
-    paths halve. Labels are aggregated before they are shuffled; a node with very many edges is a skewed join
-    key that adaptive execution splits. Nothing is collected but the count of labels that changed. Raises
-    when ``rounds`` were not enough, and never returns half-merged labels.
+    Every round each node hooks to its least neighbour and jumps once more; then the edges are relabelled, those
+    inside one label and repeated ones go, and the next round sees the rest only. A group around a hub is gone
+    after a round or two. Edges are folded before they are shuffled; a node with very many edges is a skewed join
+    key that adaptive execution splits. Nothing is collected but the count of edges left. Raises when ``rounds``
+    were not enough, and never returns half-merged labels.
     """
-    both = cut(
-        edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-        .union(edges.select(F.col(b).alias("node"), F.col(a).alias("other")))
-        .distinct()
-    )
-    labels = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
+    left = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct())
+    merged: DataFrame | None = None
     for _ in range(rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "other"), "other")
-            .groupBy("node")
-            .agg(F.min("label").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        step = cut(step.join(jump, "label").select("node", "was", F.least("label", "to").alias("label")))
-        changed = step.filter(F.col("was") != F.col("label")).limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels
+        if merged is not None and not left.limit(1).count():
+            return merged
+        ends = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        step = cut(up.join(over, "up").select("node", F.col("top").alias("label")))
+        for end in ("a", "b"):
+            left = left.join(step.select(F.col("node").alias(end), F.col("label").alias(f"{end}2")), end)
+        left = cut(left.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a != b").distinct())
+        if merged is None:
+            merged = step
+        else:
+            onward = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            merged = cut(merged.join(onward, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import bpe, langid, near_dup, packing, pii, quality, queries
+from foliospark.llm import bpe, common, langid, near_dup, packing, pii, quality, queries
 from foliospark.sources import read_table
 
 LONG = "lorem ipsum dolor " * 3000
@@ -64,7 +64,7 @@ def variants(n=60, seed=3):
     return out + [(n, out[5][1]), (n + 1, out[5][1]), (n + 2, ""), (n + 3, None), (n + 4, "a b")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 2500])
+@pytest.mark.parametrize("block", [1 << 20, 2500, 600])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block)
     docs = variants()
@@ -78,6 +78,16 @@ def test_near_duplicates_odd_inputs(spark):
     assert near_dup.near_duplicates(frame(spark).limit(0)).collect() == []
 
 
+def test_components_of_chains_and_stars(spark):
+    """A path numbered at random, a star around the largest id, a ring, and repeated and reversed edges."""
+    rng = np.random.default_rng(5)
+    path = (rng.permutation(200) + 1000).tolist()
+    edges = [*zip(path, path[1:]), *((k, 99) for k in range(40, 99)), *((k, 5000 + (k - 4999) % 30) for k in range(5000, 5030)), (99, 40), (40, 99), (7, 7)]
+    got = common.connected_components(spark.createDataFrame([tuple(map(int, e)) for e in edges], "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == {v: 1000 if v < 5000 and v >= 1000 else 40 if v < 1000 else 5000 for e in edges for v in e if v != 7}
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 @pytest.mark.parametrize("n", [32, 64, 160])
 def test_posterior_bound(n):
     """The bound against a numeric integral of the posterior density."""
