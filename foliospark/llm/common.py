@@ -31,11 +31,11 @@ def held_out(doc_id: Column) -> Column:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Components of an undirected graph of bigint pairs: (node, label), label = smallest node reached.
 
-    Every round each node hooks to its least neighbour and jumps once more; then the edges are relabelled, those
-    inside one label and repeated ones go, and the next round sees the rest only. A group around a hub is gone
-    after a round or two. Edges are folded before they are shuffled; a node with very many edges is a skewed join
-    key that adaptive execution splits. Nothing is collected but the count of edges left. Raises when ``rounds``
-    were not enough, and never returns half-merged labels.
+    Every round each node hooks to its least neighbour and paths of hooks are halved until all end at a root; then
+    the edges are relabelled, those inside one label and repeated ones go, and the next round sees the rest only. A
+    group around a hub is gone after a round or two, a path in order after one. Edges are folded before they are
+    shuffled; a node with very many edges is a skewed join key that adaptive execution splits. Nothing is collected
+    but whether something is left. Raises when ``rounds`` were not enough, and never returns half-merged labels.
     """
     left = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a != b").distinct())
     merged: DataFrame | None = None
@@ -43,9 +43,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if merged is not None and not left.limit(1).count():
             return merged
         ends = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
-        over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = cut(up.join(over, "up").select("node", F.col("top").alias("label")))
+        step = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+        for _ in range(rounds):
+            over = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            step = cut(step.join(over, "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved")))
+            if not step.filter("moved").limit(1).count():
+                break
+        step = step.select("node", "label")
         for end in ("a", "b"):
             left = left.join(step.select(F.col("node").alias(end), F.col("label").alias(f"{end}2")), end)
         left = cut(left.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a != b").distinct())
