@@ -342,14 +342,14 @@ def near_duplicates(
     texts = cut(texts.select(F.col("first.rid").alias("cid"), F.col("first.doc_id").alias("doc_id"), "key", "copies", "size", "sig"))
 
     seats = _seats(texts, bands, rows, weight)
-    alive = cut(_alive(texts.select("cid", "size", "sig").join(seats, "cid"), threshold, tolerance, rows))
+    alive = cut(_alive(texts.select("cid", "size", "sig").join(seats, "cid"), threshold, tolerance, rows), spread=True)
     own = alive.groupBy("cid").agg(F.collect_list(F.struct(*CELL, "block")).alias("seats"))
     own = own.join(texts, "cid").select("cid", "copies", "size", "sig", "seats", F.col("key").alias("ckey"), F.col("doc_id").alias("cdoc"))
     text = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     text = text.join(own, (F.col("key") == F.col("ckey")) & F.col("doc_id").eqNullSafe(F.col("cdoc")))
     shingled = _shingled(text.select("cid", "copies", "size", "sig", "seats", "text"), words)
     seated = shingled.select("cid", "copies", "size", "sig", "shingles", F.explode("seats").alias("s")).select("cid", "copies", "size", "sig", "shingles", "s.*")
-    found = cut(_links(seated, threshold, tolerance, rows))
+    found = cut(_links(seated, threshold, tolerance, rows), spread=True)
     sums = found.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     classes = connected_components(found.select(F.col("cid").alias("a"), F.col("near").alias("b")))
 
