@@ -1,13 +1,16 @@
 """Variable-capacity best-fit packing over the histogram of lengths.
 
 Pieces of one length are interchangeable, so best-fit decreasing is run on counts by length: a table of at most
-max(capacities) rows, whatever the corpus. The plan says how many bins take how many pieces of each length; the
-pieces are then ranked within their length in parallel and look their bin up by rank.
+max(capacities) rows, whatever the corpus. When no open bin holds a piece, the size is opened whose cost a token is
+least once it is filled from the lengths still to come. The sizes that may be opened are chosen jointly: a plan is made
+for every run of neighbouring sizes, all are downsized to the permitted sizes, and the one of least total cost stays. It
+says how many bins take how many pieces of each length; the pieces are then ranked within their length in parallel and
+look their bin up by rank.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +23,8 @@ from foliospark.llm.common import cut
 
 #: Permitted sequence lengths, and what opening a bin costs beside its capacity.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096), 16
+#: Pieces of one length are ranked in parts of about so many, out of at most 2**SALT_BITS parts.
+PART_PIECES, SALT_BITS = 1 << 17, 20
 
 
 @dataclass
@@ -34,27 +39,55 @@ class Group:
 
 @dataclass
 class Plan:
-    """For each length, runs (rank of the first piece, first bin, pieces a bin, offset in the bin); bins' sizes."""
+    """For each length, runs (rank of the first piece, first bin, pieces a bin, offset in the bin); groups of like bins."""
 
     runs: dict[int, list[tuple[int, int, int, int]]]
     bin_first: np.ndarray
+    bin_count: np.ndarray
     bin_capacity: np.ndarray
     bin_used: np.ndarray
 
 
-def opening_capacity(length: int, capacities: tuple[int, ...], overhead: int) -> int:
-    """The capacity whose cost per token is least when it is filled with pieces of this length; ties: the larger."""
-    fits = [c for c in capacities if c >= length]
-    return min(fits, key=lambda c: ((c + overhead) / (c // length * length), -c))
+def opening_capacity(length: int, shorter: list[tuple[int, int]], capacities: tuple[int, ...], overhead: int) -> int:
+    """The capacity that costs least a token when it is opened for pieces of ``length``; ties: the larger.
+
+    It takes as many of these as fit, then the lengths still to come, ``shorter`` (ascending, with their counts),
+    longest first; its cost is that of the capacity plus ``overhead``.
+    """
+
+    def rate(capacity: int) -> float:
+        room, at = capacity % length, len(shorter)
+        while room and (at := bisect_right(shorter, (room, float("inf")), 0, at)):
+            at -= 1
+            n, count = shorter[at]
+            room -= min(count, room // n) * n
+        return (capacity + overhead) / (capacity - room)
+
+    return min((c for c in capacities if c >= length), key=lambda c: (rate(c), -c))
 
 
 def best_fit_plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> Plan:
-    """Best-fit decreasing on counts. A piece goes to the bin with the least room that still holds it."""
+    """The plan of least cost over every run of neighbouring capacities that holds the longest piece; ties: more and larger ones."""
+    sizes = tuple(sorted(capacities))
+    longest = max(histogram, default=1)
+    runs = [sizes[a:b] for a in range(len(sizes)) for b in range(a + 1, len(sizes) + 1) if sizes[b - 1] >= longest]
+    runs.sort(key=lambda r: (-len(r), -r[-1]))
+    return min((_best_fit(histogram, run, sizes, overhead) for run in runs), key=lambda p: plan_cost(p, overhead))
+
+
+def plan_cost(plan: Plan, overhead: int) -> int:
+    return int(((plan.bin_capacity + overhead) * plan.bin_count).sum())
+
+
+def _best_fit(histogram: dict[int, int], opened: tuple[int, ...], sizes: tuple[int, ...], overhead: int) -> Plan:
+    """Best-fit decreasing on counts. A piece goes to the bin with the least room that still holds it; of bins with
+    the same room to the one of the larger capacity, then to the one opened first."""
     rooms: list[int] = []  # sorted, distinct
     groups: dict[int, list[Group]] = {}
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     closed: list[Group] = []
-    opened = 0
+    bins = 0
+    lengths = sorted(histogram.items())
 
     def put(group: Group) -> None:
         if not group.room:
@@ -63,23 +96,23 @@ def best_fit_plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPAC
         if group.room not in groups:
             insort(rooms, group.room)
             groups[group.room] = []
-        groups[group.room].append(group)
+        insort(groups[group.room], group, key=lambda g: (g.capacity, -g.first))
 
-    for length in sorted(histogram, reverse=True):
-        left, rank = histogram[length], 0
+    for k, (length, left) in reversed(list(enumerate(lengths))):
+        rank = 0
         out = runs.setdefault(length, [])
         while left:
-            k = bisect_left(rooms, length)
-            if k < len(rooms):
-                stack = groups[rooms[k]]
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                stack = groups[rooms[at]]
                 group = stack.pop()
                 if not stack:
-                    del groups[rooms.pop(k)]
+                    del groups[rooms.pop(at)]
             else:
-                capacity = opening_capacity(length, capacities, overhead)
+                capacity = opening_capacity(length, lengths[:k], opened, overhead)
                 count = -(-left // (capacity // length))
-                group = Group(opened, count, capacity, capacity)
-                opened += count
+                group = Group(bins, count, capacity, capacity)
+                bins += count
             each = group.room // length
             full = min(group.count, left // each)
             offset = group.capacity - group.room
@@ -98,8 +131,11 @@ def best_fit_plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPAC
                     put(rest)
     done = sorted([g for stack in groups.values() for g in stack] + closed, key=lambda g: g.first)
     used = np.array([g.capacity - g.room for g in done], np.int64)
-    sizes = np.array(sorted(capacities), np.int64)
-    return Plan(runs, np.array([g.first for g in done], np.int64), sizes[np.searchsorted(sizes, used)] if done else used, used)
+    permitted = np.array(sizes, np.int64)
+    return Plan(
+        runs, np.array([g.first for g in done], np.int64), np.array([g.count for g in done], np.int64),
+        permitted[np.searchsorted(permitted, used)] if done else used, used,
+    )
 
 
 def pieces(docs: DataFrame, largest: int) -> DataFrame:
@@ -116,14 +152,16 @@ def best_fit_pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ove
     """One row per piece: doc_id, piece, start, length, bin_id, capacity, bin_used, bin_offset.
 
     A document's length is its words and one end mark; the part of a document beyond the largest capacity goes
-    into further pieces, so no token is lost. Null and empty texts have length 1. Repeated rows are packed each.
-    No documents give no rows. Other columns are not read. The plan and its look-up tables grow with the largest
-    capacity only; ranks within a length are numbered in salted parts and offset by the parts' counts.
+    into further pieces, so no token is lost, however long a text is. Null and empty texts have length 1. Repeated
+    rows are packed each. No documents give no rows. Other columns are not read, so their names may clash. The plan
+    and its look-up tables grow with the largest capacity only; ranks within a length are numbered in parts, as many
+    as the number of pieces asks for, and offset by the parts' counts. A piece's bin depends on the documents only.
     """
     spark = docs.sparkSession
     capacities = tuple(sorted(capacities))
-    salts = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = cut(pieces(docs, capacities[-1]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
+    cells = cut(pieces(docs, capacities[-1]).withColumn("salt", F.xxhash64("doc_id", "piece")))
+    parts = 1 << min(SALT_BITS, max(6, (cells.count() // PART_PIECES).bit_length()))
+    cells = cells.withColumn("salt", F.pmod("salt", F.lit(parts)).cast("int"))
     counts = cells.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     plan = spark.sparkContext.broadcast(best_fit_plan(histogram, capacities, overhead))
