@@ -11,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import cut
+
 #: Lines under the rolling hash; one window in DIVISOR ends a chunk; chunks of fewer lines are left alone.
 WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
 BASE = 31
 
 
+def _digest(body: Column) -> Column:
+    return F.md5(body)
+
+
 def _line_hash(line: Column) -> Column:
     """32 bits of the line's md5, as a bigint."""
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
@@ -46,26 +52,22 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     """(doc_id, key, idx, n) of each occurrence to remove.
 
     Chunks are grouped by digest and by their own bytes, partly before the shuffle, so a chunk that a third of
-    all documents hold arrives as one row per task. A digest that two different texts share removes nothing.
+    all documents hold arrives as one row per task. Were one digest to stand for two different texts, places would be
+    looked up by the texts themselves.
     """
     # outer: a filter inferred from explode would be pushed below the projections and inline them into lambdas
     chunk = with_chunks(docs, window, divisor).select("doc_id", "key", F.explode_outer("chunks").alias("c"))
     chunk = chunk.filter((F.col("c.n") >= min_lines) & F.col("c.body").rlike(r"\S"))
-    chunk = chunk.select("doc_id", "key", "c.idx", "c.n", F.md5("c.body").alias("digest"), "c.body")
+    chunk = chunk.select("doc_id", "key", "c.idx", "c.n", _digest(F.col("c.body")).alias("digest"), "c.body")
     place = F.struct("doc_id", "idx")
     by_bytes = chunk.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
-    repeated = (
-        by_bytes.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("texts"), F.max("times").alias("times"), F.min("first").alias("first"))
-        .filter("texts = 1 and times > 1")
-        .select("digest", "first")
-    )
-    return (
-        chunk.select("doc_id", "key", "idx", "n", "digest")
-        .join(repeated, "digest")
-        .filter(~F.struct("doc_id", "idx").eqNullSafe(F.col("first")))
-        .select("doc_id", "key", "idx", "n")
-    )
+    seen = by_bytes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("times").alias("times"), F.min("first").alias("first"))
+    seen = cut(seen.filter("texts > 1 or times > 1"))
+    if seen.filter("texts > 1").limit(1).count():
+        places = chunk.join(by_bytes.filter("times > 1").select("digest", "body", "first"), ["digest", "body"])
+    else:
+        places = chunk.select("doc_id", "key", "idx", "n", "digest").join(seen.select("digest", "first"), "digest")
+    return places.filter(~F.struct("doc_id", "idx").eqNullSafe(F.col("first"))).select("doc_id", "key", "idx", "n")
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
@@ -73,7 +75,8 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, mi
 
     The first occurrence is the one with the smallest (doc_id, chunk number), nulls first. Null text counts as
     empty and stays null; blank chunks stay. Rows that repeat doc_id and text are treated alike. An empty table
-    gives an empty result. Columns of other names pass through untouched.
+    gives an empty result. Columns of other names pass through untouched, those of this module's results too; only
+    names that begin with __fs_ are its own. A very long text takes time in proportion to its length.
     """
     removed = repeated_chunks(docs, window, divisor, min_lines)
     gone = removed.groupBy("doc_id", "key").agg(F.collect_set("idx").alias("__fs_gone"))
@@ -98,9 +101,8 @@ def _apply(joined: DataFrame, columns: list[str], window: int, divisor: int) ->
         .withColumn(
             "__fs_kept",
             F.expr(
-                "flatten(transform(__fs_ends, (e, j) -> if(array_contains(coalesce(__fs_gone, cast(array() as array<int>)), j),"
-                " cast(array() as array<string>),"
-                " slice(__fs_l, if(j = 0, 0, __fs_ends[j - 1] + 1) + 1, e - if(j = 0, -1, __fs_ends[j - 1])))))"
+                "flatten(transform(array_except(sequence(0, size(__fs_ends) - 1), coalesce(__fs_gone, cast(array() as array<int>))),"
+                " j -> slice(__fs_l, if(j = 0, 0, __fs_ends[j - 1] + 1) + 1, __fs_ends[j] - if(j = 0, -1, __fs_ends[j - 1]))))"
             ),
         )
     )
@@ -156,7 +158,8 @@ def line_runs(docs: DataFrame) -> DataFrame:
     A line goes if it stands in a run of two lines or more (blank ones aside) that an earlier place has; blank
     lines inside the run go with it. Places are ordered by (doc_id, line), nulls first. The first place of any
     line is never taken out, so no line is lost altogether. Null text counts as empty and stays null; rows that
-    repeat doc_id and text are treated alike; columns of other names pass through untouched.
+    repeat doc_id and text are treated alike; columns of other names pass through untouched; an empty table gives an
+    empty result. A very long text takes time in proportion to its length.
     """
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__fs_id"), F.col("key").alias("__fs_key2"), F.col("gone").alias("__fs_gone"))
     joined = docs.withColumn("__fs_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
