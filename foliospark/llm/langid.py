@@ -95,8 +95,16 @@ class Model:
         self.candidates = share >= SCRIPT_SHARE
         self.candidates[~self.candidates.any(axis=1)] = True  # a script that was never seen excludes nobody
 
+    #: Characters whose n-grams are scored together.
+    TOGETHER = 1 << 18
+
     def scores(self, words: list[str], scripts: np.ndarray) -> np.ndarray:
         """(word, language), relative to each word's best candidate."""
+        part = np.cumsum([len(w) for w in words]) // self.TOGETHER
+        starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+        return np.concatenate([self._scores(words[a:b], scripts[a:b]) for a, b in zip(starts, starts[1:], strict=False)])
+
+    def _scores(self, words: list[str], scripts: np.ndarray) -> np.ndarray:
         owner, bucket = buckets_of(words)
         score = np.stack([np.bincount(owner, column[bucket], minlength=len(words)) for column in self.table.T], axis=1) / len(ORDERS)
         able = self.candidates[scripts]
@@ -143,18 +151,22 @@ class Labeller:
     so that the steps through the longest of them are shared by many."""
 
     REMEMBER, TOGETHER = 200_000, 1_500_000
+    #: The same bounds in characters: of remembered words, of texts held.
+    REMEMBER_CHARS, TOGETHER_CHARS = 8 << 20, 16 << 20
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.langs)), np.float32)
         self.sizes = np.empty(0, np.int64)
+        self.chars = 0
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words that have a letter, text after text, and how many each text has."""
         known = self.known
         found = [all_words(t) for t in texts]
         new = list(dict.fromkeys(w for ws in found for w in ws if w not in known))
+        self.chars += sum(map(len, new))
         scripts = np.fromiter(map(script_of, new), np.int64, len(new))
         good = [w for w, s in zip(new, scripts, strict=True) if s >= 0]
         known.update(dict.fromkeys((w for w, s in zip(new, scripts, strict=True) if s < 0), -1))
@@ -242,7 +254,9 @@ def language_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, lang_pred, score, spans of every document, learned from and told by the text alone.
 
     A text that is null or has no letter is ``und`` with score 0. Ties go to the language that sorts first.
-    Repeated rows get a row each. If no row has a language, every text is ``und``.
+    Repeated rows get a row each. If no row has a language, every text is ``und``. An empty table gives an empty
+    result. Only doc_id, text and lang are read, so names of other columns may clash. A very long text is decoded
+    whole; a worker holds texts up to a number of words and of characters, whatever their script, and one batch.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
@@ -261,14 +275,14 @@ def language_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             docs_, texts = pa.concat_arrays([h[0] for h in held]), [t for h in held for t in h[1]]
             found = worker.label(texts, np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]))
             held.clear()
-            if len(worker.known) > worker.REMEMBER:
+            if len(worker.known) > worker.REMEMBER or worker.chars > worker.REMEMBER_CHARS:
                 worker.__init__(model.value)
             return pa.RecordBatch.from_arrays([docs_, *[pa.array([f[k] for f in found], kinds[k]) for k in range(3)]], names)
 
         for part in parts:
             texts = [t or "" for t in part.column(1).to_pylist()]
             held.append((part.column(0), texts, *worker.ids(texts)))
-            if sum(len(h[2]) for h in held) >= worker.TOGETHER:
+            if sum(len(h[2]) for h in held) >= worker.TOGETHER or sum(len(t) for h in held for t in h[1]) >= worker.TOGETHER_CHARS:
                 yield flush()
         if held:
             yield flush()
