@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, exact_dedup, fingerprint, langid, line_dedup, near_dup, packing, pii, quality, url_filter
 from foliospark.llm.common import held_out, read_table
 
-#: The vocabulary file of op6; the environment can name another folder of vocabulary files.
-VOCABULARY = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+
+
+def vocabulary() -> str:
+    """The vocabulary file of op6."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(read_table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.bpe_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
