@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash (native).
 
-Pieces are runs of up to PIECE non-space code points, k-mers are K pieces in a row. Each k-mer is numbered by its
+Pieces are runs of up to PIECE non-space code points, and single code points in a run of more than LONG of them, as of
+scripts without spaces; so an insertion moves the pieces of at most LONG code points. k-mers are K pieces in a row. Each k-mer is numbered by its
 occurrence, so a text is a set of (k-mer, occurrence). A hash deals the set into BUCKETS parts; in each part the
 TUPLE members with the least hash are taken, put back in text order, and hashed as a tuple. Two texts agree in a
 part when they share these members in the same order, which becomes rarer with edit distance.
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import cut
 
-PIECE, K, TUPLE, BUCKETS = 8, 3, 2, 64
-#: Bits of a position in a text, and of a hash beside bucket and position.
-POSITION_BITS, HASH_BITS, BUCKET_BITS = 24, 33, 6
+PIECE, LONG, K, TUPLE, BUCKETS = 8, 24, 3, 2, 64
+#: A code point with LONG more behind or before it in its run is a piece; other pieces are counted from a run's end or start.
+PIECES = rf"\\S(?=\\S{{{LONG}}})|(?<=\\S{{{LONG}}})\\S|\\S{{1,{PIECE}}}"
+#: Bits of a position in a text, as many as an array can have, and of a hash beside bucket and position.
+POSITION_BITS, HASH_BITS, BUCKET_BITS = 31, 26, 6
 #: An id's neighbour is sought among ids that agree but for so many low bits, then among groups, and so on.
 SHIFTS = (12, 24, 36, 48)
 
@@ -23,8 +26,7 @@ SHIFTS = (12, 24, 36, 48)
 def fingerprint_columns(df: DataFrame, text: str, out: str, k: int = K, size: int = TUPLE) -> DataFrame:
     """Add ``out``: one bigint (bucket, 32-bit tuple hash) for each bucket with a member; no pieces, no entry.
 
-    A text of fewer than k pieces has one k-mer, of all its pieces. Positions are kept in POSITION_BITS bits:
-    a text with more k-mers than that is refused with an error, not cut.
+    A text of fewer than k pieces has one k-mer, of all its pieces.
     """
     p = f"__{out}_"
     low, mask = POSITION_BITS, (1 << POSITION_BITS) - 1
@@ -35,10 +37,10 @@ def fingerprint_columns(df: DataFrame, text: str, out: str, k: int = K, size: in
     el = lambda o: f"shiftleft(shiftrightunsigned(xxhash64(shiftright(x, {low}), {o}), {top}), {low}) | (x & {mask}L)"
     run = f"transform(slice({p}s, a + 1, coalesce(get({p}starts, j + 1), size({p}s)) - a), (x, o) -> {el('o')})"
     steps = {
-        "h": f"transform(regexp_extract_all({text}, '\\\\S{{1,{PIECE}}}', 0), x -> xxhash64(x))",
+        "h": f"transform(regexp_extract_all({text}, '{PIECES}', 0), x -> xxhash64(x))",
         "g": f"case when size({p}h) >= {k} then transform(sequence(0, size({p}h) - {k}), i -> xxhash64({gram}))"
         f" when size({p}h) > 0 then array(xxhash64({p}h)) else cast(array() as array<bigint>) end",
-        "s": f"sort_array(transform({p}g, (x, i) -> (x & {~mask}L) | if(i > {mask}, raise_error('text has too many k-mers'), i)))",
+        "s": f"sort_array(transform({p}g, (x, i) -> (x & {~mask}L) | i))",
         "starts": f"filter(if(size({p}s) = 0, cast(array() as array<int>), sequence(0, size({p}s) - 1)),"
         f" i -> i = 0 or shiftright({p}s[i], {low}) != shiftright({p}s[i - 1], {low}))",
         "e": f"sort_array(if(size({p}starts) = size({p}s), transform({p}s, x -> {el('0')}), flatten(transform({p}starts, (a, j) -> {run}))))",
@@ -98,7 +100,8 @@ def document_fingerprints(docs: DataFrame, k: int = K, size: int = TUPLE) -> Dat
     document by descending doc_id. A null text is an empty one; its fingerprint is the empty string. A null
     doc_id sorts below all others (and the least bigint is taken for one). An id that occurs several times is one document of the order: as a next
     document it stands for its smallest opening and its smallest fingerprint; each of its rows gets a row. An
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. Other columns are not read, so their names may clash. A text is handled whole,
+    however long: one task holds its pieces, about 40 bytes each.
     """
     none = F.lit(-(2**63))
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
