@@ -45,16 +45,16 @@ def with_host_path(pages: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every page.
 
-    Each distinct address is expanded into (suffix of its host at a label boundary) x (prefix of its path of a
-    length that some rule path has), the expressions are joined to the rules on the first digits of a SHA-256,
-    and full digests are compared. The longest rule wins, then the longer host, then block, then the smaller
+    Each distinct address is expanded into (suffix of its host at a label boundary) x (prefix of its path), both of
+    lengths that some rule has, so a very long host or path gives no more expressions than a short one. The
+    expressions are joined to the rules on the first digits of a SHA-256, and full digests are compared. The longest rule wins, then the longer host, then block, then the smaller
     string. Without a rule the verdict is ``default``. A null url, or one without ://, has an empty host and
     path and meets no rule with a host; repeated pages each get a row; no pages give no rows; rules with a null
-    field are ignored. Only page_id and url are read. Distinct lengths of rule paths are the one thing that is
-    collected: they are bounded by the longest path.
+    field are ignored. Only page_id and url are read, so names of other columns may clash. Distinct lengths of rule
+    hosts and paths are the one thing that is collected: they are bounded by the longest of each.
     """
     rules = rules.dropna(subset=["verdict", "host", "path"]).dropDuplicates(["host", "path", "verdict"])
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    host_lengths, path_lengths = (sorted(r[0] for r in rules.select(F.length(c)).distinct().collect()) for c in ("host", "path"))
     digest = F.sha2(F.concat("host", F.lit("\u0000"), "path"), 256)
     keyed = rules.select(
         F.substring(digest, 1, PREFIX_DIGITS).alias("short"),
@@ -69,14 +69,13 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     )
     parsed = with_host_path(pages)
     address = parsed.select("host", "path").distinct()
-    suffixes = F.expr(
-        "transform(filter(sequence(1, length(host)), i -> i = 1 or substring(host, i - 1, 1) = '.'), i -> substring(host, i))"
-    )
-    wanted = F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("cast(array() as array<int>)")
+    numbers = lambda found: F.array(*[F.lit(n) for n in found]) if found else F.expr("cast(array() as array<int>)")
+    at_label = lambda n: (n == F.length("host")) | ((n < F.length("host")) & (F.col("host").substr(F.length("host") - n, F.lit(1)) == "."))
     expressions = (
         address.filter("host != ''")
-        .withColumn("suffix", F.explode_outer(suffixes))
-        .withColumn("size", F.explode_outer(F.filter(wanted, lambda n: n <= F.length("path"))))
+        .withColumn("tail", F.explode_outer(F.filter(numbers([n for n in host_lengths if n]), at_label)))
+        .withColumn("size", F.explode_outer(F.filter(numbers(path_lengths), lambda n: n <= F.length("path"))))
+        .withColumn("suffix", F.expr("right(host, tail)"))
         .withColumn("digest", F.sha2(F.expr("concat(suffix, '\\0', left(path, size))"), 256))
         .select("host", "path", F.substring("digest", 1, PREFIX_DIGITS).alias("short"), "digest")
     )
