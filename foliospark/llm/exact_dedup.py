@@ -30,6 +30,11 @@ def _blocks(text: Column, size: int) -> Column:
     return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(found)
 
 
+def _key(block: Column) -> Column:
+    """The 128 bits a block is looked up by."""
+    return F.struct(F.xxhash64(block).alias("k1"), F.xxhash64(F.lit(17), block).alias("k2"))
+
+
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``name``, an integer for each row of ``distinct``: its rank in sorted order within a bucket of keys."""
     bucket = F.shiftrightunsigned(F.xxhash64(*keys), 64 - BUCKET_BITS)
@@ -58,20 +63,16 @@ def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[Dat
     """(rows, identity): rows(rid, doc_id, text_sha256), identity(rid, level, name), both in the shared folder."""
     text = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", normalised(F.col("text")).alias("norm"))
     text = text.withColumn("blocks", _blocks(F.col("norm"), block_chars))
-    key = lambda b: F.struct(F.xxhash64(b).alias("k1"), F.xxhash64(F.lit(17), b).alias("k2"))
-    rows = cut(
-        text.select("rid", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform("blocks", key).alias("keys"))
-    )
-    blocks = text.select(F.explode_outer("blocks").alias("block")).select(
-        F.xxhash64("block").alias("k1"), F.xxhash64(F.lit(17), F.col("block")).alias("k2"), "block"
-    )
-    names, by = _block_names(blocks)
+    row = ["rid", "doc_id", F.sha2("norm", 256).alias("text_sha256")]
+    rows = cut(text.select(*row, F.transform("blocks", _key).alias("keys")))
+    names, by = _block_names(text.select(F.explode_outer("blocks").alias("block")).select(_key(F.col("block")).alias("key"), "block").select("key.*", "block"))
     if by == ["k1", "k2"]:
-        parts = rows.select("rid", F.size("keys").alias("n"), F.posexplode("keys").alias("i", "key"))
-        parts = parts.select("rid", "n", "i", "key.k1", "key.k2")
+        parts = rows.select("rid", F.size("keys").alias("n"), F.posexplode("keys").alias("i", "key")).select("rid", "n", "i", "key.*")
     else:
-        parts = text.select("rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
-        parts = parts.withColumns({"k1": F.xxhash64("block"), "k2": F.xxhash64(F.lit(17), F.col("block"))})
+        # row ids are drawn anew, so the rows are those that carry the blocks
+        rows = cut(text.select(*row, "blocks"))
+        parts = rows.select("rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
+        parts = parts.withColumn("key", _key(F.col("block"))).select("rid", "n", "i", "key.*", "block")
     named = cut(parts.join(names, by).select("rid", "n", "i", "name"))
 
     done = named.filter("n = 1").select("rid", F.lit(0).alias("level"), "name")
