@@ -8,8 +8,10 @@ the whole text. Every labelled span holds a digit or an at sign, so a window wit
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 128, 64
 #: A span of the network counts if its tags' least posterior is this, and its own check holds.
 CONFIDENCE = 0.9
-SEED, TRAIN_WINDOWS, TRAIN_SIZE, EPOCHS, BATCH = 5, 4000, 72, 8, 64
-EMBED, HIDDEN, ALPHABET = 12, 20, 131
+SEED, TRAIN_WINDOWS, TRAIN_SIZE, EPOCHS, BATCH = 5, 8000, 72, 10, 64
+EMBED, HIDDEN, ALPHABET = 12, 28, 131
 TAGS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 BIG = 1e4
 
@@ -388,7 +390,7 @@ def windows_of(text: str) -> list[int]:
     return [k * STRIDE for k in sorted(starts)]
 
 
-def decode_windows(model: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, str, float]]]:
+def decode_windows(model: Tagger, texts: list[str], batch: int = 256) -> list[list[tuple[int, int, str, float]]]:
     """(start, end, kind, least posterior) of the spans of each window."""
     out = []
     for at in range(0, len(texts), batch):
@@ -422,9 +424,11 @@ def reconcile(text: str, base: list[tuple[int, int, str]], found: list[tuple[int
         if p >= CONFIDENCE and plausible(kind, text[s:e]):
             best[s, e, kind] = max(p, best.get((s, e, kind), 0))
     taken = sorted((s, e) for s, e, _ in base)
+    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     free = []
     for (s, e, kind), p in best.items():
-        if not any(s < e2 and s2 < e for s2, e2 in taken):
+        before = bisect_left(begins, e)  # base spans that begin before the end; the furthest of their ends
+        if not before or reach[before - 1] <= s:
             free.append((e, s, kind, p))
     free.sort()
     ends = [f[0] for f in free]
@@ -482,7 +486,9 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), clean:
     ``clean``, __fs_text, the text with each span replaced by <kind>.
 
     A null text is an empty one (and stays null when cleaned). Offsets count code points, ends are exclusive.
-    Texts are handled whole, batch by batch; repeated rows get a row each.
+    Texts are handled whole, batch by batch, a very long one in windows; repeated rows get a row each and an empty
+    table gives an empty result. Of the input only ``carry`` and text are read; names that begin with __fs_ are the
+    operator's own, all others may be carried.
     """
     from pyspark.sql import types as T
 
