@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
+import time
 from collections import Counter
 
 import pytest
@@ -56,6 +58,33 @@ def test_block_names_without_a_proof_use_the_blocks(spark):
     assert by == ["k1", "k2", "block"] and names.select("name").distinct().count() == 3
 
 
+def test_exact_dedup_without_a_proof(spark, monkeypatch):
+    """Keys that stand for several blocks: names come from the blocks, and nothing changes."""
+    want = Counter(map(tuple, exact_dedup.exact_dedup(frame(spark), block_chars=3).collect()))
+    monkeypatch.setattr(exact_dedup, "_key", lambda b: F.struct(F.length(b).alias("k1"), F.lit(0).cast("bigint").alias("k2")))
+    assert Counter(map(tuple, exact_dedup.exact_dedup(frame(spark), block_chars=3).collect())) == want
+
+
+def test_line_dedup_with_shared_digests(spark, monkeypatch):
+    passage = "\n".join(f"line {k} of the passage" for k in range(12))
+    other = "\n".join(f"row {k} of another text" for k in range(12))
+    docs = frame(spark, [(2, f"own two\n{passage}\nend two"), (1, f"own one\n{passage}\nend one"), (3, other), (4, f"{other}\nend")])
+    want = Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(docs).collect())
+    monkeypatch.setattr(line_dedup, "_digest", lambda b: F.lit("same"))
+    assert Counter((r.doc_id, r.text) for r in line_dedup.line_dedup(docs).collect()) == want
+
+
+def test_line_dedup_is_linear(spark):
+    """A text of 200,000 lines that repeat an earlier one, all but the last."""
+    body = "\n".join(f"{k}" for k in range(200_000))
+    docs = frame(spark, [(1, body + "\na"), (2, body + "\nb")])
+    for clean in (line_dedup.line_dedup, line_dedup.line_runs):
+        began = time.perf_counter()
+        got = {r.doc_id: r["text"] for r in clean(docs).collect()}
+        assert got[1] == body + "\na" and got[2].endswith("b") and len(got[2]) < len(body) / 2
+        assert time.perf_counter() - began < 20
+
+
 def test_line_dedup_by_hand(spark):
     passage = "\n".join(f"line {k} of the passage" for k in range(12))
     data = [(2, f"own two\n{passage}\nend two"), (1, f"own one\n{passage}\nend one"), (3, None), (4, ""), (5, "\n\n\n"), (1, f"own one\n{passage}\nend one")]
@@ -131,6 +160,86 @@ def test_fingerprints(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
 
 
+def brute_fingerprint(text):
+    """Order MinHash in plain Python: xxh64 as Spark chains it, one bucket after another."""
+    import xxhash
+
+    def digest(*values):
+        seed = 42
+        for v in values:
+            b = v.encode() if isinstance(v, str) else struct.pack("<q", v) if isinstance(v, Wide) else struct.pack("<i", v)
+            seed = xxhash.xxh64(b, seed=seed).intdigest()
+        return Wide(seed - (1 << 64) if seed >> 63 else seed)
+
+    class Wide(int):
+        pass
+
+    pieces = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        i = 0
+        while i < len(run):
+            n = 1 if i >= fingerprint.LONG or len(run) - i > fingerprint.LONG else fingerprint.PIECE
+            pieces.append(run[i : i + n])
+            i += n
+    h = [digest(p) for p in pieces]
+    k = fingerprint.K
+    grams = [digest(*h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [digest(*h)] if h else []
+    seen, parts = Counter(), {}
+    for i, g in enumerate(grams):
+        name = Wide(g >> fingerprint.POSITION_BITS)
+        m = digest(name, seen[name]) & (1 << 64) - 1
+        seen[name] += 1
+        parts.setdefault(m >> 58, []).append((m >> 32, i))
+    out = ""
+    for b in sorted(parts):
+        chosen = sorted(sorted(parts[b])[: fingerprint.TUPLE], key=lambda x: x[1])
+        out += f"{b:02x}{digest(*(Wide(m & (1 << 26) - 1) for m, _ in chosen)) & 0xFFFFFFFF:08x}"
+    return out
+
+
+def cells(fp):
+    return [fp[i : i + 10] for i in range(0, len(fp), 10)]
+
+
+def brute_likeness(a, b):
+    a, b = cells(a), cells(b)
+    either = {x[:2] for x in a + b}
+    return len(set(a) & set(b)) / len(either) if either else 1.0
+
+
+def test_fingerprints_equal_plain_python(spark):
+    draw = random.Random(3)
+    words = ["the", "of", "internationalisation", "a", "日本語", "x" * 26, "42", "é𝔘"]
+    data = [(k * 999, " ".join(draw.choice(words) for _ in range(k * k))) for k in range(14)]
+    data += [(1, "".join(chr(draw.randrange(0x4E00, 0x4F00)) for _ in range(300))), (2, None), (3, "x" * 30 + "\t" + "y" * 49), (4, "日本語 x")]
+    order = sorted((i for i, _ in data), reverse=True)
+    text, changed = {i: t or "" for i, t in data}, edited(data)
+    got = {r.doc_id: r for r in fingerprint.document_fingerprints(frame(spark, data)).collect()}
+    for k, i in enumerate(order):
+        own, after = brute_fingerprint(text[i]), brute_fingerprint(text[order[(k + 1) % len(order)]])
+        efp = brute_fingerprint(changed[i])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, efp)
+        assert got[i].near_edited == pytest.approx(brute_likeness(own, efp)) and got[i].near_next == pytest.approx(brute_likeness(own, after))
+
+
+@pytest.mark.parametrize("space", ["", "x"])
+def test_fingerprints_of_text_without_spaces(spark, space):
+    """One code point put in at the start or in the middle of 4,000 changes little."""
+    draw = random.Random(4)
+    t = "".join(chr(draw.randrange(0x4E00, 0x9FA5)) if not space else draw.choice("abcdefghij0123456789") for _ in range(4000))
+    df = spark.createDataFrame([(0, t), (1, "新" + t), (2, t[:2000] + "新" + t[2000:]), (3, t[::-1])], "doc_id long, text string")
+    fp = {r.doc_id: r.f for r in fingerprint.fingerprint_columns(df, "text", "fp").select("doc_id", fingerprint.as_text(F.col("fp")).alias("f")).collect()}
+    near = [brute_likeness(fp[0], fp[k]) for k in range(4)]
+    assert near[0] == 1 and near[1] > 0.9 and near[2] > 0.9 and near[3] < 0.2
+
+
+def test_fingerprints_of_a_very_long_text(spark):
+    """More k-mers than 24 bits number is no limit; here the work grows with the length."""
+    df = spark.createDataFrame([(0, "ab c " * 400_000), (1, "ab c " * 400_000 + "d")], "doc_id long, text string")
+    a, b = (r.f for r in fingerprint.fingerprint_columns(df, "text", "fp").orderBy("doc_id").select(fingerprint.as_text(F.col("fp")).alias("f")).collect())
+    assert brute_likeness(a, b) > 0.9
+
+
 def test_fingerprints_follow_edits(spark):
     words = [f"word{k}" for k in range(600)]
     moved = words[300:] + words[:300]
@@ -174,6 +283,13 @@ def test_urls(spark):
     assert url_filter.url_filter(pages.limit(0), url_filter.rule_frame(spark, rules)).collect() == []
 
 
+def test_urls_with_very_long_hosts(spark):
+    urls = ["http://" + "a." * n + "example.com/en/" + "b/" * n for n in (1, 60_000)] + ["http://" + "x" * 100_000 + ".net/fr/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, url_filter.rule_frame(spark, url_filter.RULES)).collect()}
+    assert got == {k: brute(u, url_filter.RULES) for k, u in enumerate(urls)}
+
+
 def test_near_copies_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 1500)
     text = " ".join(f"w{k}" for k in range(3000))
