@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import cut
 
 PIECE, LONG, K, TUPLE, BUCKETS = 8, 24, 3, 2, 64
-#: A code point with LONG more behind or before it in its run is a piece; other pieces are counted from a run's end or start.
-PIECES = rf"\\S(?=\\S{{{LONG}}})|(?<=\\S{{{LONG}}})\\S|\\S{{1,{PIECE}}}"
+#: The rest of a run is a piece if it is short enough; else a code point with LONG more behind or before it is one.
+PIECES = rf"\\S{{1,{PIECE}}}+(?!\\S)|\\S(?=\\S{{{LONG}}})|(?<=\\S{{{LONG}}})\\S|\\S{{{PIECE}}}"
 #: Bits of a position in a text, as many as an array can have, and of a hash beside bucket and position.
 POSITION_BITS, HASH_BITS, BUCKET_BITS = 31, 26, 6
 #: An id's neighbour is sought among ids that agree but for so many low bits, then among groups, and so on.

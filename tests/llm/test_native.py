@@ -178,7 +178,8 @@ def brute_fingerprint(text):
     for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
         i = 0
         while i < len(run):
-            n = 1 if i >= fingerprint.LONG or len(run) - i > fingerprint.LONG else fingerprint.PIECE
+            rest = len(run) - i
+            n = rest if rest <= fingerprint.PIECE else 1 if i >= fingerprint.LONG or rest > fingerprint.LONG else fingerprint.PIECE
             pieces.append(run[i : i + n])
             i += n
     h = [digest(p) for p in pieces]
