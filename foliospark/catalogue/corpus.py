@@ -19,8 +19,7 @@ _FOLDED = r"regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')"
 
 @register(oracle=f"SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY {_FOLDED}), doc_id) AS duplicate_of FROM documents")
 def q_doc_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = read_table(spark, sf_dir, "documents").select("doc_id", F.replace(squeeze(F.col("text")), F.lit(" "), F.lit("")).alias("text"))
-    return C.mark_duplicates(folded, "doc_id", "text").select("doc_id", "duplicate_of")
+    return C.duplicates_of(read_table(spark, sf_dir, "documents"), "doc_id", F.replace(squeeze(F.col("text")), F.lit(" "), F.lit("")))
 
 
 @register(oracle="""

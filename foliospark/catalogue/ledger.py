@@ -54,23 +54,13 @@ def _governed(rows: DataFrame) -> DataFrame:
     return M.admit(rows, limits, "step").select("step", "refused")
 
 
-@register(oracle=f"""
-    WITH l AS (SELECT {_LEDGER} FROM events WHERE event_id < 600), r AS (SELECT *, 50 + tokens_out AS max_output, CASE WHEN model <> 'unheard-of' THEN 0.01 END AS worst_usd FROM l),
-    a AS (SELECT *, CASE WHEN model = 'gpt-4o' THEN 'model' WHEN max_output > 95 THEN 'output' END AS own FROM r), o AS (SELECT *, own IS NULL AND worst_usd IS NOT NULL AS open FROM a),
-    c AS (SELECT *, sum(CASE WHEN open THEN 1 ELSE 0 END) OVER (ORDER BY step) AS calls, sum(CASE WHEN open THEN worst_usd ELSE 0 END) OVER (ORDER BY step) AS usd FROM o)
-    SELECT step, CASE WHEN own IS NOT NULL THEN own WHEN open AND calls > 200 THEN 'calls' WHEN worst_usd IS NULL THEN 'price' WHEN usd > 1.5 + 1e-9 THEN 'cost' END AS refused FROM c""")
-def q_governor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run's first six hundred requests, as a run has them."""
-    return _governed(ledger(spark, sf_dir).filter("step < 600"))
-
-
 @register(oracle=f"""
     WITH l AS (SELECT {_LEDGER} FROM events), r AS (SELECT *, 50 + tokens_out AS max_output, CASE WHEN model <> 'unheard-of' THEN 0.01 END AS worst_usd FROM l),
     a AS (SELECT *, CASE WHEN model = 'gpt-4o' THEN 'model' WHEN max_output > 95 THEN 'output' END AS own FROM r), o AS (SELECT *, own IS NULL AND worst_usd IS NOT NULL AS open FROM a),
     c AS (SELECT *, sum(CASE WHEN open THEN 1 ELSE 0 END) OVER (ORDER BY step) AS calls, sum(CASE WHEN open THEN worst_usd ELSE 0 END) OVER (ORDER BY step) AS usd FROM o)
     SELECT step, CASE WHEN own IS NOT NULL THEN own WHEN open AND calls > 200 THEN 'calls' WHEN worst_usd IS NULL THEN 'price' WHEN usd > 1.5 + 1e-9 THEN 'cost' END AS refused FROM c""")
-def q_governor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All requests as one run; q_governor judges those that its SQL reads."""
+def q_governor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests as one run."""
     return _governed(ledger(spark, sf_dir))
 
 
@@ -96,12 +86,13 @@ def q_replay_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.replay(rows.filter("event_id % 2 = 0"), recorded, "mock", "event_id").select("event_id", "reply", "missed")
 
 
-@register()
+@register(oracle="""
+    SELECT event_id, 'the ' || props AS reply, TRUE AS ok, bool_or(event_id % 2 = 0) OVER (PARTITION BY props) AS cached FROM events""")
 def q_call_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of which a cache knows half."""
     rows = read_table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("QUESTION: q\n\nthe "), "props").alias("prompt"))
     cache = M.cacheable(M.call(rows.filter("event_id % 2 = 0"), CLIENT)).drop("shard")
-    return M.call(rows, CLIENT, cache).select("event_id", "reply", "ok", "cached", "tokens_in", "tokens_out")
+    return M.call(rows, CLIENT, cache).select("event_id", "reply", "ok", "cached")
 
 
 @register(oracle="SELECT event_id, event_type, value FROM events")

@@ -31,15 +31,9 @@ def q_finish_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.finish_records(references(spark, sf_dir)).select("record_id", "title", "year", "doi", "venue", "authors")
 
 
-@register(oracle=r"SELECT doc_id, nullif(regexp_replace(lower(strip_accents(lower(left(text, 200)))), '[^\p{L}\p{N}]+', '', 'g'), '') AS title_key FROM documents WHERE NOT regexp_matches(left(text, 200), '[ßæœ]')")
-def q_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(200)).alias("t"))
-    return docs.filter(~F.col("t").rlike("[ßæœ]")).select("doc_id", K.title_key(F.col("t")).alias("title_key"))
-
-
 @register(oracle=r"SELECT doc_id, nullif(regexp_replace(lower(strip_accents(replace(replace(replace(lower(text), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))), '[^\p{L}\p{N}]+', '', 'g'), '') AS title_key FROM documents")
-def q_title_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and its whole text; q_title_key reads what its SQL reads."""
+def q_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, keyed by its whole text."""
     return read_table(spark, sf_dir, "documents").select("doc_id", K.title_key(F.col("text")).alias("title_key"))
 
 
@@ -70,16 +64,22 @@ def q_merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_fields(rows)
 
 
-@register(oracle="""
-    WITH r AS (SELECT p_partkey AS record_id, 'paper' || p_partkey % 1900 || '.pdf' AS name FROM part), f AS (SELECT s_suppkey, 'files/paper' || s_suppkey || '.pdf' AS path, 'paper' || s_suppkey || '.pdf' AS name FROM supplier),
-    p AS (SELECT record_id, path, count(*) OVER (PARTITION BY record_id) AS a, count(*) OVER (PARTITION BY path) AS b FROM r JOIN f USING (name))
-    SELECT record_id, path, 'file' AS route FROM p WHERE a = 1 AND b = 1""")
+#: One file a supplier, found by its name, a DOI in its stem, the head of a title, or surname and year.
+_PATH = "'files/' || CASE s_suppkey % 4 WHEN 0 THEN 'scan_' || s_suppkey WHEN 1 THEN 'tail' || s_suppkey WHEN 2 THEN 'Trial_' || lpad(cast(s_suppkey AS VARCHAR(20)), 8, '0') || '_of_long_term_outcome' ELSE 'Fam' || translate(cast(s_suppkey AS VARCHAR(20)), '0123456789', 'abcdefghij') || '_2001_final' END || '.pdf'"
+
+
+@register(oracle=f"""
+    SELECT s_suppkey AS record_id, {_PATH} AS path, (['file', 'doi', 'title', 'author_year'])[s_suppkey % 4 + 1] AS route FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey % 20 <> 0""")
 def q_match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records: a quarter of those that a supplier has a file for are found by each route; every twentieth
+    file name is claimed by two records, so neither gets it."""
+    named = "CASE WHEN p_partkey % 4 = 0 THEN '/old/scan_' || p_partkey || '.pdf' WHEN p_partkey % 20 = 1 THEN 'scan_' || (p_partkey - 1) || '.pdf' END"
     records = read_table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("record_id"), F.expr("'paper' || p_partkey % 1900 || '.pdf'").alias("file"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("string").alias("authors"), F.lit(None).cast("string").alias("year"),
+        F.col("p_partkey").alias("record_id"), F.expr(named).alias("file"), F.expr("CASE WHEN p_partkey % 4 = 1 THEN '10.1000/tail' || p_partkey END").alias("doi"),
+        F.expr("CASE WHEN p_partkey % 4 = 2 THEN 'Trial ' || lpad(cast(p_partkey as string), 8, '0') || ' of long-term outcome in hospitals' END").alias("title"),
+        F.expr("CASE WHEN p_partkey % 4 = 3 THEN 'Fam' || translate(cast(p_partkey as string), '0123456789', 'abcdefghij') || ', J; Roe, R' END").alias("authors"), F.lit("2001").alias("year"),
     )
-    files = read_table(spark, sf_dir, "supplier").select(F.expr("'files/paper' || s_suppkey || '.pdf'").alias("path"))
+    files = read_table(spark, sf_dir, "supplier").select(F.expr(_PATH).alias("path"))
     return R.match_files(records, files).select("record_id", "path", "route")
 
 

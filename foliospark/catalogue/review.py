@@ -36,40 +36,20 @@ def q_claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(spark, sf_dir)[1].select("claim_id", "study", "role")
 
 
-@register(oracle=f"""
-    WITH {_VERIFIED}, j AS (SELECT k.claim_id, k.role, c_acctbal AS v FROM k JOIN n USING (claim_id) JOIN customer ON c_custkey = study WHERE study % 40 = 1),
-    m AS (SELECT claim_id, min(v) FILTER (role = 'support') AS a, max(v) FILTER (role = 'support') AS b, min(v) FILTER (role = 'contradict') AS c, max(v) FILTER (role = 'contradict') AS d FROM j GROUP BY 1)
-    SELECT n.claim_id, coalesce(b < c OR d < a, FALSE) AS splits FROM n LEFT JOIN m USING (claim_id)""")
-def q_moderators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = read_table(spark, sf_dir, "customer").filter("c_custkey % 40 = 1").select(F.col("c_custkey").alias("study"), F.col("c_acctbal").alias("value"))
-    return R.moderator_splits(claims(spark, sf_dir)[1], values, True)
-
-
 @register(oracle=f"""
     WITH {_VERIFIED}, j AS (SELECT k.claim_id, k.role, c_acctbal AS v FROM k JOIN n USING (claim_id) JOIN customer ON c_custkey = study),
     m AS (SELECT claim_id, min(v) FILTER (role = 'support') AS a, max(v) FILTER (role = 'support') AS b, min(v) FILTER (role = 'contradict') AS c, max(v) FILTER (role = 'contradict') AS d FROM j GROUP BY 1)
     SELECT n.claim_id, coalesce(b < c OR d < a, FALSE) AS splits FROM n LEFT JOIN m USING (claim_id)""")
-def q_moderators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All studies; the query above reads those that its SQL reads."""
+def q_moderators(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("study"), F.col("c_acctbal").alias("value"))
     return R.moderator_splits(claims(spark, sf_dir)[1], values, True)
 
 
-@register(oracle=f"""
-    WITH {_VERIFIED}, j AS (SELECT k.claim_id, k.role, lower(c_mktsegment) AS v FROM k JOIN n USING (claim_id) JOIN customer ON c_custkey = study WHERE study % 40 = 1),
-    a AS (SELECT claim_id, list(DISTINCT v) FILTER (role = 'support') AS x, list(DISTINCT v) FILTER (role = 'contradict') AS y FROM j GROUP BY 1)
-    SELECT n.claim_id, coalesce(len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y), FALSE) AS splits FROM n LEFT JOIN a USING (claim_id)""")
-def q_moderators_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = read_table(spark, sf_dir, "customer").filter("c_custkey % 40 = 1").select(F.col("c_custkey").alias("study"), F.col("c_mktsegment").alias("value"))
-    return R.moderator_splits(claims(spark, sf_dir)[1], values, False)
-
-
 @register(oracle=f"""
     WITH {_VERIFIED}, j AS (SELECT k.claim_id, k.role, lower(c_mktsegment) AS v FROM k JOIN n USING (claim_id) JOIN customer ON c_custkey = study),
     a AS (SELECT claim_id, list(DISTINCT v) FILTER (role = 'support') AS x, list(DISTINCT v) FILTER (role = 'contradict') AS y FROM j GROUP BY 1)
     SELECT n.claim_id, coalesce(len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y), FALSE) AS splits FROM n LEFT JOIN a USING (claim_id)""")
-def q_moderators_words_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All studies; the query above reads those that its SQL reads."""
+def q_moderators_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("study"), F.col("c_mktsegment").alias("value"))
     return R.moderator_splits(claims(spark, sf_dir)[1], values, False)
 
@@ -114,15 +94,11 @@ def q_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(oracle="""
-    WITH u AS (SELECT p_partkey AS c, CASE WHEN p_partkey % 11 = 0 THEN -p_partkey ELSE p_size % 6 END AS a, CASE WHEN p_partkey % 13 = 0 THEN -p_partkey ELSE p_size % 4 END AS b FROM part WHERE p_partkey % 5 = 0 AND (p_partkey % 11 <> 0 OR p_partkey % 13 <> 0)),
-    p AS (SELECT count(*) AS n, sum(CASE WHEN (x.a = y.a) <> (x.b = y.b) THEN 1 ELSE 0 END) AS d FROM u x JOIN u y ON x.c < y.c) SELECT round(d / n, 9) AS distance FROM p""")
+    WITH u AS (SELECT p_partkey AS c, CASE WHEN p_partkey % 11 = 0 THEN -p_partkey ELSE p_size % 6 END AS a, CASE WHEN p_partkey % 13 = 0 THEN -p_partkey ELSE p_size % 4 END AS b FROM part WHERE p_partkey % 11 <> 0 OR p_partkey % 13 <> 0),
+    n AS (SELECT a, b, count(*) AS n FROM u GROUP BY ALL), x AS (SELECT a, sum(n) AS n FROM n GROUP BY a), y AS (SELECT b, sum(n) AS n FROM n GROUP BY b)
+    SELECT round(((SELECT sum(n * (n - 1) / 2) FROM x) + (SELECT sum(n * (n - 1) / 2) FROM y) - 2 * (SELECT sum(n * (n - 1) / 2) FROM n)) / (SELECT sum(n) * (sum(n) - 1) / 2 FROM n), 9) AS distance""")
 def q_outline_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outlines(read_table(spark, sf_dir, "part").filter("p_partkey % 5 = 0"))
-
-
-@register()
-def q_outline_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts; without SQL, whose pairs grow with the square of the parts."""
+    """Over all parts; a test counts the pairs themselves on a small table."""
     return _outlines(read_table(spark, sf_dir, "part"))
 
 
@@ -167,13 +143,14 @@ def q_bib_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lettered_keys(rows, "key", "p_name", "p_partkey").select("p_partkey", "cite")
 
 
-@register(oracle="SELECT row_number() OVER (ORDER BY lower(s_name), s_suppkey)::INTEGER AS n, s_suppkey, s_name || '. (' || (2000 + s_nationkey) || ').' AS entry FROM supplier")
+@register(oracle="""
+    SELECT row_number() OVER (ORDER BY lower(s_name), 2000 + s_nationkey, s_suppkey)::INTEGER AS n, s_suppkey,
+           s_name || '.' || CASE WHEN s_suppkey % 3 <> 0 THEN ' (' || (2000 + s_nationkey) || ').' ELSE '' END || ' Report ' || s_suppkey || '.' AS entry FROM supplier""")
 def q_reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = read_table(spark, sf_dir, "supplier")
-    n = F.row_number().over(Window.orderBy(F.lower("s_name"), "s_suppkey"))
-    return rows.select(n.alias("n"), "s_suppkey", F.concat("s_name", F.lit(". ("), (2000 + F.col("s_nationkey")).cast("string"), F.lit(").")).alias("entry"))
+    """Suppliers as references; every third has no year."""
+    year = F.expr("CASE WHEN s_suppkey % 3 <> 0 THEN cast(2000 + s_nationkey as string) END")
+    title = F.concat(F.lit("Report "), F.col("s_suppkey").cast("string"), F.lit("."))
+    return R.reference_list(read_table(spark, sf_dir, "supplier"), F.col("s_name"), year, title, "s_suppkey")
 
 
 @register(oracle="""

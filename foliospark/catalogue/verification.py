@@ -23,7 +23,7 @@ def q_quote_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each turn its words 3 to 12, whole or with one word changed or a digit put in."""
-    turns = blocks_of(spark, sf_dir).withColumn("w", F.split("text", r"\s+")).filter(F.size("w") > 14)
+    turns = blocks_of(spark, sf_dir).withColumn("w", F.split("text", r"\s+"))
     part = F.slice("w", 3, 10)
     changed = F.concat(F.slice("w", 3, 4), F.array(F.lit("zzzz")), F.slice("w", 8, 5))
     digit = F.concat(F.slice("w", 3, 4), F.array(F.lit("17")), F.slice("w", 8, 5))
@@ -31,9 +31,16 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("document", "block_id", "page", "text", quote.alias("quote"))
 
 
-@register(oracle=r"""
-    WITH t AS (SELECT conv_id::VARCHAR AS document, turn::INTEGER AS block_id, string_split_regex(text, '\s+') AS w FROM conversations)
-    SELECT document, block_id, block_id % 3 = 0 AS verified FROM t WHERE len(w) > 14""")
+_NORMAL = "trim(regexp_replace(translate(lower({0}), '‘’‚‛“”„‟«»‐‑‒–—―−', '" + "''" * 4 + '"' * 6 + r"-------'), '\s+', ' ', 'g'))"
+_QUOTES = rf"""
+    t AS (SELECT conv_id::VARCHAR AS document, turn::INTEGER AS block_id, (turn // 2)::INTEGER AS page, text, string_split_regex(text, '\s+') AS w FROM conversations),
+    q AS (SELECT *, array_to_string(CASE block_id % 3 WHEN 0 THEN w[3:12] WHEN 1 THEN w[3:6] || ['zzzz'] || w[8:12] ELSE w[3:6] || ['17'] || w[8:12] END, ' ') AS quote FROM t),
+    n AS (SELECT *, {_NORMAL.format('text')} AS body, {_NORMAL.format('quote')} AS said FROM q)"""
+#: Between word and number boundaries.
+_HOLDS = r"""({said} <> '' AND contains({body}, {said}) AND regexp_matches({body}, '(^|[^\p{{L}}\p{{N}}.,]|(^|[^\p{{N}}])[.,])' || regexp_escape({said}) || '($|[^\p{{L}}\p{{N}}.,]|[.,]($|[^\p{{N}}]))'))"""
+
+
+@register(oracle=f"WITH {_QUOTES} SELECT document, block_id, {_HOLDS.format(body='body', said='said')} AS verified FROM n")
 def q_quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes(spark, sf_dir).select("document", "block_id", V.contains_quote(F.col("text"), F.col("quote")).alias("verified"))
 
@@ -44,9 +51,9 @@ def q_quote_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("document", "block_id", "v.status", "v.similarity", "v.edits", "v.critical_ok")
 
 
-@register(oracle=r"""
-    WITH t AS (SELECT conv_id::VARCHAR AS document, turn::INTEGER AS block_id, string_split_regex(text, '\s+') AS w FROM conversations)
-    SELECT document, block_id, CASE WHEN block_id % 3 = 0 THEN (block_id // 2)::INTEGER END AS page FROM t WHERE len(w) > 14""")
+@register(oracle=f"""
+    WITH {_QUOTES}, h AS (SELECT a.document, a.block_id, min(b.page) AS lo, max(b.page) AS hi FROM n a JOIN n b ON a.document = b.document AND {_HOLDS.format(body='b.body', said='a.said')} GROUP BY ALL)
+    SELECT n.document, n.block_id, CASE WHEN lo = hi THEN lo END AS page FROM n LEFT JOIN h USING (document, block_id)""")
 def q_resolve_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = quotes(spark, sf_dir).select("document", "block_id", "quote")
     return V.resolve_pages(evidence, blocks_of(spark, sf_dir)).select("document", "block_id", "page")

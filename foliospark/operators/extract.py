@@ -124,14 +124,15 @@ def reconcile(hits: DataFrame) -> DataFrame:
 def extraction_table(reconciled: DataFrame, fields: list[Field]) -> DataFrame:
     """document, a typed column a field, n_filled, n_unverified, conflicts (names of fields in conflict)."""
     check_fields(fields)
-    wide = reconciled.groupBy("document").pivot("field", [f.name for f in fields]).agg(F.first("value"))
-    side = reconciled.groupBy("document").agg(
+    at = lambda f: F.max(F.when(F.col("field") == f.name, F.col("value"))).alias(f"_{f.name}")  # noqa: E731  one row a document and field
+    wide = reconciled.groupBy("document").agg(
+        *[at(f) for f in fields],
         F.sum(F.when(~F.coalesce(F.col("supported"), F.lit(False)), 1).otherwise(0)).alias("n_unverified"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("n_values") > 1, F.col("field")))), ", ").alias("conflicts"),
     )
-    typed = wide.select("document", *[coerce(F.col(f"`{f.name}`"), f).alias(f.name) for f in fields])
+    typed = wide.select("document", *[coerce(F.col(f"`_{f.name}`"), f).alias(f.name) for f in fields], "n_unverified", "conflicts")
     filled = sum((F.col(f"`{f.name}`").isNotNull().cast("int") for f in fields), F.lit(0))
-    return typed.withColumn("n_filled", filled).join(side, "document")
+    return typed.select("document", *[F.col(f"`{f.name}`") for f in fields], filled.alias("n_filled"), "n_unverified", "conflicts")
 
 
 def parse_replies(replies: DataFrame, fields: list[Field]) -> DataFrame:

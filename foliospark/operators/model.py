@@ -6,7 +6,7 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from foliospark.functions.keys import request_key
-from foliospark.functions.tokens import estimate_tokens
+from foliospark.functions.tokens import count_tokens, estimate_tokens
+from foliospark.operators.rank import global_rank
+from foliospark.session import cut
 
 #: Published context windows, output limits and USD for a million tokens (in, out, cached in).
 MODELS = [
@@ -104,18 +106,45 @@ def keyed(requests: DataFrame, client: str) -> DataFrame:
     return requests.withColumn("key", request_key(F.lit(client), *parts))
 
 
-def call(requests: DataFrame, client: Client, cache: DataFrame | None = None, concurrency: int | None = None) -> DataFrame:
+REPLY_COLUMNS = [c.split()[0] for c in REPLY.split(", ")]
+
+
+def call(requests: DataFrame, client: Client | Desk, cache: DataFrame | None = None, concurrency: int | None = None) -> DataFrame:
     """requests(…, prompt[, model, params, draw]) with their replies and ``cached``.
 
-    Equal requests are sent once. What the cache knows is not sent. A failed call is a row with ok = false and an
-    error, never a failed task; a task that Spark runs again sends the same keys, so a keyed cache stays right.
+    Equal requests are sent once. What the cache knows is not sent; the cache is looked up once and what it knew is
+    written, so a cache that is itself a plan of calls does not run again. A failed call is a row with ok = false and
+    an error, never a failed task; a task that Spark runs again sends the same keys, so a keyed cache stays right. A
+    Desk brings a cache, limits and a ledger of its own.
     """
+    if isinstance(client, Desk):
+        return _call_at(requests, client, concurrency)
     named = keyed(requests, client.name)
-    todo = named.select("key", "prompt", *([F.col("params")] if "params" in named.columns else [F.lit(None).cast("string").alias("params")])).dropDuplicates(["key"])
-    known = None
+    todo, known = _distinct(named), None
     if cache is not None:
-        known = cache.dropDuplicates(["key"])
-        todo = todo.join(known.select("key"), "key", "left_anti")
+        todo, known = _looked_up(todo, cache)
+    answered = _send(todo, client, concurrency).withColumn("cached", F.lit(False))
+    if known is not None:
+        answered = answered.unionByName(known.withColumn("cached", F.lit(True)))
+    return named.join(answered, "key", "left")
+
+
+def _distinct(named: DataFrame) -> DataFrame:
+    params = F.col("params") if "params" in named.columns else F.lit(None).cast("string")
+    return named.select("key", "prompt", params.alias("params")).dropDuplicates(["key"])
+
+
+def _looked_up(todo: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests to send, replies that are known), from one look at the cache."""
+    columns = dict(c.split() for c in REPLY.split(", ")[1:])
+    have = [(F.col(c) if c in cache.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
+    one = cache.groupBy("key").agg(F.min_by(F.struct(*have), F.col("reply")).alias("_known"))
+    looked = cut(todo.join(one, "key", "left"))
+    return looked.filter("_known is null").drop("_known"), looked.filter("_known is not null").select("key", "_known.*")
+
+
+def _send(todo: DataFrame, client: Client, concurrency: int | None = None) -> DataFrame:
+    """REPLY columns of todo(key, prompt, params)."""
     if concurrency:
         todo = todo.repartition(concurrency, "key")
 
@@ -130,11 +159,9 @@ def call(requests: DataFrame, client: Client, cache: DataFrame | None = None, co
                     rows.append((key, reply, True, None, reason, estimate_tokens(prompt), estimate_tokens(reply), time.perf_counter() - began))
                 except Exception as e:  # the contract: errors are values of the row
                     rows.append((key, None, False, f"{type(e).__name__}: {e}"[:500], "error", estimate_tokens(prompt), 0, time.perf_counter() - began))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in REPLY.split(", ")])
+            yield pd.DataFrame(rows, columns=REPLY_COLUMNS)
 
-    fresh = todo.mapInPandas(run, REPLY).withColumn("cached", F.lit(False))
-    replies = fresh if known is None else fresh.unionByName(known.withColumn("cached", F.lit(True)), allowMissingColumns=True)
-    return named.join(replies, "key", "left")
+    return todo.select("key", "prompt", "params").mapInPandas(run, REPLY)
 
 
 def cacheable(replies: DataFrame) -> DataFrame:
@@ -177,6 +204,109 @@ class Governor:
     margin: float = field(default=0.1)
 
 
+LEDGER = (
+    "turn int, label string, model string, key string, prompt string, reply string, ok boolean, cached boolean, refused string, error string, finish_reason string,"
+    " tokens_in int, tokens_out int, tokens_cached_in int, provenance string, usd double, seconds double"
+)
+
+
+@dataclass
+class Desk:
+    """A client with what a run adds to it, taken wherever a client is: a cache, limits, a ledger.
+
+    ``folder`` is shared storage. cache/ holds good, complete replies by key; a later run that names the same folder
+    sends nothing again. ledger/ gets a row for each request that was looked up, sent or refused. ``governor`` limits
+    what is sent over the desk's life; a refused request is a row with ok = false. ``spent`` is the running account.
+    """
+
+    client: Client
+    folder: str
+    governor: Governor | None = None
+    model: str = "mock"
+    max_output: int = 1000
+    label: str = "call"
+    prices: tuple[tuple, ...] = tuple(MODELS)
+    turn: int = 0
+    spent: dict = field(default_factory=lambda: {"calls": 0, "tokens": 0, "usd": 0.0})
+
+    @property
+    def name(self) -> str:
+        return self.client.name
+
+    def make(self):
+        return self.client.make()
+
+    def cache(self, spark: SparkSession) -> DataFrame | None:
+        return _read_if_there(spark, f"{self.folder}/cache")
+
+    def ledger(self, spark: SparkSession) -> DataFrame:
+        """Rows of all turns with ``step``, their order: by turn, then key."""
+        found = _read_if_there(spark, f"{self.folder}/ledger")
+        found = spark.createDataFrame([], LEDGER) if found is None else found
+        return global_rank(found, "step", "turn", "key").withColumn("step", F.col("step").cast("int"))
+
+    def left(self) -> Governor | None:
+        """The limits less what is spent."""
+        g, s = self.governor, self.spent
+        if g is None:
+            return None
+        less = lambda most, used: None if most is None else max(most - used, 0)
+        return replace(g, max_calls=less(g.max_calls, s["calls"]), max_cost_usd=less(g.max_cost_usd, s["usd"]), max_tokens_total=less(g.max_tokens_total, s["tokens"]))
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def _call_at(requests: DataFrame, desk: Desk, concurrency: int | None) -> DataFrame:
+    """The turn of a desk: look up, admit, send, store, enter in the ledger."""
+    spark = requests.sparkSession
+    named = keyed(requests if "model" in requests.columns else requests.withColumn("model", F.lit(desk.model)), desk.name)
+    todo, cache = _distinct(named), desk.cache(spark)
+    none = spark.createDataFrame([], REPLY)
+    todo, known = _looked_up(todo, none if cache is None else cache)
+    row = {m[0]: m for m in desk.prices}.get(desk.model)
+    usd_in, usd_out = (row[4], row[5]) if row else (None, None)
+    limits = desk.left()
+    margin = 1 + (limits.margin if limits else 0.0)
+    size = F.ceil((count_tokens(F.col("prompt")) + PER_MESSAGE + PER_REQUEST) * margin).cast("int")
+    worst = F.lit(None).cast("double") if usd_in is None else F.col("tokens_in") / 1e6 * usd_in + (desk.max_output / 1e6 * usd_out if usd_out is not None else 0.0)
+    sized = todo.withColumns({"model": F.lit(desk.model), "tokens_in": size, "max_output": F.lit(desk.max_output)}).withColumn("worst_usd", worst)
+    if limits is None:
+        judged = sized.withColumn("refused", F.lit(None).cast("string"))
+    else:
+        judged = admit(global_rank(sized, "_n", "key"), limits, "_n").drop("_n")
+    judged = cut(judged.select("key", "prompt", "params", "refused"))
+    sent = cut(_send(judged.filter("refused is null"), desk.client, concurrency).withColumn("cached", F.lit(False)))
+    refused = judged.filter("refused is not null").select(
+        "key", F.lit(None).cast("string").alias("reply"), F.lit(False).alias("ok"), F.concat(F.lit("refused: "), "refused").alias("error"), F.lit("refused").alias("finish_reason"),
+        F.lit(0).alias("tokens_in"), F.lit(0).alias("tokens_out"), F.lit(0.0).alias("seconds"), F.lit(False).alias("cached"),
+    )
+    answered = sent.unionByName(refused).unionByName(known.withColumn("cached", F.lit(True)))
+    cacheable(sent).drop("shard").write.mode("append").parquet(f"{desk.folder}/cache")
+    paid = lambda c: F.when(F.col("cached") | F.col("error").startswith("refused"), 0.0).otherwise(c)
+    cost = F.lit(None).cast("double") if usd_in is None else F.col("tokens_in") / 1e6 * usd_in + F.col("tokens_out") / 1e6 * (usd_out or 0.0)
+    told = answered.join(_distinct(named).select("key", "prompt"), "key").join(judged.select("key", "refused"), "key", "left").withColumn("usd", F.coalesce(paid(cost), cost))
+    told = told.withColumns({"turn": F.lit(desk.turn), "label": F.lit(desk.label), "model": F.lit(desk.model), "tokens_cached_in": F.lit(0), "provenance": F.lit("estimated")})
+    told.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in LEDGER.split(", ")]).write.mode("append").parquet(f"{desk.folder}/ledger")
+    sums = sent.agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.col("tokens_in") + F.col("tokens_out")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(cost), F.lit(0.0)).alias("usd")).first()  # one row
+    desk.turn += 1
+    for k in desk.spent:
+        desk.spent[k] += sums[k]
+    return named.join(answered, "key", "left")
+
+
+def trace_save(ledger: DataFrame, path: str) -> None:
+    """Write a ledger for replay, as JSON lines where the path says .json, else as Parquet; nothing is overwritten."""
+    (ledger.write.json if path.endswith((".json", ".jsonl")) else ledger.write.parquet)(path)
+
+
+def trace_load(spark: SparkSession, path: str) -> DataFrame:
+    """A saved ledger; its (key, step, reply) is what ``replay`` takes."""
+    return spark.read.schema(f"{LEDGER}, step int").json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+
+
 def admit(requests: DataFrame, governor: Governor, order: str) -> DataFrame:
     """Add ``refused``: the first check a request fails, null if it may be sent.
 

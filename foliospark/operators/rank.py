@@ -74,9 +74,11 @@ def bm25(df: DataFrame, key: str, text: str, query_terms: list[str], k1: float =
     """
     wanted = sorted(set(query_terms))
     terms = lexical_terms(F.col(text), 2)
-    counts = F.array(*[times("terms", w) for w in wanted]) if wanted else F.expr("cast(array() as array<int>)")
-    # a few integers a row, written once: the texts are not read again for the scores
-    rows = cut(df.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), counts.alias("f")))
+    counts = F.array(*[times("hits", w) for w in wanted]) if wanted else F.expr("cast(array() as array<int>)")
+    # the few terms that the question has are picked in one pass, then told apart; what is written, once, is a few
+    # integers a row: the texts are not read again for the scores
+    picked = df.select(key, terms.alias("terms")).select(key, F.size("terms").alias("len"), F.filter("terms", lambda t: t.isin(wanted)).alias("hits"))
+    rows = cut(picked.select(key, "len", counts.alias("f")))
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(F.col("len") > 0, F.col("len"))), F.lit(1.0)).alias("avg"),
         *[F.sum(F.when(F.col("f")[i] > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(wanted))],
@@ -176,13 +178,27 @@ def fit_skip(df: DataFrame, budget: int, cost: str, order: str, key: str, *by: s
     return lists.select(*by, F.explode(fold).alias(key))
 
 
+def global_rank(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
+    """Add ``out``: the place of a row in the whole order, from 1, without one task that sees all rows.
+
+    Rows are dealt out by ranges of the order and written once; places inside a range follow those of the ranges
+    before it, whose counts (one a range) are all that a single window sees. Rows that tie in every key are placed in
+    an order of Spark's choosing.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = cut(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*keys))).join(before, "_range")
+    return ranked.withColumn(out, F.col("_k") + F.col("_before")).drop("_range", "_k", "_before")
+
+
 def rerank_prefilter(df: DataFrame, m: int, score: str, order: str) -> DataFrame:
     """The m best by score; if nothing scores, m rows spread evenly over the order."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    any_hit = F.max(score).over(Window.partitionBy()) > 0
-    ranked = df.withColumns({
-        "_best": F.row_number().over(Window.orderBy(F.desc(score), F.asc(order))), "_row": F.row_number().over(Window.orderBy(order)), "_n": n, "_hit": any_hit,
-    })
-    spots = F.transform(F.sequence(F.lit(1), F.lit(m)), lambda i: F.ceil((i - 0.5) * F.col("_n") / m))
-    chosen = F.when(F.col("_hit"), F.col("_best") <= m).otherwise(F.array_contains(spots, F.col("_row").cast("bigint")))
-    return ranked.filter(chosen).drop("_best", "_row", "_n", "_hit")
+    rows = cut(df)
+    n, top = rows.agg(F.count(F.lit(1)), F.max(score)).first()  # one row
+    if top is not None and top > 0:
+        return top_k(rows, m, score, order).drop("rank")
+    spots = sorted({int(np.ceil((i - 0.5) * n / m)) for i in range(1, m + 1)})
+    return global_rank(rows, "_row", order).filter(F.col("_row").isin(spots)).drop("_row")

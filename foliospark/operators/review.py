@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import text_or_empty
+from foliospark.operators.rank import global_rank
 
 #: Word stems that hedge, that boost, and words that generalise.
 HEDGES = [
@@ -69,13 +70,16 @@ def field_gaps(studies: DataFrame, fields: list[str], declared: dict[str, list[s
     return out
 
 
-def combination_gaps(studies: DataFrame, a: str, b: str, values_a: list[str], values_b: list[str], cells: int = 40) -> DataFrame:
-    """Pairs of declared values that no study joins; none are listed when there are more than ``cells`` pairs."""
+def combination_gaps(studies: DataFrame, a: str, b: str, values_a: list[str], values_b: list[str], most: int = 40) -> DataFrame:
+    """Pairs of declared values that no study joins, in the order of the declarations; the first ``most`` of them
+    are listed, as a report has them, and None lists all."""
     spark = studies.sparkSession
-    pairs = [(x, y) for x in values_a for y in values_b]
-    grid = spark.createDataFrame(pairs if len(pairs) <= cells else [], "x string, y string")
+    side = lambda values, name: spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"{name}_no int, {name} string")
+    grid = side(values_a, "x").crossJoin(side(values_b, "y"))  # declared values, a few dozen a side
     seen = studies.select(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).distinct()
-    return grid.join(seen, ["x", "y"], "left_anti").select(F.lit("combination unstudied").alias("kind"), F.lit(f"{a} x {b}").alias("subject"), F.concat_ws(" / ", "x", "y").alias("detail"))
+    open_ = grid.join(seen, ["x", "y"], "left_anti")
+    open_ = open_.orderBy("x_no", "y_no").limit(most) if most is not None else open_
+    return open_.select(F.lit("combination unstudied").alias("kind"), F.lit(f"{a} x {b}").alias("subject"), F.concat_ws(" / ", "x", "y").alias("detail"))
 
 
 def claim_gaps(claims: DataFrame) -> DataFrame:
@@ -134,8 +138,7 @@ def claim_order(support: DataFrame, weights: DataFrame) -> DataFrame:
     """(claim_id, breadth, mass, position): widest support first, then heaviest, then the smaller id."""
     joined = support.filter("role = 'support'").join(weights.select("study", "weight"), "study")
     sums = joined.groupBy("claim_id").agg(F.count_distinct("study").alias("breadth"), F.round(F.sum("weight"), 9).alias("mass"))
-    order = Window.orderBy(F.desc("breadth"), F.desc("mass"), "claim_id")
-    return sums.withColumn("position", F.row_number().over(order))
+    return global_rank(sums, "position", F.desc("breadth"), F.desc("mass"), "claim_id").withColumn("position", F.col("position").cast("int"))
 
 
 # ---------------------------------------------------------------- bibliography
@@ -163,6 +166,16 @@ def lettered_keys(rows: DataFrame, key: str, title: str, tie: str) -> DataFrame:
     return rows.withColumns({"_n": n, "_k": k}).withColumn("cite", F.when(F.col("_n") > 1, F.concat(key, letters(F.col("_k")))).otherwise(F.col(key))).drop("_n", "_k")
 
 
+def reference_list(rows: DataFrame, author: Column, year: Column, title: Column, key: str) -> DataFrame:
+    """(n, key, entry): "Author. (Year). Title." in author, year and title order, numbered from 1; parts that are
+    missing are left out."""
+    part = lambda c, form: F.when(F.trim(text_or_empty(c)) != "", form)
+    dotted = lambda c: F.concat(F.regexp_replace(F.trim(c), r"\.$", ""), F.lit("."))
+    entry = F.concat_ws(" ", part(author, dotted(author)), part(year, F.concat(F.lit("("), F.trim(year), F.lit(")."))), part(title, dotted(title)))
+    listed = rows.select(key, entry.alias("entry"), F.lower(text_or_empty(author)).alias("_a"), text_or_empty(year).alias("_y"), F.lower(text_or_empty(title)).alias("_t"))
+    return global_rank(listed, "n", "_a", "_y", "_t", key).select(F.col("n").cast("int").alias("n"), key, "entry")
+
+
 def render_citations(text: str, keys: dict[int, str], word: str = "study", style: str = "author-year") -> str:
     """Adjacent markers merged, distinct keys sorted; an id without a key stays as it was written."""
     from foliospark.operators.verify import cite_pattern

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.text import squeeze, text_or_empty
+from foliospark.session import cut
 
 #: Similarity a near-verbatim quotation needs, the same for short ones, and the least tokens.
 NEAR, NEAR_SHORT, SHORT_CHARS, NEAR_TOKENS = 0.90, 0.95, 40, 5
@@ -144,16 +145,29 @@ def find_passages(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataF
         return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
 
     runs = F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in sizes]))) if sizes else F.expr("cast(array() as array<bigint>)")
-    hits = shingles.select("doc_id", "body", F.explode_outer(runs).alias("h")).join(keyed, "h")
+    # ids and hashes meet first; texts go to the pairs that met
+    met = shingles.select("doc_id", F.explode_outer(runs).alias("h")).join(keyed.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    hits = cut(met).join(fold, "item_id").join(text, "doc_id")
     return hits.filter(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))).select("item_id", "doc_id").distinct()
 
 
 def resolve_pages(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The page of a quotation: that of the blocks that hold it, if it is one page."""
-    joined = evidence.join(blocks.select("document", F.col("text").alias("_block"), F.col("page").alias("_page")), "document", "left")
-    hit = F.when(contains_quote(F.col("_block"), F.col("quote")), F.col("_page"))
-    found = joined.groupBy(*evidence.columns).agg(F.min(hit).alias("lo"), F.max(hit).alias("hi"))
-    return found.select(*evidence.columns, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("page"))
+    """The page of a quotation: that of the blocks that hold it, if it is one page.
+
+    A quotation stands between word boundaries, so a block that holds it has each of its words. Blocks and quotations
+    of a document meet on the quotation's longest word; texts are compared where they met. A quotation without a word
+    has no page. Evidence rows that repeat one another give one row.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(normalise_column(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    longest = F.array_max(F.transform(words(F.col("quote")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    rows = evidence.distinct().withColumn("_id", F.sha2(F.to_json(F.struct(*evidence.columns), {"ignoreNullFields": "false"}), 256))
+    asked = rows.select(F.col("document").alias("_document"), "_id", "quote", F.xxhash64(longest["w"]).alias("_aw")).filter(longest.isNotNull())
+    said = blocks.select("document", "block_id", F.explode(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("_w"))
+    said = said.join(asked.select(F.col("_document").alias("document"), F.col("_aw").alias("_w")).distinct(), ["document", "_w"], "left_semi")
+    met = said.join(asked, (F.col("document") == F.col("_document")) & (F.col("_w") == F.col("_aw"))).select("document", "block_id", "_id", "quote")
+    held = met.join(blocks.select("document", "block_id", "text", "page"), ["document", "block_id"]).filter(contains_quote(F.col("text"), F.col("quote")))
+    found = held.groupBy("_id").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
+    return rows.join(found, "_id", "left").select(*evidence.columns, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("page"))
 
 
 # ---------------------------------------------------------------- numbers

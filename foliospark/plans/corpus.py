@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.keys import request_key
 from foliospark.operators.model import Client
-from foliospark.plans.readers import READERS, RECIPES, Recipe, answer_documents
+from foliospark.operators.rank import global_rank
+from foliospark.plans.readers import READERS, RECIPES, Recipe, answer_documents, chunked, expected_calls, read
+from foliospark.session import cut
 
 
 def content_key(text: Column, recipe: str, question: str) -> Column:
@@ -15,12 +17,18 @@ def content_key(text: Column, recipe: str, question: str) -> Column:
     return request_key(F.sha2(text, 256), F.lit(recipe), F.lit(question))
 
 
-def mark_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Add ``duplicate_of``: the smallest key with the same text, null for that one."""
-    hashed = docs.withColumn("_h", F.sha2(F.coalesce(text, F.lit("")), 256))
+def duplicates_of(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
+    """(key, duplicate_of): the smallest key with the same text, null for that one. Texts are hashed once, and keys
+    and hashes are all that is shuffled."""
+    body = F.col(text) if isinstance(text, str) else text
+    hashed = cut(docs.select(key, F.unhex(F.sha2(F.coalesce(body, F.lit("")), 256)).alias("_h")))
     first = hashed.groupBy("_h").agg(F.min(key).alias("_first"))
-    joined = hashed.join(first, "_h")
-    return joined.withColumn("duplicate_of", F.when(F.col(key) != F.col("_first"), F.col("_first"))).drop("_h", "_first")
+    return hashed.join(first, "_h").select(key, F.when(F.col(key) != F.col("_first"), F.col("_first")).alias("duplicate_of"))
+
+
+def mark_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Add ``duplicate_of``; ``key`` names one row."""
+    return docs.join(duplicates_of(docs, key, text), key)
 
 
 def plan_statuses(docs: DataFrame, key: str, calls: str, max_calls: int, stored: DataFrame | None = None) -> DataFrame:
@@ -43,30 +51,48 @@ def plan_statuses(docs: DataFrame, key: str, calls: str, max_calls: int, stored:
     return run.withColumn("status", status).select(*[c for c in docs.columns if c != "_stored"], "running_calls", "status")
 
 
-def read_many(blocks: DataFrame, question: str, client: Client, recipe: str | Recipe, store: str | None = None) -> DataFrame:
+def read_many(
+    blocks: DataFrame, question: str, client: Client, recipe: str | Recipe, store: str | None = None, max_calls: int | None = None,
+) -> DataFrame:
     """Answers of every document, equal documents read once, stored answers restored, new ones stored.
 
     blocks(document, block_id, text). The store is Parquet keyed by content, recipe and question; appending a key
-    twice is harmless, since reads take one row a key.
+    twice is harmless, since reads take one row a key. With ``max_calls`` documents are read in order of their names
+    while the calls that their reader is expected to make stay within it; the rest is ``skipped`` and left for a later
+    run. Other statuses: ok, restored, duplicate, failed (no answer came, or only lost calls).
     """
     spark = blocks.sparkSession
     name = recipe if isinstance(recipe, str) else repr(recipe)
     bodies = blocks.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    keyed = bodies.select("document", content_key(F.col("text"), name, question).alias("key"))
+    keyed = cut(bodies.select("document", content_key(F.col("text"), name, question).alias("key")))
     first = keyed.groupBy("key").agg(F.min("document").alias("reader_of"))
     keyed = keyed.join(first, "key")
     kept = _stored(spark, store)
     todo = first if kept is None else first.join(kept.select("key"), "key", "left_anti")
-    fresh = answer_documents(blocks.join(todo.select(F.col("reader_of").alias("document")), "document", "left_semi"), question, client, recipe)
-    fresh = fresh.join(todo.withColumnRenamed("reader_of", "document"), "document").drop("document")
+    work = blocks.join(todo.select(F.col("reader_of").alias("document")), "document", "left_semi")
+    if max_calls is None:
+        fresh = answer_documents(work, question, client, recipe)
+    else:
+        r = RECIPES[recipe] if isinstance(recipe, str) else recipe
+        chunks = chunked(work, r)
+        sizes = chunks.groupBy("document").agg(F.count(F.lit(1)).alias("n")).withColumn("expected", expected_calls(r.read.reader, "n", r.read))
+        planned = plan_statuses(global_rank(sizes, "_n", "document").withColumn("duplicate_of", F.lit(None).cast("string")), "_n", "expected", max_calls)
+        within = cut(planned.filter("status = 'ok'").select("document"))
+        todo = todo.join(within.withColumnRenamed("document", "reader_of"), "reader_of", "left_semi").select("key", "reader_of")
+        fresh = read(chunks.join(within, "document", "left_semi"), question, client, r.read)
+    fresh = fresh.drop("notes").join(todo.withColumnRenamed("reader_of", "document"), "document").drop("document")
     if store is not None:
         fresh.write.mode("append").parquet(store)
         found = _stored(spark, store)
     else:
-        found = fresh
+        found = cut(fresh)
     restored = kept.select("key", F.lit(True).alias("_old")) if kept is not None else keyed.select("key", F.lit(True).alias("_old")).limit(0)
     out = keyed.join(found, "key", "left").join(restored, "key", "left")
-    status = F.when(F.col("document") != F.col("reader_of"), "duplicate").when(F.col("_old"), "restored").when(F.col("answer").isNull(), "failed").otherwise("ok")
+    failed = F.col("not_found") & F.col("partial") & (F.size("chunks_used") == 0)
+    status = (
+        F.when(F.col("answer").isNull(), "skipped" if max_calls is not None else "failed").when(F.col("document") != F.col("reader_of"), "duplicate")
+        .when(F.col("_old"), "restored").when(failed, "failed").otherwise("ok")
+    )
     return out.select("document", "answer", "not_found", "partial", "chunks_used", "calls", status.alias("status"), F.when(F.col("document") != F.col("reader_of"), F.col("reader_of")).alias("duplicate_of"))
 
 

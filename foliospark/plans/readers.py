@@ -1,23 +1,28 @@
 """Reading strategies: plans that turn chunks and a question into one answer a document around the call operator.
 
-Every reader takes chunks(document, chunk_id, text, tokens) and returns
-answers(document, reader, answer, not_found, premise, partial, chunks_used, calls). A strategy's map step is one call over a
-DataFrame of prompts; its reduce step is a grouped aggregation; loops have a bound known beforehand and cut their
-lineage through the shared checkpoint folder.
+Every reader takes chunks(document, chunk_id, text, tokens[, section]) and returns answers(document, reader, answer,
+not_found, premise, partial, chunks_used, calls, notes). A strategy's map step is one call over a DataFrame of prompts;
+its reduce step is a grouped aggregation; loops have a bound known beforehand and cut their lineage through the shared
+checkpoint folder. Every request goes through the call operator, so a Desk given as the client brings its cache, its
+limits and its ledger to any reader.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import NONE, NOT_FOUND, count_words, is_none_reply, is_not_found, lexical_terms, premise_split
+from foliospark.functions.text import NONE, NOT_FOUND, count_words, has_content, is_none_reply, is_not_found, lexical_terms, premise_split, truncate_words
+from foliospark.functions.tokens import count_tokens
+from foliospark.operators import extract as X
 from foliospark.operators import rank as R
-from foliospark.operators.model import Client, call
+from foliospark.operators.model import Client, call, read_json
+from foliospark.operators.verify import cite_pattern, cited_ids, contains_quote, unparsed_citations
 from foliospark.session import cut
 
 
@@ -26,8 +31,11 @@ class ReadSpec:
     reader: str = "map_reduce"
     budget: int = 4000
     top_k: int = 6
+    #: maximal marginal relevance: 1 is relevance alone
     weight: float = 1.0
     min_score: float = 0.0
+    #: an embedder's name, whose cosine is half of the score, or None for BM25 alone
+    embedder: str | None = "lexical"
     arrange: str = "document"
     prefilter: int = 20
     least_mark: int = 4
@@ -41,7 +49,9 @@ class ReadSpec:
 #: name -> (reader, select | calls | state)
 READERS: dict[str, tuple[Callable[[DataFrame, str, Client, ReadSpec], DataFrame], str]] = {}
 #: What the parts of a prompt are called.
-ASK, EVIDENCE, MERGE, SUMMARY, DRAFT, MARK, PLAN = "QUESTION", "EVIDENCE", "MERGE", "SUMMARISE", "DRAFT", "SCORE", "PLAN"
+ASK, EVIDENCE, MERGE, SUMMARY, DRAFT, MARK, PLAN, STEP, FILL, SCREEN = "QUESTION", "EVIDENCE", "MERGE", "SUMMARISE", "DRAFT", "SCORE", "PLAN", "STEP", "FILL", "SCREEN"
+#: Equal groups that a preview outlines where there are no sections.
+GROUPS = 8
 
 
 def register_reader(name: str, signature: str):
@@ -74,10 +84,20 @@ def _ask(df: DataFrame, client: Client) -> DataFrame:
 
 
 def _answers(df: DataFrame, reader: str) -> DataFrame:
-    """Shape to the contract; blank answers count as not found, and a denied premise is told apart from the answer."""
+    """Shape to the contract. A blank answer counts as not found, a denied premise is told apart from the answer, and
+    an answer that cites a chunk it was not given, or a citation that does not read as one, is partial."""
     said = df.withColumn("_p", premise_split(F.coalesce("answer", F.lit(NOT_FOUND))))
     answer = F.col("_p.answer")
-    return said.select("document", F.lit(reader).alias("reader"), answer.alias("answer"), is_not_found(answer).alias("not_found"), F.col("_p.premise").alias("premise"), "partial", "chunks_used", F.col("calls").cast("bigint").alias("calls"))
+    cites = answer.contains("[")
+    odd = F.when(cites, (F.size(F.array_except(cited_ids(answer, "chunk"), "chunks_used")) > 0) | (F.size(unparsed_citations(answer, "chunk")) > 0)).otherwise(False)
+    notes = F.col("notes") if "notes" in df.columns else F.lit(None).cast("map<string,string>")
+    return said.select(
+        "document", F.lit(reader).alias("reader"), answer.alias("answer"), is_not_found(answer).alias("not_found"), F.col("_p.premise").alias("premise"), (F.col("partial") | odd).alias("partial"), "chunks_used",
+        F.col("calls").cast("bigint").alias("calls"), notes.alias("notes"),
+    )
+
+
+NO_CHUNKS = "cast(array() as array<int>)"
 
 
 def _gather(rows: DataFrame, order: str, budget: int | None = None) -> DataFrame:
@@ -149,42 +169,59 @@ def read_map_reduce(chunks: DataFrame, question: str, client: Client, spec: Read
     return _answers(
         out.select(
             "document", "answer", (F.col("failed") | F.coalesce("gave_up", F.lit(False))).alias("partial"),
-            F.coalesce("chunks_used", F.expr("cast(array() as array<int>)")).alias("chunks_used"), (F.col("n") + F.coalesce("calls", F.lit(0))).alias("calls"),
+            F.coalesce("chunks_used", F.expr(NO_CHUNKS)).alias("chunks_used"), (F.col("n") + F.coalesce("calls", F.lit(0))).alias("calls"),
         ), "map_reduce",
     )
 
 
 @register_reader("refine", "all|N|forward")
 def read_refine(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
-    """A draft carried forward, chunk by chunk. The fold is sequential by nature: one task a document, texts streamed
-    in order; a failed step keeps the draft."""
-    make = client.make
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        send, draft, failed, used = make(), "", False, []
-        for i, text in zip(pdf.chunk_id, pdf.text, strict=True):
-            head = f"{ASK}: {question}\n\n" if not draft else f"{DRAFT}: {question}\n\n{draft}\n\n"
-            try:
-                reply = send(f"{head}[chunk {i}]\n{text}", {})[0]
-            except Exception:
-                failed = True
-                continue
-            if reply.strip() and NOT_FOUND not in reply:
-                draft = reply
-                used.append(int(i))
-        return pd.DataFrame([(pdf.document.iloc[0], draft or None, failed, used, len(pdf))], columns=["document", "answer", "partial", "chunks_used", "calls"])
-
-    folded = chunks.select("document", "chunk_id", "text").groupBy("document").applyInPandas(run, "document string, answer string, partial boolean, chunks_used array<int>, calls bigint")
-    return _answers(folded, "refine")
+    """A draft carried forward, chunk by chunk; a failed step keeps the draft.
+
+    The fold is sequential by nature: a round a chunk, over the documents that have one left, as many rounds as the
+    longest document has chunks. A document's state leaves the loop with its last chunk.
+    """
+    order = Window.partitionBy("document").orderBy("chunk_id")
+    steps = cut(chunks.select("document", "chunk_id", "text", F.row_number().over(order).alias("step"), F.count(F.lit(1)).over(Window.partitionBy("document")).alias("steps")))
+    rounds = steps.agg(F.max("step")).first()[0] or 0  # one row
+    folder = f"{steps.sparkSession.sparkContext.getCheckpointDir()}/refine-{uuid.uuid4().hex}"
+    state = steps.filter("step = 1").select("document", F.lit(None).cast("string").alias("draft"), F.lit(False).alias("failed"), F.expr(NO_CHUNKS).alias("used"))
+    for n in range(1, rounds + 1):
+        work = steps.filter(F.col("step") == n).join(state, "document")
+        fresh = F.col("draft").isNull()
+        body = F.concat(F.when(fresh, "").otherwise(F.concat("draft", F.lit("\n\n"))), render())
+        asked = _ask(work.withColumn("prompt", F.concat(F.when(fresh, ASK).otherwise(DRAFT), F.lit(f": {question}\n\n"), body)), client)
+        better = F.col("ok") & ~is_not_found(F.col("reply"))
+        state = cut(asked.select(
+            "document", "steps", F.when(better, F.col("reply")).otherwise(F.col("draft")).alias("draft"), (F.col("failed") | ~F.col("ok")).alias("failed"),
+            F.when(better, F.concat("used", F.array("chunk_id"))).otherwise(F.col("used")).alias("used"),
+        ))
+        state.filter(F.col("steps") == n).write.mode("append").parquet(folder)
+        state = state.filter(F.col("steps") > n).drop("steps")
+    if not rounds:
+        done = state.withColumn("steps", F.lit(0))
+    else:
+        done = steps.sparkSession.read.parquet(folder)
+    return _answers(done.select("document", F.col("draft").alias("answer"), F.col("failed").alias("partial"), F.array_sort("used").alias("chunks_used"), F.col("steps").alias("calls")), "refine")
+
+
+def evidence_lines(asked: DataFrame) -> DataFrame:
+    """(document, chunk_id, line, text, verified) of replies about chunks: whether each line stands in its chunk, its
+    citations aside."""
+    lines = asked.select("document", "chunk_id", F.col("text").alias("_chunk"), F.posexplode(F.split("reply", "\n")).alias("line", "text"))
+    lines = lines.withColumn("text", F.trim(F.regexp_replace("text", cite_pattern("chunk"), " "))).filter(has_content(F.col("text")))
+    return lines.select("document", "chunk_id", "line", "text", contains_quote(F.col("_chunk"), F.col("text")).alias("verified"))
 
 
 @register_reader("skim", "all|N+1|none")
 def read_skim(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
     """Evidence from every chunk, NONE dropped, one answer over it. Evidence over the budget is merged in a tree first;
-    where the merge gives up short of the budget or one of its calls fails, the answer is over all that is left and partial."""
+    where the merge gives up short of the budget or one of its calls fails, the answer is over all that is left and
+    partial. So is an answer over evidence with a line that its chunk does not hold; notes count these lines."""
     asked = cut(_ask(chunks.withColumn("prompt", _prompt(EVIDENCE, question, render())), client))
-    found = asked.filter(F.col("ok") & ~is_none_reply(F.col("reply"))).select("document", "chunk_id", F.col("reply").alias("text"), count_words(F.col("reply")).alias("tokens"))
+    some = asked.filter(F.col("ok") & ~is_none_reply(F.col("reply")))
+    loose = evidence_lines(some).filter(~F.col("verified")).groupBy("document").agg(F.count(F.lit(1)).alias("loose"))
+    found = some.select("document", "chunk_id", F.col("reply").alias("text"), count_words(F.col("reply")).alias("tokens"))
     packed = _gather(found, "chunk_id").drop("dropped").join(found.groupBy("document").agg(F.sum("tokens").alias("size")), "document")
     over = packed.filter(F.col("size") > spec.budget).select("document")
     pieces = found.join(over, "document", "left_semi").select("document", F.col("chunk_id").alias("n"), render().alias("text"))
@@ -195,12 +232,13 @@ def read_skim(chunks: DataFrame, question: str, client: Client, spec: ReadSpec)
         (F.coalesce("merge_failed", F.lit(False)) | (F.coalesce("gave_up", F.lit(False)) & (count_words(F.col("body")) > spec.budget))).alias("unmerged"), F.col("ok").alias("final_ok"),
     )
     totals = asked.groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("ok")).alias("failed"))
-    out = totals.join(final, "document", "left")
+    out = totals.join(final, "document", "left").join(loose, "document", "left")
     return _answers(
         out.select(
-            "document", "answer", (F.col("failed") | F.coalesce("unmerged", F.lit(False)) | ~F.coalesce("final_ok", F.lit(True))).alias("partial"),
-            F.coalesce("chunks_used", F.expr("cast(array() as array<int>)")).alias("chunks_used"),
+            "document", "answer", (F.col("failed") | F.coalesce("unmerged", F.lit(False)) | ~F.coalesce("final_ok", F.lit(True)) | F.col("loose").isNotNull()).alias("partial"),
+            F.coalesce("chunks_used", F.expr(NO_CHUNKS)).alias("chunks_used"),
             (F.col("n") + F.coalesce("merges", F.lit(0)) + F.col("final_ok").isNotNull().cast("int")).alias("calls"),
+            F.when(F.col("loose").isNotNull(), F.create_map(F.lit("unverified_lines"), F.col("loose").cast("string"))).alias("notes"),
         ), "skim",
     )
 
@@ -223,12 +261,51 @@ def score_chunks(chunks: DataFrame, question: str) -> DataFrame:
     return own.join(stats, "document").withColumn("score", F.round(score, 9)).select(*chunks.columns, "score")
 
 
+def score_queries(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Add ``score``: BM25 inside each document of the document's own query; queries(document, query).
+
+    Documents without a query are left out. Only the query's terms leave a chunk.
+    """
+    asked = queries.select("document", F.array_distinct(lexical_terms(F.col("query"))).alias("_q"))
+    own = chunks.join(asked, "document").withColumn("_t", lexical_terms(F.col("text"))).withColumn("_len", F.size("_t"))
+    own = cut(own.withColumn("_t", F.filter("_t", lambda t: F.array_contains("_q", t))))
+    sizes = own.groupBy("document").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.avg(F.when(F.col("_len") > 0, F.col("_len"))), F.lit(1.0)).alias("_avg"))
+    terms = own.select("document", "chunk_id", "_len", F.explode("_t").alias("_w")).groupBy("document", "chunk_id", "_len", "_w").agg(F.count(F.lit(1)).alias("_f"))
+    df = terms.groupBy("document", "_w").agg(F.count(F.lit(1)).alias("_d"))
+    part = terms.join(df, ["document", "_w"]).join(sizes, "document")
+    gain = F.log(1 + (F.col("_n") - F.col("_d") + 0.5) / (F.col("_d") + 0.5)) * (F.col("_f") * (R.K1 + 1)) / (F.col("_f") + R.K1 * (1 - R.B + R.B * F.col("_len") / F.col("_avg")))
+    sums = part.groupBy("document", "chunk_id").agg(F.round(F.sum(gain), 9).alias("_s"))
+    return own.join(sums, ["document", "chunk_id"], "left").select(*chunks.columns, F.coalesce("_s", F.lit(0.0)).alias("score"))
+
+
+def relevance(chunks: DataFrame, queries: DataFrame, embedder: str | None) -> DataFrame:
+    """Add ``score`` and ``vector``: BM25 alone (vector null), or half cosine and half BM25 scaled in the document."""
+    scored = score_queries(chunks, queries)
+    if embedder is None:
+        return scored.withColumn("vector", F.lit(None).cast("array<double>"))
+    q = R.embed(queries, "query", "_qv", embedder).select("document", "_qv")
+    both = R.scale01(R.embed(scored, "text", "vector", embedder), "score", "_lexical", "document").join(q, "document")
+    return both.select(*chunks.columns, F.round(0.5 * R.cosine(F.col("vector"), F.col("_qv")) + 0.5 * F.col("_lexical"), 9).alias("score"), "vector")
+
+
+def retrieved(scored: DataFrame, spec: ReadSpec) -> DataFrame:
+    """The chunks of scored(document, chunk_id, …, score, vector) that a reader sends: the least score (the best one
+    stays at any rate), then the best or, with a weight under 1, the most relevant and diverse; with their ``rank``."""
+    able = scored.withColumn("_top", F.max("score").over(Window.partitionBy("document"))).filter((F.col("score") >= spec.min_score) | (F.col("score") == F.col("_top"))).drop("_top")
+    if spec.weight < 1 and spec.embedder is not None:
+        able = cut(able)
+        chosen = R.mmr(able, "chunk_id", "score", "vector", spec.top_k, spec.weight, "document").select("document", "chunk_id", F.col("position").alias("rank"))
+        return able.drop("vector").join(chosen, ["document", "chunk_id"])
+    ranked = R.top_k(able.drop("vector"), spec.top_k, "score", "chunk_id", "document")
+    return ranked.filter((F.col("score") >= spec.min_score) | (F.col("rank") == 1))
+
+
 @register_reader("retrieve", "topk|1|none")
 def read_retrieve(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
     """The best chunks that reach the least score (one at any rate), within the budget, arranged, one call."""
-    ranked = R.top_k(score_chunks(chunks, question), spec.top_k, "score", "chunk_id", "document")
-    kept = ranked.filter((F.col("score") >= spec.min_score) | (F.col("rank") == 1))
-    placed = R.arrange(kept, spec.arrange, "rank", "chunk_id", "document")
+    asked_of = chunks.select("document").distinct().withColumn("query", F.lit(question))
+    scored = score_chunks(chunks, question).withColumn("vector", F.lit(None).cast("array<double>")) if spec.embedder is None else relevance(chunks, asked_of, spec.embedder)
+    placed = R.arrange(retrieved(scored, spec), spec.arrange, "rank", "chunk_id", "document")
     packed = _gather(placed, "position", spec.budget)
     asked = _ask(packed.withColumn("prompt", _prompt(ASK, question, F.col("body"))), client)
     return _answers(asked.select("document", F.col("reply").alias("answer"), (F.col("dropped") | ~F.col("ok")).alias("partial"), "chunks_used", F.lit(1).alias("calls")), "retrieve")
@@ -254,7 +331,7 @@ def read_rerank(chunks: DataFrame, question: str, client: Client, spec: ReadSpec
     return _answers(
         out.select(
             "document", "answer", (F.col("silent") | F.coalesce("dropped", F.lit(False)) | ~F.coalesce("final_ok", F.lit(True))).alias("partial"),
-            F.coalesce("chunks_used", F.expr("cast(array() as array<int>)")).alias("chunks_used"), (F.col("n") + F.col("final_ok").isNotNull().cast("int")).alias("calls"),
+            F.coalesce("chunks_used", F.expr(NO_CHUNKS)).alias("chunks_used"), (F.col("n") + F.col("final_ok").isNotNull().cast("int")).alias("calls"),
         ), "rerank",
     )
 
@@ -282,49 +359,118 @@ def read_hierarchical(chunks: DataFrame, question: str, client: Client, spec: Re
     return _answers(out.select("document", "answer", (F.col("failed") | ~F.col("ok")).alias("partial"), "chunks_used", (F.col("base") + F.col("inner_calls") + 1).alias("calls")), "hierarchical")
 
 
+_STEP = "can_answer boolean, answer string, next_query string, quotes array<string>"
+
+
 @register_reader("iterative", "topk|rounds*2|forward")
 def read_iterative(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
-    """Rounds over unseen chunks until the model is satisfied, nothing is unseen, or the rounds are used up.
+    """Rounds over unseen chunks until the model can answer, asks what it asked before, nothing is unseen, or the rounds
+    are used up.
 
-    Each round anti-joins what a document has seen and asks once a document that is still open.
+    A reply is {can_answer, answer, next_query, quotes}; one that is no such object counts as an answer, if it is not
+    the absence verdict. Each round anti-joins what a document has seen, ranks the rest by the document's own next
+    query, and asks once a document that is still open. Without any answer of its own a document gets the last one
+    said. Quotations that no chunk of the round holds make the answer partial.
     """
-    scored = cut(score_chunks(chunks, question))
-    seen = scored.select("document", "chunk_id").limit(0)
-    open_docs = scored.select("document").distinct()
+    seen = chunks.select("document", "chunk_id").limit(0)
+    queries = chunks.select("document").distinct().withColumn("query", F.lit(question)).withColumn("asked", F.array(F.lower(F.lit(question))))
     answers = None
     for turn in range(1, spec.max_rounds + 1):
-        unseen = scored.join(seen, ["document", "chunk_id"], "left_anti").join(open_docs, "document", "left_semi")
-        best = cut(R.top_k(unseen, spec.top_k, "score", "chunk_id", "document"))
+        unseen = chunks.join(seen, ["document", "chunk_id"], "left_anti")
+        best = cut(R.top_k(relevance(unseen, queries, spec.embedder).drop("vector"), spec.top_k, "score", "chunk_id", "document"))
         if not best.limit(1).count():
             break
-        asked = _ask(_gather(best, "chunk_id", spec.budget).withColumn("prompt", _prompt(ASK, question, F.col("body"))), client)
-        step = cut(asked.select("document", F.col("reply").alias("answer"), "chunks_used", F.lit(turn).alias("turn"), (~is_not_found(F.col("reply"))).alias("done"), (~F.col("ok")).alias("failed")))
-        answers = step if answers is None else answers.unionByName(step)
+        packed = _gather(best, "chunk_id", spec.budget).join(queries, "document")
+        step = cut(_ask(packed.withColumn("prompt", _prompt(STEP, question, F.concat(F.lit("QUERY: "), "query", F.lit("\n\n"), "body"))), client))
+        said = read_json(F.col("reply"), _STEP)
+        free = said["can_answer"].isNull()
+        answer = F.when(free, F.col("reply")).otherwise(said["answer"])
+        done = F.coalesce(F.when(free, ~is_not_found(F.col("reply"))).otherwise(said["can_answer"] & ~is_not_found(answer)), F.lit(False))
+        loose = F.exists(F.coalesce(said["quotes"], F.expr("cast(array() as array<string>)")), lambda q: ~contains_quote(F.col("body"), q))
+        follow = F.trim(F.coalesce(said["next_query"], F.lit("")))
+        again = F.array_contains("asked", F.lower(follow))
+        step = cut(step.select(
+            "document", answer.alias("answer"), "chunks_used", F.lit(turn).alias("turn"), done.alias("done"), (~F.col("ok")).alias("failed"), loose.alias("loose"),
+            F.when(follow == "", F.lit(question)).otherwise(follow).alias("query"), ((follow != "") & again).alias("stuck"), F.concat("asked", F.array(F.lower(follow))).alias("asked"),
+        ))
+        row = step.select("document", "answer", "chunks_used", "turn", "done", "failed", "loose")
+        answers = row if answers is None else answers.unionByName(row)
         seen = cut(seen.unionByName(best.select("document", "chunk_id")))
-        open_docs = step.filter(~F.col("done")).select("document")
+        queries = step.filter(~F.col("done") & ~F.col("stuck")).select("document", "query", "asked")
     if answers is None:
-        return _answers(chunks.select("document", F.lit(None).cast("string").alias("answer"), F.lit(True).alias("partial"), F.expr("cast(array() as array<int>)").alias("chunks_used"), F.lit(0).alias("calls")).limit(0), "iterative")
+        return _answers(chunks.select("document", F.lit(None).cast("string").alias("answer"), F.lit(True).alias("partial"), F.expr(NO_CHUNKS).alias("chunks_used"), F.lit(0).alias("calls")).limit(0), "iterative")
+    told = F.when(~is_not_found(F.col("answer")), F.struct("done", "turn"))
     done = answers.groupBy("document").agg(
-        F.max_by("answer", F.struct("done", "turn")).alias("answer"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks_used")))).alias("chunks_used"),
-        F.count(F.lit(1)).alias("calls"), (F.max("failed") | ~F.max("done")).alias("partial"),
+        F.max_by("answer", told).alias("answer"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks_used")))).alias("chunks_used"),
+        F.count(F.lit(1)).alias("calls"), (F.max("failed") | F.max("loose") | ~F.max("done")).alias("partial"),
     )
     return _answers(done, "iterative")
 
 
+def preview_units(chunks: DataFrame) -> DataFrame:
+    """Add ``unit`` and ``label``: runs of equal sections where a document has two or more, else at most GROUPS equal
+    groups, labelled by how the first chunk begins."""
+    order = Window.partitionBy("document").orderBy("chunk_id")
+    whole = Window.partitionBy("document")
+    section = F.col("section") if "section" in chunks.columns else F.lit(None).cast("string")
+    n, at = F.count(F.lit(1)).over(whole), F.row_number().over(order)
+    rows = chunks.withColumns({"_section": section, "_n": n, "_at": at}).withColumn("_new", (~F.col("_section").eqNullSafe(F.lag("_section").over(order)) | (F.col("_at") == 1)).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(order)).withColumn("_runs", F.max("_run").over(whole))
+    group = F.floor((F.col("_at") - 1) * F.least(F.col("_n"), F.lit(GROUPS)) / F.col("_n")) + 1
+    rows = rows.withColumn("unit", F.when(F.col("_runs") > 1, F.col("_run")).otherwise(group).cast("int"))
+    head = F.first(F.substring("text", 1, 120)).over(Window.partitionBy("document", "unit").orderBy("chunk_id"))
+    return rows.withColumn("label", F.coalesce(F.when(F.col("_runs") > 1, F.col("_section")), head)).drop("_section", "_n", "_at", "_new", "_run", "_runs")
+
+
+_PLAN = "read array<int>, skim array<int>"
+
+
 @register_reader("preview", "planned|1+s+1|none")
 def read_preview(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
-    """Eight equal stretches, one planning call a document that says which to read, one answer over those that fit."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("document"))
-    placed = chunks.withColumn("stretch", F.floor((F.row_number().over(Window.partitionBy("document").orderBy("chunk_id")) - 1) * 8 / n).cast("int"))
-    lines = placed.groupBy("document", "stretch").agg(F.min_by(F.substring("text", 1, 120), "chunk_id").alias("head"))
-    outline = lines.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "head"))), lambda x: F.concat(x["stretch"].cast("string"), F.lit(": "), x["head"])), "\n").alias("body"))
-    planned = cut(_ask(outline.withColumn("prompt", _prompt(PLAN, question, F.col("body"))), client))
-    wanted = planned.select("document", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("reply", F.lit("")), F.lit("[0-7]"), F.lit(0)), lambda x: x.cast("int")))).alias("stretch"))
-    chosen = placed.join(wanted, ["document", "stretch"], "left_semi")
-    none = placed.join(wanted.select("document").distinct(), "document", "left_anti")
-    packed = _gather(chosen.unionByName(none), "chunk_id", spec.budget)
-    asked = _ask(packed.withColumn("prompt", _prompt(ASK, question, F.col("body"))), client)
-    return _answers(asked.select("document", F.col("reply").alias("answer"), (F.col("dropped") | ~F.col("ok")).alias("partial"), "chunks_used", F.lit(2).alias("calls")), "preview")
+    """An outline of a document's sections, one planning call that says which to read, skim or skip, an evidence call
+    a skimmed chunk, one answer over it all.
+
+    The plan is {read, skim}, or bare numbers to read. Chunks to read that do not fit the budget are skimmed; a plan
+    that names no unit reads what fits. A document of one unit is read without a plan. notes names what was skipped.
+    """
+    placed = cut(preview_units(chunks.select("document", "chunk_id", "text", "tokens", *[c for c in ("section",) if c in chunks.columns])))
+    outline = placed.groupBy("document", "unit").agg(F.first("label").alias("label")).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("unit", "label"))).alias("us"))
+    body = F.array_join(F.transform("us", lambda x: F.concat(x["unit"].cast("string"), F.lit(": "), x["label"])), "\n")
+    planned = _ask(outline.filter(F.size("us") > 1).withColumn("prompt", _prompt(PLAN, question, body)), client)
+    said = read_json(F.col("reply"), _PLAN)
+    bare = F.transform(F.regexp_extract_all(F.coalesce("reply", F.lit("")), F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int"))
+    none = F.expr(NO_CHUNKS)
+    known = lambda c: F.array_intersect(F.coalesce(c, none), F.transform("us", lambda x: x["unit"]))
+    plan = planned.select("document", "us", "ok", known(F.when(said.isNull(), bare).otherwise(said["read"])).alias("read"), known(F.when(said.isNull(), none).otherwise(said["skim"])).alias("skim"))
+    plan = plan.withColumn("lost", (F.size("read") == 0) & (F.size("skim") == 0))
+    units = F.transform("us", lambda x: x["unit"])
+    plan = plan.unionByName(outline.filter(F.size("us") == 1).select("document", "us", F.lit(True).alias("ok"), units.alias("read"), none.alias("skim"), F.lit(None).cast("boolean").alias("lost")))
+    plan = cut(plan.withColumns({"read": F.when(F.coalesce("lost", F.lit(False)), units).otherwise(F.col("read")), "skim": F.array_except("skim", "read")}))
+
+    marked = placed.join(plan.select("document", "read", "skim", "lost"), "document")
+    running = F.sum("tokens").over(Window.partitionBy("document").orderBy("chunk_id"))
+    wanted = marked.filter(F.array_contains("read", F.col("unit"))).withColumn("_run", running)
+    first = F.min("chunk_id").over(Window.partitionBy("document")) == F.col("chunk_id")
+    wanted = cut(wanted.withColumn("fits", (F.col("_run") <= spec.budget) | first))
+    over = wanted.filter(~F.col("fits") & ~F.coalesce("lost", F.lit(False)))
+    columns = ["document", "chunk_id", "text", "tokens"]
+    skims = marked.filter(F.array_contains("skim", F.col("unit"))).select(*columns).unionByName(over.select(*columns))
+    skimmed = cut(_ask(skims.withColumn("prompt", _prompt(EVIDENCE, question, render())), client))
+    evidence = skimmed.filter(F.col("ok") & ~is_none_reply(F.col("reply"))).select("document", "chunk_id", F.col("reply").alias("text"), count_words(F.col("reply")).alias("tokens"))
+    packed = _gather(wanted.filter("fits").select(*columns).unionByName(evidence), "chunk_id").drop("dropped")
+    final = _ask(packed.withColumn("prompt", _prompt(ASK, question, F.col("body"))), client).select("document", F.col("reply").alias("answer"), "chunks_used", F.col("ok").alias("final_ok"))
+    cost = skimmed.groupBy("document").agg(F.count(F.lit(1)).alias("s"), F.max(~F.col("ok")).alias("failed"))
+    cutoff = wanted.filter(~F.col("fits") & F.coalesce("lost", F.lit(False))).select("document").distinct().withColumn("short", F.lit(True))
+    out = plan.join(final, "document", "left").join(cost, "document", "left").join(cutoff, "document", "left")
+    skipped = F.filter("us", lambda x: ~F.array_contains(F.concat("read", "skim"), x["unit"]))
+    return _answers(
+        out.select(
+            "document", "answer", (~F.col("ok") | F.coalesce("failed", F.lit(False)) | F.coalesce("short", F.lit(False)) | ~F.coalesce("final_ok", F.lit(True))).alias("partial"),
+            F.coalesce("chunks_used", none).alias("chunks_used"),
+            (F.col("lost").isNotNull().cast("int") + F.coalesce("s", F.lit(0)) + F.col("final_ok").isNotNull().cast("int")).alias("calls"),
+            F.when(F.size(skipped) > 0, F.create_map(F.lit("skipped"), F.array_join(F.transform(skipped, lambda x: x["label"]), "; "))).alias("notes"),
+        ), "preview",
+    )
 
 
 @register_reader("ensemble", "ensemble|sum+1|none")
@@ -346,7 +492,100 @@ def read_ensemble(chunks: DataFrame, question: str, client: Client, spec: ReadSp
     return _answers(asked.select("document", F.col("reply").alias("answer"), (F.col("p") | ~F.col("ok")).alias("partial"), "chunks_used", (F.col("inner") + 1).alias("calls")), "ensemble")
 
 
+# ---------------------------------------------------------------- records
+def fill_fields(chunks: DataFrame, fields: list[X.Field], goal: str, client: Client, require_quote: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(hits, totals): what each chunk says about each field, and calls and failures a document.
+
+    hits(document, chunk_id, field, value, quote, supported); supported where the chunk holds the quotation. A reply
+    that is no object counts as failed. With ``require_quote`` unsupported values are left out.
+    """
+    shape = json.dumps(X.json_schema(X.check_fields(fields)), sort_keys=True)
+    asked = cut(_ask(chunks.withColumn("prompt", _prompt(FILL, goal, F.concat(F.lit(f"{shape}\n\n"), render()))), client))
+    parsed = F.from_json("reply", X.reply_schema(fields), {"mode": "PERMISSIVE"})
+    read = F.col("ok") & F.regexp_extract(F.coalesce("reply", F.lit("")), r"(?s)^\s*(\{.*\})\s*$", 1).isNotNull() & F.coalesce("reply", F.lit("")).rlike(r"(?s)^\s*\{.*\}\s*$") & parsed.isNotNull()
+    totals = asked.groupBy("document").agg(F.count(F.lit(1)).alias("calls"), F.sum((~read).cast("int")).alias("failed"), F.array_sort(F.collect_list(F.when(read, F.col("chunk_id")))).alias("chunks_used"))
+    hits = X.parse_replies(asked.filter(read).select("document", "chunk_id", "reply"), fields)
+    hits = hits.join(chunks.select("document", "chunk_id", F.col("text").alias("_chunk")), ["document", "chunk_id"])
+    hits = hits.withColumn("supported", F.coalesce(contains_quote(F.col("_chunk"), F.col("quote")), F.lit(False))).drop("_chunk")
+    return (hits.filter("supported") if require_quote else hits), totals
+
+
+@register_reader("extract", "all|N+conflicts|none")
+def read_extract(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
+    """Fields filled from every chunk and reconciled; the answer is the record as a JSON object. The question is the
+    goal, settings hold ``fields`` (a list of Field) and ``require_quote``."""
+    fields = spec.settings["fields"]
+    hits, totals = fill_fields(chunks, fields, question, client, spec.settings.get("require_quote", False))
+    table = X.extraction_table(X.reconcile(hits), fields)
+    record = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in fields]), {"ignoreNullFields": "false"})
+    out = totals.join(table.select("document", record.alias("answer"), "n_filled", "conflicts"), "document", "left")
+    notes = F.when(F.coalesce("conflicts", F.lit("")) != "", F.create_map(F.lit("conflicts"), F.col("conflicts")))
+    return _answers(out.select("document", F.when(F.col("n_filled") > 0, F.col("answer")).alias("answer"), (F.col("failed") > 0).alias("partial"), "chunks_used", "calls", notes.alias("notes")), "extract")
+
+
+def openings(chunks: DataFrame, budget: int) -> DataFrame:
+    """(document, opening, seen_tokens, document_tokens, truncated, chunks_used): the chunks from the start that fit, or
+    of a first chunk that does not its first ``budget`` words."""
+    order = Window.partitionBy("document").orderBy("chunk_id")
+    run = chunks.withColumns({"_run": F.sum("tokens").over(order), "_at": F.row_number().over(order)})
+    totals = chunks.groupBy("document").agg(F.sum("tokens").cast("bigint").alias("document_tokens"))
+    kept = run.filter((F.col("_run") <= budget) | (F.col("_at") == 1)).withColumn("text", F.when(F.col("tokens") > budget, truncate_words(F.col("text"), budget)).otherwise(F.col("text")))
+    joined = kept.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("u"), F.sum(F.least("tokens", F.lit(budget))).cast("bigint").alias("seen_tokens"))
+    opening = F.array_join(F.transform("u", lambda x: x["text"]), "\n\n")
+    return joined.join(totals, "document").select(
+        "document", opening.alias("opening"), "seen_tokens", "document_tokens", (F.col("seen_tokens") < F.col("document_tokens")).alias("truncated"), F.transform("u", lambda x: x["chunk_id"]).alias("chunks_used"),
+    )
+
+
+_DECISION = "decision string, criterion string, reason string, quote string"
+
+
+def screened_openings(chunks: DataFrame, question: str, client: Client, inclusion: list[str], exclusion: list[str], budget: int) -> DataFrame:
+    """The openings with the model's decision, criterion, reason and quotation; ``read`` where the reply was an object."""
+    listed = lambda head, items: "".join([f"{head}\n", *(f"{k}. {c}\n" for k, c in enumerate(items, 1))]) if items else ""
+    criteria = listed("INCLUDE", inclusion) + listed("EXCLUDE", exclusion)
+    asked = _ask(openings(chunks, budget).withColumn("prompt", _prompt(SCREEN, question, F.concat(F.lit(f"{criteria}\n"), "opening"))), client)
+    said = read_json(F.col("reply"), _DECISION)
+    return asked.select(
+        "document", "opening", "seen_tokens", "document_tokens", "truncated", "chunks_used", "error", (F.col("ok") & said["decision"].isNotNull()).alias("read"), *[said[c].alias(c) for c in ("decision", "criterion", "reason", "quote")],
+    )
+
+
+@register_reader("screen", "head|1|none")
+def read_screen(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
+    """One decision on a document's opening; settings hold ``inclusion`` and ``exclusion``. The answer is the decision;
+    an exclusion without a listed criterion is unclear."""
+    from foliospark.operators.screen import screening_table
+
+    exclusion = list(spec.settings.get("exclusion", ()))
+    rows = cut(screened_openings(chunks, question, client, list(spec.settings.get("inclusion", ())), exclusion, spec.budget))
+    table = screening_table(rows, exclusion).select("document", F.col("decision").alias("answer"), F.col("reason").alias("_reason"))
+    out = rows.select("document", "truncated", "read", "chunks_used").join(table, "document")
+    notes = F.when(F.col("_reason").isNotNull(), F.create_map(F.lit("reason"), F.col("_reason")))
+    return _answers(out.select("document", "answer", (F.col("truncated") | ~F.col("read") | F.col("answer").isNull()).alias("partial"), "chunks_used", F.lit(1).alias("calls"), notes.alias("notes")), "screen")
+
+
 # ---------------------------------------------------------------- costs, recipes, routing
+def most_calls(reader: str, n, spec: ReadSpec = ReadSpec()):
+    """Calls a reader makes over ``n`` chunks at most, as a Column: merges of pairs, every round, every chunk skimmed."""
+    c = F.col(n) if isinstance(n, str) else n
+    if reader == "ensemble":
+        return sum((most_calls(m, c, spec) for m in spec.members), F.lit(1)).cast("bigint")
+    # a tree over n leaves merges at least two at a time
+    more = {"map_reduce": 2 * c - 1, "skim": 2 * c, "hierarchical": 2 * c + 1, "preview": c + 2, "iterative": F.least(F.lit(spec.max_rounds), c)}
+    return (more[reader] if reader in more else expected_calls(reader, c, spec)).cast("bigint")
+
+
+def most_tokens(reader: str, n, tokens, question_tokens: int, spec: ReadSpec = ReadSpec()):
+    """Tokens a reader sends at most over ``n`` chunks of ``tokens`` in all: each call at its budget, each chunk once."""
+    c, t = (F.col(x) if isinstance(x, str) else x for x in (n, tokens))
+    once = {"stuff": F.least(t, F.lit(spec.budget)), "retrieve": F.least(t, F.lit(spec.budget)), "screen": F.least(t, F.lit(spec.budget)), "extract": t}
+    if reader == "ensemble":
+        return sum((most_tokens(m, c, t, question_tokens, spec) for m in spec.members), F.lit(spec.budget)).cast("bigint")
+    body = once[reader] if reader in once else t + (most_calls(reader, c, spec) - F.least(c, most_calls(reader, c, spec))) * spec.budget + F.when(F.lit(reader == "refine"), c * spec.budget).otherwise(0)
+    return (body + most_calls(reader, c, spec) * question_tokens).cast("bigint")
+
+
 def expected_calls(reader: str, n, spec: ReadSpec = ReadSpec()):
     """Calls a reader is expected to make over ``n`` chunks, as a Column."""
     c = F.col(n) if isinstance(n, str) else n
@@ -397,15 +636,26 @@ def auto_route(tokens, room: int = 100_000):
     return F.when(tokens <= min(50_000, room // 2), "fast").otherwise("thorough")
 
 
-def answer_documents(blocks: DataFrame, question: str, client: Client, recipe: str | Recipe = "thorough") -> DataFrame:
-    """Clean, segment and read blocks(document, block_id, text[, page, section]) under a recipe."""
+def chunked(blocks: DataFrame, recipe: Recipe) -> DataFrame:
+    """The chunks that a recipe reads, cleaned and segmented, written once."""
     from foliospark.functions.clean import clean
     from foliospark.operators.segment import SegmentSpec, segment
 
-    r = RECIPES[recipe] if isinstance(recipe, str) else recipe
-    cleaned = blocks.withColumn("text", clean(F.col("text"), r.clean))
-    chunks = cut(segment(cleaned, SegmentSpec(r.segment, r.max_tokens, r.overlap)))
-    return read(chunks, question, client, r.read)
+    return cut(segment(blocks.withColumn("text", clean(F.col("text"), recipe.clean)), SegmentSpec(recipe.segment, recipe.max_tokens, recipe.overlap)))
+
+
+def answer_documents(blocks: DataFrame, question: str, client: Client, recipe: str | Recipe = "thorough", room: int = 100_000) -> DataFrame:
+    """Clean, segment and read blocks(document, block_id, text[, page, section]) under a recipe.
+
+    "auto" takes for each document the recipe that ``auto_route`` names for its tokens in ``room``.
+    """
+    if recipe != "auto":
+        r = RECIPES[recipe] if isinstance(recipe, str) else recipe
+        return read(chunked(blocks, r), question, client, r.read)
+    sizes = blocks.groupBy("document").agg(F.sum(count_tokens(F.col("text"))).alias("tokens"))
+    routed = cut(sizes.select("document", auto_route(F.col("tokens"), room).alias("route")))
+    parts = [answer_documents(blocks.join(routed.filter(F.col("route") == name), "document", "left_semi"), question, client, name) for name in ("fast", "thorough")]
+    return parts[0].unionByName(parts[1])
 
 
 __all__ = ["NONE", "READERS", "RECIPES", "ReadSpec", "Recipe", "answer_documents", "auto_route", "expected_calls", "merge_levels", "read", "register_reader", "tree_levels"]

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from foliospark import catalogue
 from foliospark.operators import extract as E
 from foliospark.operators import model as M
+from foliospark.operators import rank as K
 from foliospark.operators import records as R
 from foliospark.operators import review as V
 from foliospark.operators import screen as S
 from foliospark.operators import verify as Q
 from foliospark.sources import bibliography as B
 from foliospark.sources import files as D
-from tests.comparison import duck, rows
 
 SOURCE = "Mortality fell by 25% in 1,204 patients who were not treated with aspirin at the start of the trial."
 
@@ -133,14 +133,14 @@ def test_bad_files_are_rows(spark):
 
 
 def test_title_keys_of_all_documents(spark, sf_dir):
-    keys = {r.doc_id: r.title_key for r in catalogue.QUERIES["q_title_key_all"](spark, sf_dir).collect()}
+    keys = {r.doc_id: r.title_key for r in catalogue.QUERIES["q_title_key"](spark, sf_dir).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     assert keys.keys() == texts.keys() and any("ß" in (t or "")[:200] for t in texts.values())
     assert not any(c in k for k in keys.values() if k for c in "ßæœ") and max(len(k) for k in keys.values() if k) > 200
 
 
 def test_governor_judges_all_requests_across_ranges(spark, sf_dir):
-    got = catalogue.QUERIES["q_governor_all"](spark, sf_dir)
+    got = catalogue.QUERIES["q_governor"](spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count() > 600
     rows = spark.range(0, 20000, 7).select(F.col("id").alias("step"), F.lit("m").alias("model"), F.lit(1).alias("tokens_in"), F.lit(1).alias("max_output"), F.lit(0.01).alias("worst_usd"))
     out = M.admit(rows, M.Governor(max_calls=2000, max_cost_usd=25.0), "step")
@@ -156,9 +156,49 @@ def test_outline_distance_of_all_parts_against_pairs(spark, sf_dir):
     units = [(k, -k if k % 11 == 0 else z % 6, -k if k % 13 == 0 else z % 4) for k, z in parts if k % 11 or k % 13]
     pairs = [(x, y) for i, x in enumerate(units) for y in units[i + 1 :]]
     want = sum((x[1] == y[1]) != (x[2] == y[2]) for x, y in pairs) / len(pairs)
-    assert catalogue.QUERIES["q_outline_distance_all"](spark, sf_dir).collect()[0].distance == round(want, 9)
+    assert catalogue.QUERIES["q_outline_distance"](spark, sf_dir).collect()[0].distance == round(want, 9)
 
 
-def test_moderators_read_all_studies(spark, sf_dir):
-    for name in ("q_moderators", "q_moderators_words"):
-        assert rows(catalogue.QUERIES[f"{name}_all"](spark, sf_dir)) == duck(sf_dir, catalogue.ORACLES[name].replace("WHERE study % 40 = 1", ""))
+def test_global_rank_with_ties_nulls_and_one_hot_value(spark):
+    data = [(k, None if k % 10 == 0 else 7 if k % 3 else k) for k in range(500)]
+    df = spark.createDataFrame(data, "k long, v long")
+    got = [r.k for r in K.global_rank(df, "n", F.desc_nulls_last("v"), "k").orderBy("n").collect()]
+    assert got == [k for k, v in sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    assert [r.n for r in K.global_rank(df, "n", "k").orderBy("k").select("n").collect()] == list(range(1, 501))
+
+
+def test_prefilter_without_a_hit_spreads_over_the_order(spark):
+    df = spark.createDataFrame([(k, 0.0) for k in range(1, 101)], "k long, s double")
+    assert sorted(r.k for r in K.rerank_prefilter(df, 4, "s", "k").collect()) == [13, 38, 63, 88]
+    assert K.rerank_prefilter(df.limit(0), 4, "s", "k").collect() == []
+    hits = df.withColumn("s", F.when(F.col("k") > 97, F.col("k") * 1.0).otherwise(0.0))
+    assert sorted(r.k for r in K.rerank_prefilter(hits, 4, "s", "k").collect()) == [1, 98, 99, 100]
+
+
+def test_pages_of_quotations(spark):
+    blocks = spark.createDataFrame([("d", 1, "Growth was slow in the north, we said.", 1), ("d", 2, "Growth was slow in the south.", 2), ("d", 3, "growth was  slow", 2), ("e", 1, "Growth was slow", 9), ("d", 4, None, 3)], "document string, block_id int, text string, page int")
+    quotes = [("d", "slow in the north"), ("d", "Growth was slow"), ("d", "in the south"), ("d", "rowth"), ("d", "..."), ("d", None), ("e", "GROWTH WAS"), ("x", "slow")]
+    got = {(r.document, r.quote): r.page for r in Q.resolve_pages(spark.createDataFrame(quotes, "document string, quote string"), blocks).collect()}
+    assert got == dict(zip(quotes, [1, None, 2, None, None, None, 9, None], strict=True))
+
+
+def test_unstudied_combinations_are_listed_up_to_the_report(spark):
+    studies = spark.createDataFrame([("a1", "b1")], "x string, y string")
+    values = [f"a{k}" for k in range(9)], [f"b{k}" for k in range(9)]
+    some, every = (V.combination_gaps(studies, "x", "y", *values, most=m).collect() for m in (40, None))
+    assert len(some) == 40 and len(every) == 80 and [r.detail for r in some][:2] == ["a0 / b0", "a0 / b1"]
+
+
+def test_a_cache_that_is_a_plan_runs_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def answer(prompt):
+        runs.add(1)
+        return prompt.upper()
+
+    client = M.mock_client(answer)
+    asked = spark.createDataFrame([(k, f"p{k % 5}") for k in range(20)], "k long, prompt string")
+    cache = M.cacheable(M.call(asked.filter("k < 3"), client))
+    got = M.call(asked, client, cache).collect()
+    assert {(r.prompt, r.reply, r.cached) for r in got} == {(f"p{k}", f"P{k}", k < 3) for k in range(5)} and len(got) == 20
+    assert runs.value == 5
