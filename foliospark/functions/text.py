@@ -125,3 +125,42 @@ def truncate_words(text: Column, n: int, marker: str = " [...]") -> Column:
 def squeeze(text: Column) -> Column:
     """Lower case, every run that is not a letter or digit as one space."""
     return F.trim(F.regexp_replace(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}]+", " "))
+
+
+#: A citation marker of review prose, alone at the head of a sentence it belongs to the one before.
+MARKER = r"\[(?i:stud(?:y|ies)|chunks?|sources?)\s[^\]]*\]"
+
+
+def review_sentences(text: Column) -> Column:
+    """Sentences of review prose; one that is only citation markers and stops is glued to the one before."""
+    parts = F.split(text_or_empty(text), r"(?<=[.!?])\s+|(?<=[.!?]\])\s+|\n{2,}")
+    parts = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    alone = lambda p: p.rlike(rf"^(?:{MARKER}[\s.;,]*)+$")
+    none = F.expr("cast(array() as array<string>)")
+    last = lambda s: F.element_at(s, -1)
+    step = lambda s, p: F.when(alone(p) & (F.size(s) > 0), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.concat(last(s), F.lit(" "), p)))).otherwise(F.concat(s, F.array(p)))
+    return F.aggregate(parts, none, step)
+
+
+def sentence_spans(text: Column) -> Column:
+    """array of struct(start, end, sentence): where each review sentence stands, in code points, ends exclusive."""
+    found = review_sentences(text)
+    body = text_or_empty(text)
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, sentence: string>>)").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        # glued markers may stand behind other white space than the one blank that joins them here
+        start = F.call_function("locate", p, body, s["at"] + 1) - 1
+        hit = F.when(start < 0, s["at"]).otherwise(start).cast("int")
+        row = F.struct(hit.alias("start"), (hit + F.length(p)).cast("int").alias("end"), p.alias("sentence"))
+        return F.struct((hit + F.length(p)).cast("int").alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    return F.aggregate(found, zero, step, lambda s: s["out"])
+
+
+def prose_words(text: Column) -> Column:
+    """Words of review prose: without citation markers, heading lines and list bullets."""
+    bare = F.regexp_replace(text_or_empty(text), MARKER, " ")
+    bare = F.regexp_replace(bare, r"(?m)^[ \t]*#{1,6}[ \t].*$", " ")
+    bare = F.regexp_replace(bare, r"(?m)^[ \t]*(?:[-*+•]|[0-9]+[.)])[ \t]+", " ")
+    return count_words(bare)

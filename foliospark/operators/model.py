@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -69,18 +70,48 @@ def backoff(attempt: int, retry_after: float | None = None, base: float = 1.0, m
     return min(retry_after, most) if retry_after is not None else min(most, base * 2**attempt) * (0.5 + rng() / 2)
 
 
-def http_client(url: str, key_variable: str, model: str, tries: int = 5, timeout: float = 120.0) -> Client:
+#: Efforts that chat completions take.
+EFFORTS = ("minimal", "low", "medium", "high")
+
+
+def checked_headers(headers: dict[str, str] | None) -> dict[str, str]:
+    """Header names and values that a request can carry; anything else is an error, before a request is made."""
+    out = {}
+    for name, value in (headers or {}).items():
+        if not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name) or re.search(r"[\r\n\0]", str(value)):
+            raise ValueError(f"{name!r} cannot be a header")
+        out[name] = str(value)
+    return out
+
+
+def api_key(variable: str) -> str:
+    """The key that an environment variable of this machine holds."""
+    import os
+
+    if not os.environ.get(variable, "").strip():
+        raise KeyError(f"no key: set {variable}")
+    return os.environ[variable].strip()
+
+
+def http_client(
+    url: str, key_variable: str, model: str, tries: int = 5, timeout: float = 120.0, headers: dict[str, str] | None = None, effort: str | None = None,
+) -> Client:
     """Chat completions over HTTP; the key is read from an environment variable on the executor, never shipped."""
+    extra = checked_headers(headers)
+    if effort is not None and effort not in EFFORTS:
+        raise ValueError(f"an effort is one of {', '.join(EFFORTS)}")
 
     def make():
-        import os
         import urllib.error
         import urllib.request
 
+        key = api_key(key_variable)
+
         def send(prompt: str, params: dict) -> tuple[str, str]:
-            body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}], **params}).encode()
+            asked = {"model": model, "messages": [{"role": "user", "content": prompt}], **({"reasoning_effort": effort} if effort else {}), **params}
+            body = json.dumps(asked).encode()
             for attempt in range(tries):
-                request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[key_variable]}"})
+                request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}", **extra})
                 try:
                     with urllib.request.urlopen(request, timeout=timeout) as response:
                         choice = json.load(response)["choices"][0]
@@ -95,7 +126,7 @@ def http_client(url: str, key_variable: str, model: str, tries: int = 5, timeout
 
         return send
 
-    return Client(f"http:{model}", make)
+    return Client(f"http:{model}" + (f":{effort}" if effort else ""), make)
 
 
 # ---------------------------------------------------------------- calls

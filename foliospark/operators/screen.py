@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.keys import request_key
+from foliospark.sources.files import decode
 
 Z = 1.959963984540054
 DECISIONS = ("include", "exclude", "unclear")
@@ -77,6 +82,34 @@ def reference_sample(screening: DataFrame, n: int, of: str = "excluded", seed: i
     return sample.crossJoin(F.broadcast(size)).select("document", F.lit(of).alias("sampled_from"), "frame_n")  # one row
 
 
+REFERENCE = "document string, human_decision string, human_note string, sampled_from string, frame_n bigint"
+
+
+def write_reference_csv(sample: DataFrame, path: str) -> None:
+    """A blind sheet of a sample: the screener's decision is not in it, the human's is left empty."""
+    blank = F.lit("").alias("human_decision"), F.lit("").alias("human_note")
+    sample.select("document", *blank, "sampled_from", "frame_n").coalesce(1).write.option("header", True).csv(path)  # a sheet of a few hundred rows
+
+
+def read_reference_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A sheet that came back: byte order marks, UTF-16, semicolons or tabs, other column order and case are put up with.
+    Decisions that are none of the three words are null; rows without a document go."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("content")
+    names = [c.split()[0] for c in REFERENCE.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for content in pdf.content:
+                lines = decode(bytes(content)).lstrip("\ufeff").splitlines()
+                mark = max(",;\t", key=lines[0].count) if lines else ","
+                rows = [{(k or "").strip().lower(): (v or "").strip() for k, v in r.items() if isinstance(v, str)} for r in csv.DictReader(lines, delimiter=mark)]
+                yield pd.DataFrame([[r.get(n) or None for n in names] for r in rows], columns=names, dtype=object)
+
+    sheet = raw.mapInPandas(run, ", ".join(f"{n} string" for n in names)).filter("document is not null")
+    said = F.lower("human_decision")
+    return sheet.select("document", F.when(said.isin(*DECISIONS), said).alias("human_decision"), "human_note", "sampled_from", F.col("frame_n").try_cast("bigint").alias("frame_n"))
+
+
 def wilson(x: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     """Bounds of a proportion; null where n is 0."""
     p = x / F.nullif(n, F.lit(0))

@@ -10,7 +10,7 @@ With any other tokenizer the joined text is counted again at each step, in Arrow
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import count_words, has_content, sentences_of, words_of
-from foliospark.functions.tokens import estimate_tokens
+from foliospark.functions.tokens import count_tokens, estimate_tokens
 
 CHUNKS = "document string, chunk_id int, text string, tokens int, chars int, page int, section string, block_id int"
 
@@ -301,16 +301,38 @@ def seg_structural(blocks: DataFrame, spec: SegmentSpec) -> DataFrame:
 
 @register_segmenter("page")
 def seg_page(blocks: DataFrame, spec: SegmentSpec) -> DataFrame:
-    """One chunk a page, in page order of first appearance; a run of blocks without a page joins the page before it."""
+    """One chunk a page, in page order; a page over the cap is cut into parts of its words.
+
+    Each unbroken run of blocks without a page is a chunk of its own, without a page, after the page it follows. A
+    document in which no block has a page is packed by paragraphs. A page is held whole, by one row.
+    """
     order = Window.partitionBy("document").orderBy("block_id")
-    paged = blocks.withColumn("at", F.last("page", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = paged.groupBy("document", "at").agg(F.array_sort(F.collect_list(F.struct("block_id", "text", "page", "section"))).alias("u"), F.min("block_id").alias("first"))
+    some = F.max("page").over(Window.partitionBy("document")).isNotNull()
+    marked = blocks.withColumn("_some", some)
+    loose = seg_paragraph(marked.filter(~F.col("_some")).drop("_some"), spec)
+    paged = marked.filter("_some").withColumn("after", F.coalesce(F.last("page", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)))
+    bare = F.col("page").isNull()
+    paged = paged.withColumn("_new", (bare & (~F.coalesce(F.lag("page").over(order).isNull(), F.lit(False)) | (F.row_number().over(order) == 1))).cast("int"))
+    paged = paged.withColumn("run", F.when(bare, F.sum("_new").over(order)).otherwise(0))
+    groups = paged.groupBy("document", "after", "run").agg(F.array_sort(F.collect_list(F.struct("block_id", "text", "section"))).alias("u"))
     body = F.array_join(F.transform("u", lambda x: x["text"]), "\n\n")
-    n = F.row_number().over(Window.partitionBy("document").orderBy("first"))
-    return groups.select(
-        "document", n.alias("chunk_id"), body.alias("text"), count_words(body).alias("tokens"), F.length(body).alias("chars"),
-        F.col("at").alias("page"), _one("section").alias("section"), _one("block_id").alias("block_id"),
-    )
+    cap = spec.max_tokens
+    page = F.when(F.col("run") == 0, F.col("after")).cast("int").alias("page")
+    section = F.when(F.size(F.array_distinct(F.transform("u", lambda x: F.struct(x["section"])))) == 1, F.col("u")[0]["section"]).alias("section")
+    whole = groups.select("document", "after", "run", page, section, F.col("u")[0]["block_id"].alias("block_id"), body.alias("body"), count_tokens(body, spec.tokenizer).alias("n"))
+    fits = whole.filter(F.col("n") <= cap).select("document", "after", "run", F.lit(0).alias("part"), "page", "section", "block_id", F.col("body").alias("text"), F.col("n").alias("tokens"))
+    count = _COUNTERS[spec.tokenizer]
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(r.document, r.after, r.run, k, r.page, r.section, r.block_id, t, count(t)) for r in pdf.itertuples() for k, t in enumerate(hard_split(r.body, cap, count))]
+            yield pd.DataFrame(rows, columns=["document", "after", "run", "part", "page", "section", "block_id", "text", "tokens"]).astype({"page": "Int32"})
+
+    over = whole.filter(F.col("n") > cap).drop("n").mapInPandas(split, "document string, after int, run bigint, part int, page int, section string, block_id int, text string, tokens int")
+    n = F.row_number().over(Window.partitionBy("document").orderBy("after", "run", "part"))
+    made = fits.withColumn("run", F.col("run").cast("bigint")).unionByName(over)
+    made = made.select("document", n.alias("chunk_id"), "text", "tokens", F.length("text").alias("chars"), "page", "section", "block_id")
+    return made.unionByName(loose.select(*made.columns))
 
 
 @register_segmenter("contextual")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -27,17 +26,31 @@ SCALE = {"hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9, "trill
 
 
 # ---------------------------------------------------------------- quotations
+#: Quotation marks, dashes and spaces as plain ones.
+_QUOTES, _DASHES, _SPACES = ("‘’‚‛", "“”„‟«»"), "‐‑‒–—―−", "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Full-width forms stand at a fixed distance from ASCII; superscript digits one by one.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_ONE_FROM = _QUOTES[0] + _QUOTES[1] + _DASHES + _SPACES + _WIDE + "¹²³⁰⁴⁵⁶⁷⁸⁹"
+_ONE_TO = "'" * len(_QUOTES[0]) + '"' * len(_QUOTES[1]) + "-" * len(_DASHES) + " " * len(_SPACES) + "".join(map(chr, range(0x21, 0x7F))) + "1230456789"
+#: Letters and signs that stand for several.
+_MANY = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ß": "ss", "…": "...", "½": "1/2", "¼": "1/4", "¾": "3/4", "\u00ad": ""}
+
+
 def normalise(text: str) -> str:
-    """Compatibility form, straight quotes and dashes, lower case, white space squeezed."""
-    text = unicodedata.normalize("NFKC", text)
-    text = text.translate(str.maketrans("‘’‚‛“”„‟«»‐‑‒–—―−", "''''\"\"\"\"\"\"-------")).casefold()
-    return re.sub(r"\s+", " ", text).strip()
+    """Straight quotes and dashes, plain widths and ligatures, lower case, white space squeezed. The same tables serve
+    Catalyst, so both sides judge a quotation alike."""
+    text = text.translate(str.maketrans(_ONE_FROM, _ONE_TO))
+    for one, many in _MANY.items():
+        text = text.replace(one, many)
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", text.lower()).strip(" ")
 
 
 def normalise_column(text: Column) -> Column:
-    """The part of ``normalise`` that Catalyst can express; equal on text without compatibility characters."""
-    out = F.translate(F.lower(text_or_empty(text)), "‘’‚‛“”„‟«»‐‑‒–—―−", "''''\"\"\"\"\"\"-------")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """``normalise`` as a Column."""
+    out = F.translate(text_or_empty(text), _ONE_FROM, _ONE_TO)
+    for one, many in _MANY.items():
+        out = F.replace(out, F.lit(one), F.lit(many))
+    return F.trim(F.regexp_replace(F.lower(out), r"\s+", " "))
 
 
 def contains_quote(source: Column, quote: Column) -> Column:
@@ -85,8 +98,18 @@ def critical_tokens(text: str) -> list[str]:
     return sorted(t for t in re.findall(r"\d+(?:[.,]\d+)*|[<>=≤≥%±]|[\w']+", text) if not re.fullmatch(r"[\w']+", t) or t[0].isdigit() or t in NEGATIONS or t in NUMBER_WORDS or t in TENS)
 
 
-def match_quote(source: str | None, quote: str | None) -> tuple[str, float, int, bool]:
-    """(status, similarity, edits, critical tokens equal); status verbatim, near_verbatim, unverified or not_checked."""
+def match_quote(source: str | None, quote: str | None) -> tuple[str, float, int, bool, float]:
+    """(status, similarity, edits, critical tokens equal, coverage); status verbatim, elided, near_verbatim, unverified or
+    not_checked. An elided quotation has its pieces in order, and nothing in the gaps that turns them. Coverage is the
+    share of the quotation that the source has in order."""
+    status, similarity, edits, critical = _matched(source, quote)
+    if status == "unverified" and re.search(r"\.{3,}|…", quote or "") and in_order(source or "", quote or ""):
+        return "elided", 1.0, 0, True, 1.0
+    size = len(normalise(quote or ""))
+    return status, similarity, edits, critical, round(max(0.0, 1 - edits / size), 4) if size and status != "not_checked" else 0.0
+
+
+def _matched(source: str | None, quote: str | None) -> tuple[str, float, int, bool]:
     s, q = normalise(source or ""), normalise(quote or "")
     if not q or not s:
         return "unverified", 0.0, len(q), False
@@ -108,21 +131,32 @@ def match_quote(source: str | None, quote: str | None) -> tuple[str, float, int,
 
 VERDICT = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("edits", T.IntegerType()), T.StructField("critical_ok", T.BooleanType()),
+    T.StructField("coverage", T.DoubleType()),
 ])
 
 
 @F.pandas_udf(VERDICT)
 def quote_verdict(source: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([match_quote(s, q) for s, q in zip(source, quote, strict=True)], columns=["status", "similarity", "edits", "critical_ok"])
+    return pd.DataFrame([match_quote(s, q) for s, q in zip(source, quote, strict=True)], columns=["status", "similarity", "edits", "critical_ok", "coverage"])
 
 
 def verify_evidence(evidence: DataFrame, sources: DataFrame, on: list[str]) -> DataFrame:
-    """Evidence rows with verified (exact) and quote_status / similarity / edits / critical_ok; answers are not checkable."""
+    """Evidence rows with verified, quote_status, quote_sim, quote_coverage, quote_edits and quote_critical_ok.
+
+    verified is exact or an elision in order; of kind "answer" nothing is checkable and all are null. Quotations that
+    stand verbatim are told in the JVM; only the others go to the edit-distance matcher.
+    """
     joined = evidence.join(sources.select(*on, F.col("text").alias("_source")), on, "left")
-    checked = joined.withColumn("_v", quote_verdict(F.coalesce("_source", F.lit("")), F.coalesce("text", F.lit(""))))
+    checkable = F.col("kind") != "answer"
+    told = joined.withColumn("_exact", F.when(checkable, F.coalesce(contains_quote(F.col("_source"), F.col("text")), F.lit(False))))
+    rest = quote_verdict(F.coalesce("_source", F.lit("")), F.coalesce("text", F.lit("")))
+    whole = F.struct(F.lit("verbatim").alias("status"), F.lit(1.0).alias("similarity"), F.lit(0).alias("edits"), F.lit(True).alias("critical_ok"), F.lit(1.0).alias("coverage"))
+    none = F.lit(None).cast(told.select(whole.alias("w")).schema["w"].dataType)
+    columns = [*joined.columns, "_exact"]
+    checked = told.filter("_exact = false").select(*columns, rest.alias("_v")).unionByName(told.filter("_exact is null or _exact").select(*columns, F.when(F.col("_exact"), whole).otherwise(none).alias("_v")))
     return checked.select(
-        *evidence.columns, F.when(F.col("kind") != "answer", contains_quote(F.col("_source"), F.col("text"))).alias("verified"),
-        F.col("_v.status").alias("quote_status"), F.col("_v.similarity").alias("quote_sim"), F.col("_v.edits").alias("quote_edits"), F.col("_v.critical_ok").alias("quote_critical_ok"),
+        *evidence.columns, F.when(F.col("_exact").isNotNull(), F.col("_v.status").isin("verbatim", "elided")).alias("verified"), F.col("_v.status").alias("quote_status"), F.col("_v.similarity").alias("quote_sim"),
+        F.col("_v.coverage").alias("quote_coverage"), F.col("_v.edits").alias("quote_edits"), F.col("_v.critical_ok").alias("quote_critical_ok"),
     )
 
 

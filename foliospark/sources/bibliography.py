@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators.records import FIELDS, finish_records
+from foliospark.sources.files import decode
 
 #: Tags of the formats by field, in order of preference.
 RIS_TAGS = {
@@ -175,12 +176,13 @@ def parse_export(text: str) -> list[dict[str, str]]:
 
 
 def parse_exports(files: DataFrame) -> DataFrame:
-    """files(path, content string) to finished records; ids follow the order of path and place in the file."""
+    """files(path, content as text or bytes) to finished records; ids follow the order of path and place in the file."""
     columns = [f for f in FIELDS if f != "source_file"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(p, k, *[r.get(c) for c in columns]) for p, text in zip(pdf.path, pdf.content, strict=True) for k, r in enumerate(parse_export(text or ""))]
+            texts = [decode(bytes(c)) if isinstance(c, (bytes, bytearray)) else c or "" for c in pdf.content]
+            rows = [(p, k, *[r.get(c) for c in columns]) for p, text in zip(pdf.path, texts, strict=True) for k, r in enumerate(parse_export(text))]
             yield pd.DataFrame(rows, columns=["source_file", "place", *columns])
 
     parsed = files.select("path", "content").mapInPandas(run, "source_file string, place int, " + ", ".join(f"{c} string" for c in columns))
@@ -190,4 +192,4 @@ def parse_exports(files: DataFrame) -> DataFrame:
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """Every export file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ris,nbib,bib,txt}").load(path)
-    return parse_exports(files.select("path", F.decode("content", F.lit("UTF-8")).alias("content")))
+    return parse_exports(files.select("path", "content"))

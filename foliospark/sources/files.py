@@ -123,7 +123,7 @@ def extract_markdown(raw: bytes, options: dict) -> list[Block]:
 # ---------------------------------------------------------------- HTML
 #: Tags that break a block, tags whose content is no text.
 BLOCK_TAGS = set("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form header hr html li main nav ol p section summary ul".split())
-SILENT_TAGS = set("script style noscript template head title svg".split())
+SILENT_TAGS = set("script style noscript template head title svg nav footer select".split())
 
 
 class _Page(HTMLParser):
@@ -153,7 +153,12 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in SILENT_TAGS:
+            if tag in BLOCK_TAGS:
+                self.flush()
             self.silent += 1
+        elif tag == "body":
+            self.flush()
+            self.silent = 0  # a head that was never closed
         elif re.fullmatch("h[1-6]", tag):
             self.flush()
             self.kind = "heading"
@@ -246,21 +251,64 @@ def _docx_headings(styles: bytes | None) -> set[str]:
     return found
 
 
+_M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
+_FALLBACK = "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"
+#: Containers that a paragraph's text does not go through: boxes are paragraphs of their own, fallbacks repeat them.
+_BOX = f"{_W}txbxContent"
+_WRAPPERS = {f"{_W}{t}" for t in ("sdt", "sdtContent", "customXml", "smartTag", "ins", "moveTo")}
+
+
 def _docx_text(p) -> str:
-    out = []
-    for x in p.iter():
-        if x.tag in (f"{_W}t", "{http://schemas.openxmlformats.org/officeDocument/2006/math}t"):
-            out.append(x.text or "")
-        elif x.tag == f"{_W}tab":
-            out.append("\t")
-        elif x.tag in (f"{_W}br", f"{_W}cr"):
-            out.append("\n")
+    out: list[str] = []
+
+    def walk(x) -> None:
+        for c in x:
+            if c.tag in (_BOX, _FALLBACK):
+                continue
+            if c.tag in (f"{_W}t", f"{_M}t"):
+                out.append(c.text or "")
+            elif c.tag == f"{_W}tab":
+                out.append("\t")
+            elif c.tag in (f"{_W}br", f"{_W}cr"):
+                out.append("\n")
+            else:
+                walk(c)
+
+    walk(p)
     return "".join(out)
 
 
+def _docx_parts(x) -> Iterator:
+    """Paragraphs and tables in order, through content controls and the like."""
+    for c in x:
+        if c.tag in (f"{_W}p", f"{_W}tbl"):
+            yield c
+        elif c.tag in _WRAPPERS:
+            yield from _docx_parts(c)
+
+
+def _docx_children(x, tag: str) -> Iterator:
+    """Rows of a table or cells of a row, through content controls; not those of a table inside."""
+    for c in x:
+        if c.tag == tag:
+            yield c
+        elif c.tag in _WRAPPERS:
+            yield from _docx_children(c, tag)
+
+
+def _docx_boxes(p) -> Iterator:
+    """Text boxes anchored in a paragraph, without the fallbacks that repeat them."""
+    for c in p:
+        if c.tag == _BOX:
+            yield c
+        elif c.tag != _FALLBACK:
+            yield from _docx_boxes(c)
+
+
 @register_extractor("docx")
 def extract_docx(raw: bytes, options: dict) -> list[Block]:
-    """Paragraphs, headings by style, tables row by row, foot- and endnotes in the order they are cited."""
+    """Paragraphs, headings by style, tables row by row, text boxes after their paragraph, foot- and endnotes in the
+    order they are cited. A table inside a cell gives its own rows, after the row that holds it."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         if sum(i.file_size for i in z.infolist()) > MAX_UNPACKED:
             raise ValueError("the file unpacks to too much")
@@ -273,21 +321,35 @@ def extract_docx(raw: bytes, options: dict) -> list[Block]:
                 for n in ElementTree.fromstring(z.read(f"word/{kind}s.xml")).iter(f"{_W}{kind}"):
                     notes[kind, n.get(f"{_W}id")] = "\n".join(filter(None, (_docx_text(p).strip() for p in n.iter(f"{_W}p"))))
     out: list[Block] = []
-    section = None
-    for x in body if body is not None else []:
-        if x.tag == f"{_W}p":
-            style = x.find(f"{_W}pPr/{_W}pStyle")
-            text = _docx_text(x).strip()
-            if text and style is not None and style.get(f"{_W}val") in headings:
-                section = text
-                out.append((text, None, section, "heading"))
-            elif text:
-                out.append((text, None, section, "body"))
-        elif x.tag == f"{_W}tbl":
-            for row in x.iter(f"{_W}tr"):
-                cells = [" ".join(filter(None, (_docx_text(p).strip() for p in c.iter(f"{_W}p")))) for c in row.findall(f"{_W}tc")]
+    section: str | None = None
+
+    def add(x) -> None:
+        nonlocal section
+        if x.tag == f"{_W}tbl":
+            for row in _docx_children(x, f"{_W}tr"):
+                cells, inner = [], []
+                for cell in _docx_children(row, f"{_W}tc"):
+                    parts = list(_docx_parts(cell))
+                    cells.append(" ".join(filter(None, (_docx_text(p).strip() for p in parts if p.tag == f"{_W}p"))))
+                    inner += [p for p in parts if p.tag == f"{_W}tbl"]
                 if any(cells):
                     out.append((" | ".join(cells), None, section, "table"))
+                for table in inner:
+                    add(table)
+            return
+        style = x.find(f"{_W}pPr/{_W}pStyle")
+        text = _docx_text(x).strip()
+        if text and style is not None and style.get(f"{_W}val") in headings:
+            section = text
+            out.append((text, None, section, "heading"))
+        elif text:
+            out.append((text, None, section, "body"))
+        for box in _docx_boxes(x):
+            for part in _docx_parts(box):
+                add(part)
+
+    for part in _docx_parts(body) if body is not None else []:
+        add(part)
     for kind in ("footnote", "endnote"):
         for ref in (body if body is not None else ElementTree.Element("x")).iter(f"{_W}{kind}Reference"):
             if text := notes.get((kind, ref.get(f"{_W}id"))):
@@ -295,12 +357,88 @@ def extract_docx(raw: bytes, options: dict) -> list[Block]:
     return out
 
 
+#: Visible characters under which a page counts as scanned.
+OCR_MIN_CHARS = 40
+#: A page has two columns if this share of its lines is blank at the gutter, and this share has text on both sides.
+GUTTER, GUTTER_BLANK, BOTH_SIDES = 3, 0.8, 0.4
+
+
+def column_order(lines: list[str]) -> list[str]:
+    """Lines of a page in reading order: where a gutter parts two columns, the left one of each band and then the right
+    one; a line across the gutter ends a band. Lines keep the places of their characters, as layout extraction gives them."""
+    filled = [line for line in lines if line.strip()]
+    width = max(map(len, filled), default=0)
+    if len(filled) < 6 or width < 24:
+        return lines
+    best = None
+    for x in range(width * 3 // 10, width * 7 // 10):
+        blank = sum(not line[x : x + GUTTER].strip() for line in filled)
+        both = sum(bool(line[:x].strip()) and bool(line[x + GUTTER :].strip()) and not line[x : x + GUTTER].strip() for line in filled)
+        if blank >= GUTTER_BLANK * len(filled) and both >= BOTH_SIDES * len(filled) and (best is None or (both, blank) > best[0]):
+            best = (both, blank), x
+    if best is None:
+        return lines
+    x, out, right = best[1], [], []
+    for line in lines:
+        if line[x : x + GUTTER].strip():
+            out += [*right, line]
+            right = []
+        else:
+            out.append(line[:x].rstrip())
+            if line[x:].strip():
+                right.append(line[x:].strip())
+    return [line for line in [*out, *right] if line.strip()]
+
+
+def pdf_blocks(pages: list[str], titles: dict[int, list[str]] | None = None, ocr: Callable[[int], str] | None = None, least: int = OCR_MIN_CHARS) -> list[Block]:
+    """Blocks of the texts of pages: running lines dropped, columns put in order, outline titles as headings of the page
+    (from 1) they point to. A page with fewer than ``least`` visible characters is read by ``ocr``; what stays without
+    text is a block of kind ``unread``, so no page goes missing silently."""
+    out: list[Block] = []
+    section = None
+    for n, page in enumerate(drop_running_lines(pages), 1):
+        for title in (titles or {}).get(n, []):
+            section = title
+            out.append((title, n, section, "heading"))
+        text, kind = "\n".join(column_order(page.split("\n"))).strip(), "body"
+        if len(re.sub(r"\s", "", text)) < least and ocr is not None:
+            seen = ocr(n).strip()
+            text, kind = (seen, "ocr") if len(seen) > len(text) else (text, kind)
+        out.append((text, n, section, kind) if text else ("", n, section, "unread"))
+    return out
+
+
+def _outline_titles(reader) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+
+    def walk(items) -> None:
+        for x in items:
+            if isinstance(x, list):
+                walk(x)
+            elif getattr(x, "title", None):
+                out.setdefault(reader.get_destination_page_number(x) + 1, []).append(x.title.strip())
+
+    walk(reader.outline)
+    return out
+
+
+def _page_reader(raw: bytes) -> Callable[[int], str] | None:
+    """Text of a page by OCR, where the packages for it are there."""
+    if not (available("pytesseract") and available("pdf2image")):
+        return None
+    import pytesseract
+    from pdf2image import convert_from_bytes
+
+    return lambda n: pytesseract.image_to_string(convert_from_bytes(raw, first_page=n, last_page=n)[0])
+
+
 @register_extractor("pdf", needs="pypdf")
 def extract_pdf(raw: bytes, options: dict) -> list[Block]:
     import pypdf
 
-    pages = [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(raw)).pages]
-    return [(t.strip(), k, None, "body") for k, t in enumerate(drop_running_lines(pages), 1) if t.strip()]
+    reader = pypdf.PdfReader(io.BytesIO(raw))
+    pages = [p.extract_text(extraction_mode="layout") or "" for p in reader.pages]
+    return pdf_blocks(pages, _outline_titles(reader), _page_reader(raw), options.get("ocr_min_chars", OCR_MIN_CHARS))
 
 
 @register_extractor("png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif", needs="pytesseract")
@@ -337,8 +475,9 @@ def extension_of(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, length, content of every file an extractor claims."""
-    glob = "*.{" + ",".join(sorted(EXTRACTORS)) + "}"
+    """path, length, content of every file an extractor claims, whatever the case of its ending."""
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    glob = "*.{" + ",".join(either(e) for e in sorted(EXTRACTORS)) + "}"
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
 
 
@@ -356,9 +495,11 @@ def extract(files: DataFrame, options: dict | None = None) -> DataFrame:
                     run_one, needs = EXTRACTORS[ext]
                     if not available(needs):
                         raise RuntimeError(f"needs the package {needs}")
-                    blocks = [b for b in run_one(bytes(content), options) if b[0].strip()]
+                    found = run_one(bytes(content), options)
+                    blocks = [b for b in found if b[0].strip()]
                     rows += [(path, k, *b, None) for k, b in enumerate(blocks, 1)]
-                    if not blocks:
+                    rows += [(path, 0, None, page, None, kind, f"no text on page {page}") for text, page, _, kind in found if kind == "unread"]
+                    if not found:
                         rows.append((path, 0, None, None, None, None, "no text"))
                 except Exception as e:  # the contract: errors are values of the row
                     rows.append((path, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
@@ -377,5 +518,31 @@ def inventory(files: DataFrame) -> DataFrame:
     )
 
 
+def inventory_tokens(files: DataFrame, options: dict | None = None) -> DataFrame:
+    """The inventory of files(path, length, content) with pages, unread pages, tokens (heuristic) and what is wrong.
+
+    A file all of whose pages lack text is ``needs_ocr``, one that cannot be read ``unreadable``.
+    """
+    from foliospark.functions.tokens import count_tokens
+
+    blocks = extract(files, options)
+    sums = blocks.groupBy("document").agg(
+        F.max("page").alias("pages"), F.sum((F.col("kind") == "unread").cast("int")).alias("unread_pages"), F.sum(count_tokens(F.col("text"))).alias("tokens"), F.first("error", ignorenulls=True).alias("note"),
+        F.sum(F.col("text").isNotNull().cast("int")).alias("_blocks"),
+    )
+    rows = inventory(files.select("path", "length")).withColumn("document", F.concat_ws("/", F.when(F.col("folder") != F.col("file"), F.col("folder")), "file"))
+    joined = rows.join(sums, "document", "left")
+    failed = (F.col("status") == "ready") & (F.col("_blocks") == 0)
+    status = F.when(failed & (F.col("unread_pages") > 0), "needs_ocr").when(failed & (F.col("note") != "no text"), "unreadable").when(failed, "empty").otherwise(F.col("status"))
+    return joined.select("file", "folder", "ext", "bytes", status.alias("status"), "pages", F.coalesce("unread_pages", F.lit(0)).alias("unread_pages"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "note")
+
+
+def reading_floor(rows: DataFrame, input_usd: float, output_usd: float, reply_tokens: int = 500) -> DataFrame:
+    """One row: files that can be read, their tokens, and the least they cost, one call a file."""
+    ready = F.col("status") == "ready"
+    sums = rows.agg(F.coalesce(F.sum(ready.cast("int")), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(ready, F.col("tokens"))), F.lit(0)).alias("tokens"))
+    return sums.withColumn("usd", F.col("tokens") / 1e6 * input_usd + F.col("files") * reply_tokens / 1e6 * output_usd)
+
+
 def by_status(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
