@@ -49,6 +49,8 @@ def register_cleaner(name: str, stage: str = "late", default: bool = False, scop
     return add
 
 
+# The patterns of page_numbers, captions, urls, emails and references decide which text goes, so they
+# are stated as the results need them.
 @register_cleaner("page_numbers", "early", True)
 def page_numbers(x: Column) -> Column:
     """Lines that only number a page: "Page 4 of 9", "- 12 -", "[12]"; "12." after a blank line or a sentence end."""

@@ -33,11 +33,19 @@ def dedupe_by_doi(records: DataFrame) -> DataFrame:
     return joined.select(*records.columns, F.when(F.col("first") < F.col("record_id"), F.col("first")).alias("duplicate_of"))
 
 
-def _surname(authors: str | None) -> tuple[str, str]:
-    """(folded surname, first initial) of the first author: "Name, First", "Name FM" or "First Name"."""
+#: Parts of family names, and words that tell a corporate author.
+PARTICLES = set("van von der den de del della di da dos du la le ten ter bin ibn al el".split())
+CORPORATE = set("group consortium collaboration committee council commission organisation organization association society institute ministry department agency investigators network team bank".split())
+
+
+def _first_author(authors: str | None) -> tuple[str, str, bool]:
+    """(folded family name, folded given names, corporate) of the first author: "Name, First", "Name FM" or "First Name"."""
     if not authors:
-        return "", ""
+        return "", "", False
     first = authors.split(";")[0].split(" and ")[0].strip()
+    keep = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    if CORPORATE & {keep(w) for w in first.split()}:
+        return keep(first), "", True
     if "," in first:
         family, given = (p.strip() for p in first.split(",", 1))
     else:
@@ -45,9 +53,19 @@ def _surname(authors: str | None) -> tuple[str, str]:
         if len(words) > 1 and words[-1].isupper() and len(words[-1]) <= 3:
             family, given = " ".join(words[:-1]), words[-1]
         else:
-            family, given = (words[-1] if words else ""), " ".join(words[:-1])
-    keep = lambda s: "".join(c for c in s.lower() if c.isalnum())
-    return keep(family), keep(given)[:1]
+            at = next((k for k in range(1, len(words)) if words[k].lower() in PARTICLES), len(words) - 1)
+            family, given = " ".join(words[at:]), " ".join(words[:at])
+    bare = [w for w in family.split() if w.lower() not in PARTICLES] or family.split()
+    return keep("".join(bare)), keep(given), False
+
+
+def _authors_agree(a: tuple[str, str, bool], b: tuple[str, str, bool]) -> bool:
+    """The same family name and initial, or family and given names the other way round; corporate authors as written."""
+    (family, given, corporate), (family2, given2, corporate2) = a, b
+    if corporate or corporate2:
+        return family == family2
+    swapped = bool(given and given2) and family == given2 and given == family2
+    return swapped or (family == family2 and (not given or not given2 or given[0] == given2[0]))
 
 
 def _venues_agree(a: str | None, b: str | None) -> bool:
@@ -66,28 +84,25 @@ def _venues_agree(a: str | None, b: str | None) -> bool:
 
 
 def _same_work(a: dict, b: dict) -> bool:
-    """Authors and venues agree; where both have a DOI they differ, so the works do."""
+    """Authors and venues agree; where both have a DOI it is one, and where one has, both have authors."""
     if a["doi"] and b["doi"] and a["doi"] != b["doi"]:
         return False
-    (family, given), (family2, given2) = _surname(a["authors"]), _surname(b["authors"])
-    strict = bool(a["doi"] or b["doi"])
-    if family and family2:
-        if family != family2 and family[:1] + given != family2[:1] + given2:
-            return False
-        if family != family2 or (given and given2 and given != given2):
+    one, two = _first_author(a["authors"]), _first_author(b["authors"])
+    if one[0] and two[0]:
+        if not _authors_agree(one, two):
             return False
-    elif strict:
+    elif a["doi"] or b["doi"]:
         return False
     return _venues_agree(a["venue"], b["venue"])
 
 
-def dedupe_by_title(records: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def dedupe_by_title(records: DataFrame) -> DataFrame:
     """(record_id, duplicate_of) by title key and year inside blocks of one key and year.
 
     A record joins a group only if it fits every member and exactly one group does; the order of ids decides.
     Keys under MIN_TITLE characters and records without a year never match. Records that agree in all compared
-    fields are folded before the blocks are formed, so copies do not pile up in one task; a block of more than
-    ``block_rows`` different records is an error rather than a guess.
+    fields are folded before the blocks are formed, so copies do not pile up in one task. The rule goes record by
+    record, so a block is one task; groups are looked up by author, so its time follows the records and not their pairs.
     """
     keyed = records.select("record_id", "authors", "venue", "doi", "year", title_key(F.col("title")).alias("key"))
     keyed = keyed.filter((F.length("key") >= MIN_TITLE) & F.col("year").isNotNull())
@@ -95,20 +110,23 @@ def dedupe_by_title(records: DataFrame, block_rows: int = 20_000) -> DataFrame:
     folded = keyed.groupBy(*same).agg(F.min("record_id").alias("first"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > block_rows:
-            raise ValueError(f"{len(pdf)} different records share one title and year")
         rows = pdf.sort_values("first").to_dict("records")
         rows = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in rows]
         groups: list[list[dict]] = []
+        by_name: dict[str, list[int]] = {}
         out = []
         for r in rows:
-            fits = [g for g in groups if all(_same_work(r, m) for m in g)]
-            if len(fits) == 1:
-                fits[0].append(r)
-                out.append((r["first"], fits[0][0]["first"]))
-            else:
-                groups.append([r])
-                out.append((r["first"], r["first"]))
+            family, given, _ = _first_author(r["authors"])
+            # groups that hold this name, or given names as a family name, or a record without an author
+            near = sorted({g for n in {family, given, ""} for g in by_name.get(n, ())}) if family else range(len(groups))
+            fits = [g for g in near if all(_same_work(r, m) for m in groups[g])]
+            at = fits[0] if len(fits) == 1 else len(groups)
+            if at == len(groups):
+                groups.append([])
+            groups[at].append(r)
+            if at not in by_name.setdefault(family, []):
+                by_name[family].append(at)
+            out.append((r["first"], groups[at][0]["first"]))
         return pd.DataFrame(out, columns=["first", "root"])
 
     # a record alone in its block is its own root; only blocks of two or more go to Python

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from foliospark.functions.text import count_words, has_content, sentences_of, squeeze, text_or_empty
 from foliospark.operators import review as R
 from foliospark.operators import verify as V
+from foliospark.operators.graph import connected_components
 from foliospark.operators.model import Client, call, read_json
+from foliospark.operators.rank import global_rank
 from foliospark.session import cut
 
 #: Tokens a claims reply takes by itself and for each study, kinds of claims, passes of a revision.
@@ -94,23 +96,34 @@ def reconcile_claims(claims: DataFrame, support: DataFrame, question: str, clien
 
     The prompt lists wordings only, so no study can be invented. A group keeps its longest wording, its first
     moderator, its longest scope and all studies; ``note`` names the wordings it absorbed and the studies that stood
-    on both sides. A claim in two groups stays in the first; one in none keeps its own. ``reason`` says why nothing
-    was merged: a lost reply, or more claims than a prompt may list.
+    on both sides. A claim in two groups of a reply stays in the first; one in none keeps its own. More than ``most``
+    claims are dealt out in halves of a prompt, and each two halves meet in one, so any two claims are seen together;
+    groups that share a claim are one then. ``reason`` says why nothing was merged, or that some replies were lost.
     """
     n = claims.count()
     if n < 2:
         return claims, support, None
-    if n > most:
-        return claims, support, f"{n} claims are more than one prompt may list ({most})"
-    numbered = cut(claims.withColumn("no", F.row_number().over(Window.orderBy("claim_id"))))  # at most ``most`` rows
-    listed = numbered.agg(F.array_sort(F.collect_list(F.struct("no", "claim"))).alias("u"))
+    half = max(1, most // 2)
+    last = 0 if n <= most else (n - 1) // half
+    numbered = cut(global_rank(claims, "no", "claim_id").withColumn("part", F.when(F.lit(last == 0), F.lit(0)).otherwise(F.floor((F.col("no") - 1) / half)).cast("int")))
+    if last == 0:
+        placed = numbered.select("no", "claim", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    else:
+        meets = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last)))).filter("part != other")
+        placed = meets.select("no", "claim", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    listed = placed.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("no", "claim"))).alias("u"))  # at most ``most`` claims each
     body = F.array_join(F.transform("u", lambda x: F.concat(x["no"].cast("string"), F.lit(". "), x["claim"])), "\n")
-    asked = cut(call(listed.select(_prompt(MERGE_CLAIMS, question, body).alias("prompt")), client).select(F.when(F.col("ok"), read_json(F.col("reply"), _GROUPS)["groups"]).alias("groups")))
-    if asked.filter("groups is not null").isEmpty():
+    shown = F.transform("u", lambda x: x["no"])
+    asked = cut(call(listed.select("x", "y", shown.alias("shown"), _prompt(MERGE_CLAIMS, question, body).alias("prompt")), client).select("x", "y", "shown", F.when(F.col("ok"), read_json(F.col("reply"), _GROUPS)["groups"]).alias("groups")))
+    lost = asked.filter("groups is null").count()
+    if lost == (last * (last + 1) // 2 or 1):
         return claims, support, "the reply was lost or is no list of groups"
-    said = asked.select(F.posexplode("groups").alias("g", "members")).select("g", F.explode(_ids(F.col("members"))).alias("no"))
-    place = said.groupBy("no").agg(F.min("g").alias("g"))
-    grouped = numbered.join(place, "no", "left").withColumn("g", F.coalesce(F.concat(F.lit("g"), F.col("g").cast("string")), F.concat(F.lit("u"), F.col("no").cast("string"))))
+    reason = f"{lost} of {last * (last + 1) // 2} replies were lost" if lost else None
+    said = asked.select("x", "y", "shown", F.posexplode("groups").alias("g", "members")).select("x", "y", "g", F.explode(F.array_intersect(_ids(F.col("members")), "shown")).alias("no"))
+    place = said.groupBy("x", "y", "no").agg(F.min("g").alias("g"))
+    heads_of = place.groupBy("x", "y", "g").agg(F.min("no").alias("head"))
+    joined = connected_components(place.join(heads_of, ["x", "y", "g"]).select(F.col("no").alias("a"), F.col("head").alias("b")))
+    grouped = numbered.drop("part").join(joined.withColumnRenamed("node", "no"), "no", "left").withColumn("g", F.coalesce("label", "no")).drop("label")
     heads = grouped.groupBy("g").agg(F.min("claim_id").alias("head"))
     moved = support.join(grouped.select("claim_id", "g").join(heads, "g"), "claim_id").groupBy(F.col("head").alias("claim_id"), "study").agg(
         F.max(F.col("role") == "support").alias("s"), F.max(F.col("role") == "contradict").alias("c"),
@@ -127,14 +140,14 @@ def reconcile_claims(claims: DataFrame, support: DataFrame, question: str, clien
         F.array_sort(F.collect_list(F.struct("no", "claim", "note"))).alias("m"),
     )
     others = F.array_distinct(F.filter(F.transform("m", lambda x: x["claim"]), lambda w: squeeze(w) != squeeze(F.col("claim"))))
-    absorbed = F.when(F.size(others) > 0, F.concat(F.lit("merged with: "), F.array_join(F.transform(others, lambda w: F.concat(F.lit("'"), w, F.lit("'"))), "; ")))
-    flipped = F.when(F.size("flipped") > 0, F.concat(F.lit("contradicted a merged claim, kept as supporting: study "), F.array_join(F.transform("flipped", lambda s: s.cast("string")), ", ")))
+    absorbed = F.when(F.size(others) > 0, F.concat(F.lit("also worded as "), F.array_join(F.transform(others, lambda w: F.concat(F.lit("'"), w, F.lit("'"))), "; ")))
+    flipped = F.when(F.size("flipped") > 0, F.concat(F.lit("on both sides before merging, counted as support: study "), F.array_join(F.transform("flipped", lambda s: s.cast("string")), ", ")))
     earlier = F.filter(F.transform("m", lambda x: x["note"]), lambda w: w.isNotNull())
     notes = F.array_distinct(F.concat(earlier, F.filter(F.array(absorbed, flipped), lambda w: w.isNotNull())))
     out = merged.join(tally, "claim_id").select(
         "claim_id", "claim", "kind", "moderator", "scope", F.when(F.size(notes) > 0, F.array_join(notes, "; ")).alias("note"), "n_support", "n_contradict",
     )
-    return out, moved.select("claim_id", "study", F.when(F.col("s"), "support").otherwise("contradict").alias("role")), None
+    return out, moved.select("claim_id", "study", F.when(F.col("s"), "support").otherwise("contradict").alias("role")), reason
 
 
 # ---------------------------------------------------------------- outline
@@ -158,10 +171,10 @@ def draw_outline(claims: DataFrame, question: str, client: Client, max_sections:
     once = named.groupBy("claim_id").agg(F.min_by("section_no", "p").alias("section_no"))
     if once.join(claims.filter("kind != 'gap'"), "claim_id", "left_semi").isEmpty():
         once = claims.filter("kind != 'gap'").select("claim_id", F.lit(1).alias("section_no"))
-        first = claims.sparkSession.createDataFrame([(0, "Findings", "What the evidence supports")], "section_no int, heading string, brief string")
+        first = claims.sparkSession.createDataFrame([(0, "Findings", "Every claim, since no sections were drawn")], "section_no int, heading string, brief string")
     placed = cut(R.place_claims(once.select("section_no", "claim_id"), claims))
     heads = first.select((F.col("section_no") + 1).alias("section_no"), "heading", "brief").unionByName(
-        claims.sparkSession.createDataFrame([(0, closing, "The questions this body of work cannot answer, and why")], "section_no int, heading string, brief string")
+        claims.sparkSession.createDataFrame([(0, closing, "Open points, with the reason each is open")], "section_no int, heading string, brief string")
     )
     used = heads.join(placed.select("section_no").distinct(), "section_no", "left_semi")
     order = Window.orderBy(F.col("section_no") == 0, "section_no")  # at most max_sections + 1 rows

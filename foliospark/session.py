@@ -33,16 +33,29 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only a session without one (tests) gets its own."""
+    """Use the folder named in spark.checkpoint.dir. Only a local session without one, as tests have, gets a folder of
+    its own; on a cluster executors would not see it, so there it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "foliospark-checkpoints"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, spread: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: a plan used twice runs once, and what
-    it held survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    it held survives the loss of any executor.
+
+    Without ``spread`` shuffled data arrive in partitions of the advisory size, not one for each core, so a small table
+    leaves few files. The setting is put back, as the write has ended by then.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    ensure_checkpoint_dir(spark)
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(spread and was.lower() == "true").lower())
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, was)

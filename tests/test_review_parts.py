@@ -92,6 +92,26 @@ def test_title_dedupe_needs_one_group(spark):
     assert {r.record_id: r.duplicate_of for r in R.dedupe_by_title(df).collect()} == {1: None, 2: 1, 3: None}
 
 
+@pytest.mark.parametrize(
+    "one, two, same",
+    [
+        ("van der Berg, Jan", "Berg, J", True), ("Jan van der Berg", "Berg, Jan", True), ("Wei, Zhang", "Zhang, Wei", True), ("Smith, J", "Smith, K", False),
+        ("WHO Study Group", "WHO Study Group", True), ("WHO Study Group", "Group, W", False), ("Smith, J", None, True), ("Smith J", "J Smith", True),
+    ],
+)
+def test_titles_are_one_work_by_author(spark, one, two, same):
+    rows = [(1, "Effects of aspirin on mortality", "2019", one), (2, "Effects of aspirin on mortality", "2019", two)]
+    df = R.finish_records(spark.createDataFrame(rows, "record_id long, title string, year string, authors string"))
+    assert {r.record_id: r.duplicate_of for r in R.dedupe_by_title(df).collect()} == {1: None, 2: 1 if same else None}
+
+
+def test_a_large_block_of_one_title(spark):
+    """Thirty thousand different records of one title and year: no limit, and time follows the records."""
+    df = spark.range(1, 30_001).select(F.col("id").alias("record_id"), F.lit("One title that all of them have").alias("title"), F.lit("2019").alias("year"), F.concat(F.lit("Name"), (F.col("id") % 15_000).cast("string"), F.lit(", A")).alias("authors"), F.concat(F.lit("Journal "), (F.col("id") % 3).cast("string")).alias("venue"))
+    df = df.withColumn("venue", F.when(F.col("record_id") > 15_000, F.lit(None)).otherwise(F.col("venue")))
+    assert R.dedupe_by_title(R.finish_records(df)).filter("duplicate_of is not null").count() == 15_000
+
+
 def test_figures():
     assert V.figures_in("About 45.2 million [study 3] and 12,400")[0][1:] == (45.2e6, 0.05e6, "about")
     assert V.figure_backed(1200, 0.5, "about", [("row", 1234.0)]) == "row (approximate)"

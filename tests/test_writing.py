@@ -44,9 +44,9 @@ def test_draw_and_reconcile(spark):
     assert sorted((r.claim, r.n_support, r.n_contradict) for r in claims.collect()) == [("Rises x", 1, 1), ("Rises xxx", 1, 1)]
     merged, sides, reason = W.reconcile_claims(claims, support, "q?", CLIENT)
     row = merged.first()
-    assert reason is None and merged.count() == 1 and (row.claim, row.n_support, row.n_contradict, row.note) == ("Rises xxx", 2, 2, "merged with: 'Rises x'")
+    assert reason is None and merged.count() == 1 and (row.claim, row.n_support, row.n_contradict, row.note) == ("Rises xxx", 2, 2, "also worded as 'Rises x'")
     assert sorted((r.study, r.role) for r in sides.collect()) == [(1, "support"), (2, "contradict"), (3, "support"), (4, "contradict")]
-    assert W.reconcile_claims(claims, support, "q?", CLIENT, most=1)[2].startswith("2 claims")
+    assert W.reconcile_claims(claims, support, "q?", CLIENT, most=2)[0].count() == 1
     assert W.reconcile_claims(claims, support, "q?", mock_client(lambda p: "[1, 2]"))[2]
 
 
@@ -91,3 +91,21 @@ def test_revise(spark, name, after, kept):
     before = "The two trials may suggest a rise of 5 [study 1]."
     row = W.revise(spark.createDataFrame([(1, before)], "section_no int, text string"), mock_client(lambda p: after), (name,)).first()
     assert (row.text == after) == kept and row.kept == ([name] if kept else []) and len(row.refused) == (0 if kept else 1)
+
+
+def test_more_claims_than_a_prompt_lists_all_meet(spark):
+    """Eleven claims, four to a prompt: wordings far apart are still seen together, and groups join through a claim."""
+    claims = spark.createDataFrame([(k, f"claim {'abc'[k % 3]} no {k}", "finding", None, None, None) for k in range(11)], "claim_id bigint, claim string, kind string, moderator string, scope string, note string")
+    support = spark.createDataFrame([(k, 100 + k, "support") for k in range(11)], "claim_id bigint, study bigint, role string")
+    seen = []
+
+    def reply(prompt):
+        lines = [x.split(". ", 1) for x in prompt.partition("\n\n")[2].split("\n")]
+        assert len(lines) <= 4
+        return json.dumps({"groups": [[n for n, t in lines if f"claim {c} " in t] for c in "abc"]})
+
+    merged, moved, reason = W.reconcile_claims(claims, support, "q", mock_client(reply), most=4)
+    assert reason is None and {r.claim_id: r.n_support for r in merged.collect()} == {0: 4, 1: 4, 2: 3}
+    assert moved.count() == 11 and not seen
+    some = mock_client(lambda p: reply(p) if "no 0" in p else "?")
+    assert "replies were lost" in W.reconcile_claims(claims, support, "q", some, most=4)[2]
