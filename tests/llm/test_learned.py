@@ -357,3 +357,14 @@ def test_pipeline(spark, sf_dir):
             docs = out
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
+
+
+def test_recall_of_near_duplicates(spark):
+    """Every document of sf0.01 whose id is divisible by 20, against all: links counted by brute force."""
+    docs = [(r.doc_id, r.text) for r in read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    sets = {i: shingles(t) for i, t in docs}
+    same = dict(docs)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(read_table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    for a in (i for i in sets if i % 20 == 0):
+        linked = [b for b in sets if b != a and ((same[a] or "") == (same[b] or "") or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-12))]
+        assert got[a][1] == len(linked) and {got[b][0] for b in linked} <= {got[a][0]}
