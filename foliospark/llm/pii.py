@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliospark.llm.common import small_batches
+from foliospark.llm.common import carried, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Windows of WINDOW code points every STRIDE; a span up to STRIDE long lies whole in some window.
@@ -490,14 +491,12 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), clean:
     table gives an empty result. Of the input only ``carry`` and text are read; names that begin with __fs_ are the
     operator's own, all others may be carried.
     """
-    from pyspark.sql import types as T
-
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(trained())
-    kept = docs.select(*[F.col(f"`{c}`") for c in carry])
+    send, fields, back = carried(docs, carry)
     extra = ["__fs_base", "__fs_spans", *(["__fs_text"] if clean else [])]
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.StringType()) for c in extra]])
+    schema = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in extra]])
     at = len(carry)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,6 +506,6 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), clean:
             columns = [[joined(b) for b, _ in found], [joined(a) for _, a in found]]
             if clean:
                 columns.append([None if t is None else redact(t, a) if a else t for t, (_, a) in zip(texts, found, strict=True)])
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], *[pa.array(c, pa.string()) for c in columns]], [*carry, *extra])
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], *[pa.array(c, pa.string()) for c in columns]], [*[f.name for f in fields], *extra])
 
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("__fs_in")).mapInArrow(batches, schema)
+    return docs.select(*send, F.col("text").alias("__fs_in")).mapInArrow(batches, schema).select(*back, *extra)

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliospark.llm.common import held_out, small_batches
+from foliospark.llm.common import carried, held_out, small_batches
 
 #: Labelled documents used for learning, of each class at most (a hash of the id picks them), and pairs drawn.
 SAMPLE, PAIRS = 4000, 60_000
@@ -137,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     chosen = usable.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     # ids and labels only, about 2 x sample rows at any corpus size; sent back out whole, so no text is shuffled
     few = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in chosen.collect()], "doc_id bigint, y int")
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("y", "text")).collect()
+    # an id is one document here, however many rows repeat it
+    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = _featured(picked.select("y", "text")).collect()
     order = sorted(rows, key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in order]).reshape(len(order), len(FEATURES))
     return Scorer(x, np.array([r.y for r in order], np.int64))
@@ -147,12 +150,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, car
     """Columns ``carry`` of every document, and score (0 to 1), from the text alone.
 
     A null text is an empty one. Without labels of both classes every score is CUT, so nothing is rejected.
-    Repeated rows are scored each.
+    Repeated rows are scored each and an empty table gives an empty result. A very long text is read whole. Columns
+    that are carried may have any name but one that begins with __fs_; others are not read.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    fields = docs.select(*[F.col(f"`{c}`") for c in carry]).schema
-    names = [*carry, "__fs_score"]
+    send, fields, back = carried(docs, carry)
+    names = [*[f.name for f in fields], "__fs_score"]
     at = len(carry)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +165,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, car
             x = np.array([features(t or "") for t in texts]).reshape(len(texts), len(FEATURES))
             yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(model.value(x))], names)
 
-    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("__fs_text"))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*fields.fields, T.StructField("__fs_score", T.DoubleType())])
-    return source.mapInArrow(batches, schema)
+    schema = T.StructType([*fields, T.StructField("__fs_score", T.DoubleType())])
+    return docs.select(*send, F.col("text").alias("__fs_text")).mapInArrow(batches, schema).select(*back, "__fs_score")
