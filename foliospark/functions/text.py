@@ -69,8 +69,9 @@ def sentences_of(text: Column) -> Column:
 
 def lexical_terms(text: Column, min_chars: int = 2) -> Column:
     """Lower-cased runs of letters, marks and digits of at least ``min_chars``; unspaced scripts as pairs."""
-    kept = F.regexp_replace(text_or_empty(text), r"[^\p{L}\p{M}\p{N}\s]", " ")
-    words = F.filter(F.split(F.lower(kept), r"\s+"), lambda w: w != "")
+    lowered = F.lower(text_or_empty(text))
+    runs = F.regexp_extract_all(lowered, F.lit(rf"[\p{{L}}\p{{M}}\p{{N}}]{{{min_chars},}}"), F.lit(0))
+    words = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
     run = rf"[{DENSE_SCRIPTS}][{DENSE_SCRIPTS}\p{{Lm}}\p{{M}}]*"
     plain = F.filter(words, lambda w: ~w.rlike(f"[{DENSE_SCRIPTS}]") & (F.length(w) >= min_chars))
 
@@ -84,7 +85,7 @@ def lexical_terms(text: Column, min_chars: int = 2) -> Column:
 
     dense = F.flatten(F.transform(F.filter(words, lambda w: w.rlike(f"[{DENSE_SCRIPTS}]")), from_dense))
     # one look at the whole text spares most texts a look at every word
-    return F.when(text_or_empty(text).rlike(f"[{DENSE_SCRIPTS}]"), F.concat(plain, dense)).otherwise(F.filter(words, lambda w: F.length(w) >= min_chars))
+    return F.when(text_or_empty(text).rlike(f"[{DENSE_SCRIPTS}]"), F.concat(plain, dense)).otherwise(runs)
 
 
 def is_not_found(answer: Column) -> Column:

@@ -96,7 +96,8 @@ def api_key(variable: str) -> str:
 def http_client(
     url: str, key_variable: str, model: str, tries: int = 5, timeout: float = 120.0, headers: dict[str, str] | None = None, effort: str | None = None,
 ) -> Client:
-    """Chat completions over HTTP; the key is read from an environment variable on the executor, never shipped."""
+    """Chat completions over HTTP; the key is read from an environment variable on the executor, never shipped. What the
+    model is told before a prompt's kind goes as the system's message."""
     extra = checked_headers(headers)
     if effort is not None and effort not in EFFORTS:
         raise ValueError(f"an effort is one of {', '.join(EFFORTS)}")
@@ -105,10 +106,14 @@ def http_client(
         import urllib.error
         import urllib.request
 
+        from foliospark.plans.prompts import system_prompt
+
         key = api_key(key_variable)
 
         def send(prompt: str, params: dict) -> tuple[str, str]:
-            asked = {"model": model, "messages": [{"role": "user", "content": prompt}], **({"reasoning_effort": effort} if effort else {}), **params}
+            told = system_prompt(prompt)
+            messages = [*([{"role": "system", "content": told}] if told else []), {"role": "user", "content": prompt}]
+            asked = {"model": model, "messages": messages, **({"reasoning_effort": effort} if effort else {}), **params}
             body = json.dumps(asked).encode()
             for attempt in range(tries):
                 request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}", **extra})
@@ -221,6 +226,71 @@ def read_json(reply: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\}|\[.*\])", 1), schema, {"mode": "PERMISSIVE"})
 
 
+_KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+
+
+def schema_problem(value, schema: dict, at: str = "reply") -> str | None:
+    """The first thing about a JSON value that its schema (type, enum, required, properties, items,
+    additionalProperties) does not allow; None if it fits."""
+    kinds = schema.get("type")
+    if kinds is not None:
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        fits = any(isinstance(value, _KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number")) or (k == "integer" and isinstance(value, float) and value == int(value)) for k in kinds)
+        if not fits:
+            return f"{at} is no {' or '.join(kinds)}"
+    if "enum" in schema and value not in schema["enum"]:
+        return f"{at} is none of {', '.join(map(str, schema['enum']))}"
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        for name in schema.get("required", ()):
+            if name not in value:
+                return f"{at} lacks {name}"
+        for name, inner in value.items():
+            if name in known:
+                if problem := schema_problem(inner, known[name], f"{at}.{name}"):
+                    return problem
+            elif schema.get("additionalProperties") is False:
+                return f"{at} has {name}, which the schema does not"
+    if isinstance(value, list) and "items" in schema:
+        for k, inner in enumerate(value):
+            if problem := schema_problem(inner, schema["items"], f"{at}[{k}]"):
+                return problem
+    return None
+
+
+def reply_problem(reply: str | None, schema: dict) -> str | None:
+    """Why a reply is no JSON value of the schema; a code fence or prose around it is put up with."""
+    m = re.search(r"(?s)(\{.*\}|\[.*\])", reply or "")
+    try:
+        return schema_problem(json.loads(m[1] if m else reply or ""), schema)
+    except json.JSONDecodeError as e:
+        return f"reply is no JSON: {e.msg}"
+
+
+def call_json(requests: DataFrame, client: Client | Desk, schema: dict, tries: int = 2) -> DataFrame:
+    """``call`` for replies that are JSON of a schema: adds ``problem``, null where the reply fits.
+
+    A reply that does not fit is asked for again, with what was wrong, ``tries`` times in all; the last one stands.
+    """
+
+    @F.pandas_udf("string")
+    def check(replies: pd.Series) -> pd.Series:
+        return replies.map(lambda r: reply_problem(r, schema))
+
+    columns = requests.columns
+    work, done = requests.withColumn("_asked", F.col("prompt")), None
+    for n in range(tries):
+        told = cut(call(work, client).withColumn("problem", F.when(F.col("ok"), check("reply"))))
+        last = n == tries - 1
+        good = told if last else told.filter(F.col("problem").isNull())
+        done = good if done is None else done.unionByName(good)
+        if last or told.filter("problem is not null").isEmpty():
+            break
+        again = F.concat("_asked", F.lit("\n\nThe last reply could not be used: "), "problem", F.lit("."))
+        work = told.filter("problem is not null").select(*columns, "_asked", again.alias("_again")).withColumn("prompt", F.col("_again")).drop("_again")
+    return done.withColumn("prompt", F.col("_asked")).drop("_asked")
+
+
 # ---------------------------------------------------------------- admission and ledger
 @dataclass(frozen=True)
 class Governor:
