@@ -91,7 +91,7 @@ def q_replay_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_call_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of which a cache knows half."""
     rows = read_table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("QUESTION: q\n\nthe "), "props").alias("prompt"))
-    cache = M.cacheable(M.call(rows.filter("event_id % 2 = 0"), CLIENT)).drop("shard")
+    cache = M.cacheable(M.call(rows.filter("event_id % 2 = 0"), CLIENT))
     return M.call(rows, CLIENT, cache).select("event_id", "reply", "ok", "cached")
 
 

@@ -165,14 +165,22 @@ def q_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sentence_id", F.when(F.col("value") == 987654, "invented").otherwise("total").alias("number"), "backed")
 
 
-@register(oracle=r"""
-    SELECT conv_id, turn, len(regexp_extract_all(lower(t), '\b(?:may|might|could|suggest|appear|seem|small|few)'))::INTEGER AS hedges, len(regexp_extract_all(lower(t), '\b(?:prove|confirm|clearly show)'))::INTEGER AS boosters,
-           len(regexp_extract_all(lower(t), '\b(?:all|never|every)\b'))::INTEGER AS universals
-    FROM (SELECT conv_id, turn, regexp_replace(text, '[^\s]*(?i:may|might|could|suggest|appear|seem|indicat|tend|possibl|potential|small|few|cannot|caution|prove|establish|confirm|all|every|always|never|none|demonstrat)[^\s]*', '', 'g')
-          || ' This may suggest that few all never prove' AS t FROM conversations)""")
+#: Said behind each turn, one of them by its number.
+_SAID = [
+    "This may suggest a small effect.", "All trials prove it, and always did.", "Evidence is limited; further research could help, but none confirms.", "It was shown.", "Possibly few, seemingly many: no studies demonstrate it conclusively.",
+    "Clear evidence shows that every arm gained.", "Consistently, invariably, it appears unproven.",
+]
+_SAID_SQL = "(['" + "', '".join(_SAID) + "'])[(conv_id + turn) % 7 + 1]"
+_stems = lambda words, whole=False: r"'\b(?:" + "|".join(words) + (r")\b" if whole else ")") + "'"
+
+
+@register(oracle=f"""
+    WITH t AS (SELECT conv_id, turn, lower(text || ' ' || {_SAID_SQL}) AS t FROM conversations)
+    SELECT conv_id, turn, len(regexp_extract_all(t, {_stems(R.HEDGES)}))::INTEGER AS hedges, len(regexp_extract_all(t, {_stems(R.BOOSTERS)}))::INTEGER AS boosters, len(regexp_extract_all(t, {_stems(R.UNIVERSALS, True)}))::INTEGER AS universals FROM t""")
 def q_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stems = r"[^\s]*(?i:may|might|could|suggest|appear|seem|indicat|tend|possibl|potential|small|few|cannot|caution|prove|establish|confirm|all|every|always|never|none|demonstrat)[^\s]*"
-    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.regexp_replace("text", stems, ""), F.lit(" This may suggest that few all never prove")).alias("t"))
+    """Every turn as it is, with one of seven sentences behind it."""
+    said = F.array(*[F.lit(x) for x in _SAID])[((F.col("conv_id") + F.col("turn")) % 7).cast("int")]
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), said).alias("t"))
     return R.strength(turns, "t").select("conv_id", "turn", "hedges", "boosters", "universals")
 
 

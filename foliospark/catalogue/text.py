@@ -49,7 +49,18 @@ def q_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(terms, " ")).alias("terms"))
 
 
-@register()
+_ABBREVIATED = "|".join(sorted((a.replace(".", r"\.") for a in X.ABBREVIATIONS), key=len, reverse=True))
+#: RE2 looks neither ahead nor behind, so what stands around a cut is captured and put back; points inside numbers are
+#: marked twice, for "1.2.3".
+_GUARDED = r"""regexp_replace(regexp_replace(regexp_replace(text, '\b(""" + _ABBREVIATED + r""")\.', '\1' || chr(1), 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g')"""
+_OPENING = r"""["''(\[«“„‘¿¡「『]?"""
+
+
+@register(oracle=rf"""
+    WITH g AS (SELECT doc_id, regexp_replace({_GUARDED}, '([.!?؟۔।॥])[ \t]+({_OPENING}[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}])', '\1' || chr(2) || '\2', 'g') AS t FROM documents),
+    p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, chr(2) || '|\n{{2,}}'), lambda x: trim(regexp_replace(replace(x, chr(1), '.'), '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS ss FROM g),
+    u AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS k FROM p)
+    SELECT doc_id, k::INTEGER AS sentence_no, md5(sentence) AS sentence_md5, length(sentence)::INTEGER AS chars FROM u""")
 def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     parts = docs.select("doc_id", F.posexplode(X.sentences_of(F.col("text"))).alias("sentence_no", "sentence"))
@@ -167,6 +178,27 @@ def q_clean_running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "doc_id", F.md5("text").alias("cleaned"))
 
 
+_EDGES = "string_split_regex(t, '\\n{2,}')"
+
+
+@register(oracle=f"""
+    WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+    b AS (SELECT doc_id, t, flatten(list_transform({_EDGES}, lambda x: list_distinct([string_split(x, chr(10))[1], string_split(x, chr(10))[-1]]))) AS ls FROM d),
+    r AS (SELECT doc_id, t, list_filter(list_distinct(ls), lambda x: trim(x) <> '' AND length(x) <= 80 AND len(list_filter(ls, lambda y: y = x)) >= 3) AS again FROM b)
+    SELECT doc_id, md5(CASE WHEN len(again) = 0 THEN t ELSE array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT list_contains(again, x)), chr(10)) END) AS cleaned FROM r""")
+def q_clean_headers_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a paragraph of its own."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"))
+    return docs.select("doc_id", F.md5(C.CLEANERS["headers_footers"].run(F.col("t"))).alias("cleaned"))
+
+
+@register(oracle=r"""
+    WITH d AS (SELECT doc_id, replace(replace(replace(nfc_normalize(text), 'ß', ' '), 'æ', ' '), 'œ', ' ') AS t FROM documents)
+    SELECT doc_id, md5(regexp_replace(strip_accents(t), '[^\x00-\x7F]', ' ', 'g')) AS cleaned FROM d""")
+def q_clean_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(C.CLEANERS["ascii_only"].run(F.col("text"))).alias("cleaned"))
+
+
 @register()
 def q_clean_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_NOISY).alias("noisy"))

@@ -79,3 +79,56 @@ def register_tokenizer(name: str, count: Callable[[Column], Column]) -> None:
 def count_tokens(text: Column, tokenizer: str = "heuristic") -> Column:
     """Tokens of a text; null and blank texts have none, and no count is below 0."""
     return F.greatest(F.coalesce(TOKENIZERS[tokenizer](text), F.lit(0)), F.lit(0)).cast("int")
+
+
+def register_vocabulary(name: str, path: str) -> None:
+    """A tokenizer that counts with a vocabulary file of the tokenizers library; the file's text goes with the function,
+    so executors need no file. Texts are counted in batches."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    loaded: dict = {}
+
+    @F.pandas_udf(T.IntegerType())
+    def count(texts):
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded["one"] = Tokenizer.from_str(text)
+        return texts.map(lambda t: len(loaded["one"].encode(t, add_special_tokens=False).ids)).astype("int32")
+
+    register_tokenizer(name, lambda c: count(F.coalesce(c, F.lit(""))))
+
+
+def truncate_text(text: str, n: int, count: Callable[[str], int], marker: str = " [...]", long_unit: int = 16) -> str:
+    """The longest prefix of whole words within ``n`` tokens, then the marker, which counts too and is left out where it
+    takes half of ``n`` or more. A word over ``long_unit`` tokens is cut by characters."""
+    if count(text) <= n:
+        return text
+    tail = marker if count(marker) < n / 2 else ""
+    ends = [m.end() for m in re.finditer(r"\S+", text)]
+
+    def fitting(spots: list[int]) -> int:
+        low, high = 0, len(spots)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if count(text[: spots[mid - 1]] + tail) <= n:
+                low = mid
+            else:
+                high = mid - 1
+        return spots[low - 1] if low else 0
+
+    end = fitting(ends)
+    after = next((m for m in [re.compile(r"\S+").search(text, end)] if m), None)
+    if after and count(after[0]) > long_unit:
+        end = max(end, fitting(list(range(after.start() + 1, after.end()))))
+    return text[:end] + tail
+
+
+def truncate_tokens(text: Column, n: int, marker: str = " [...]") -> Column:
+    """``truncate_text`` by the heuristic count."""
+
+    @F.pandas_udf(T.StringType())
+    def cut(texts):
+        return texts.map(lambda t: t if t is None else truncate_text(t, n, estimate_tokens, marker))
+
+    return cut(text)

@@ -201,13 +201,14 @@ def _send(todo: DataFrame, client: Client, concurrency: int | None = None) -> Da
 
 
 def cacheable(replies: DataFrame) -> DataFrame:
-    """What a cache may keep: good, complete, not from the cache already; partitioned by the key's first byte."""
+    """What a cache may keep: good, complete, not from the cache already; a row a key."""
     keep = replies.filter(F.col("ok") & (F.col("finish_reason") != "length") & ~F.col("cached"))
-    return keep.select(*[c.split()[0] for c in REPLY.split(", ")]).dropDuplicates(["key"]).withColumn("shard", F.substring("key", 1, 2))
+    return keep.select(*REPLY_COLUMNS).dropDuplicates(["key"])
 
 
 def write_cache(replies: DataFrame, path: str) -> None:
-    cacheable(replies).write.mode("append").partitionBy("shard").parquet(path)
+    """Append to a cache; a key that is written twice is harmless, since a look-up takes one row a key."""
+    cacheable(replies).write.mode("append").parquet(path)
 
 
 def replay(requests: DataFrame, recorded: DataFrame, client: str, order: str) -> DataFrame:
@@ -385,7 +386,7 @@ def _call_at(requests: DataFrame, desk: Desk, concurrency: int | None) -> DataFr
         F.lit(0).alias("tokens_in"), F.lit(0).alias("tokens_out"), F.lit(0.0).alias("seconds"), F.lit(False).alias("cached"),
     )
     answered = sent.unionByName(refused).unionByName(known.withColumn("cached", F.lit(True)))
-    cacheable(sent).drop("shard").write.mode("append").parquet(f"{desk.folder}/cache")
+    write_cache(sent, f"{desk.folder}/cache")
     paid = lambda c: F.when(F.col("cached") | F.col("error").startswith("refused"), 0.0).otherwise(c)
     cost = F.lit(None).cast("double") if usd_in is None else F.col("tokens_in") / 1e6 * usd_in + F.col("tokens_out") / 1e6 * (usd_out or 0.0)
     told = answered.join(_distinct(named).select("key", "prompt"), "key").join(judged.select("key", "refused"), "key", "left").withColumn("usd", F.coalesce(paid(cost), cost))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import clean as C
 from foliospark.functions import text as X
+from foliospark.functions import tokens as T
 from foliospark.functions.tokens import estimate_tokens
 
 
@@ -54,3 +55,50 @@ def test_token_estimate():
     assert estimate_tokens("東京") == 6
     assert estimate_tokens("\U0001f600") == 10
     assert estimate_tokens("1\n2\n3") >= 8
+
+
+def test_truncation_by_tokens(spark):
+    words = lambda t: len(t.split())
+    assert T.truncate_text("a b c", 3, words) == "a b c" and T.truncate_text("a  b c d e f", 5, words) == "a  b c d [...]"
+    assert T.truncate_text("a b c d", 2, words) == "a b"
+    letters = lambda t: len(t)
+    assert T.truncate_text("ab " + "x" * 40, 20, letters, "") == "ab " + "x" * 17
+    got = spark.createDataFrame([("word " * 500,), ("short",), (None,)], "t string").select(T.truncate_tokens(F.col("t"), 50).alias("c")).collect()
+    assert T.estimate_tokens(got[0].c) <= 50 and got[0].c.endswith(" [...]") and got[1].c == "short" and got[2].c is None
+
+
+def test_counts_with_a_vocabulary_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    T.register_vocabulary("bytes", path)
+    library = Tokenizer.from_file(path)
+    texts = ["hello there", "日本語", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.count_tokens(F.col("t"), "bytes").alias("n")).collect()
+    assert {r.t: r.n for r in got} == {t: len(library.encode(t or "", add_special_tokens=False).ids) for t in texts}
+
+
+def test_heuristic_counts_are_the_function(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", T.count_tokens(F.col("text")).alias("n")).collect()
+    assert all(r.n == T.estimate_tokens(r.text) for r in rows)
+
+
+def test_sparse_vectors_against_plain_python(spark, sf_dir):
+    """Hashed bags of terms: xxh64 of the term, 1 + ln of its count, unit length."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    from foliospark.operators import rank as R
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", X.lexical_terms(F.col("text"), 3).alias("terms"))
+    got: dict = {}
+    for r in R.lexical_embed(docs, "doc_id", "text").collect():
+        got.setdefault(r.doc_id, {})[r.slot] = r.weight
+    for r in docs.collect():
+        slots = Counter((xxhash.xxh64(t.encode(), seed=42).intdigest() - (1 << 64) * (xxhash.xxh64(t.encode(), seed=42).intdigest() >> 63)) % 512 for t in r.terms)
+        size = math.sqrt(sum((1 + math.log(n)) ** 2 for n in slots.values()))
+        assert got.get(r.doc_id, {}).keys() == slots.keys()
+        assert all(abs(got[r.doc_id][k] - (1 + math.log(n)) / size) < 1e-9 for k, n in slots.items())
