@@ -128,6 +128,24 @@ ORACLES = {
         )
         SELECT doc_id, n_lines, n_chunks, n_removed, md5(t) AS text_md5, length(t)::INTEGER AS n_chars FROM out
     """,
+    "op4_line_runs": r"""
+        WITH l AS (
+            SELECT doc_id, u.line, u.i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+                   LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i) u
+        ), n AS (
+            SELECT doc_id, i AS lo, line AS a, lead(i) OVER w AS hi, lead(line) OVER w AS b FROM l WHERE regexp_matches(line, '\S')
+            WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), p AS (
+            SELECT *, min({'d': doc_id, 'lo': lo, 'hi': hi}) OVER (PARTITION BY a, b) AS first FROM n WHERE hi IS NOT NULL
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = first.d AND lo = first.hi THEN lo + 1 ELSE lo END, hi + 1)) AS i
+            FROM p WHERE NOT (doc_id = first.d AND lo = first.lo)
+        ), out AS (
+            SELECT doc_id, count(*)::INTEGER AS n_lines, count(g.i)::INTEGER AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS t
+            FROM l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, n_lines, n_removed, md5(t) AS text_md5, length(t)::INTEGER AS n_chars FROM out
+    """,
     "op10_url_filter": rf"""
         WITH rules(verdict, host, path) AS (VALUES {_RULES}),
         p AS (
