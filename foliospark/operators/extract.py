@@ -62,21 +62,29 @@ def _is_word(value: Column, words: list[str]) -> Column:
     return F.lower(F.trim(value)).isin(*words)
 
 
+def _bind(value: Column, run) -> Column:
+    """``run`` over a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), run)[0]
+
+
 def numeric_token(value: Column, exponent: bool) -> Column:
     """The one number in a text: thousands commas checked, "0,85" a fraction, none if a scale word follows."""
-    folded = F.regexp_replace(value, "[\\u2010-\\u2013\\u2212\\ufe63\\uff0d]", "-")
     e = r"(?:[eE][-+]?[0-9]+)?" if exponent else ""
     run = rf"[-+]?(?:[0-9]|\.[0-9])[0-9.,]*{e}"
-    found = F.regexp_extract_all(folded, F.lit(f"({run})"), F.lit(1))
-    body = F.regexp_replace(F.element_at(found, 1), r"[.,]+$", "")
-    tail = F.regexp_extract(folded, rf"{run}(.*)$", 1)
-    scaled = tail.rlike(rf"(?i)^\s*(?:{SCALES})(?![a-z])|^[km](?![a-z])|^\s?(?:bn|mn)(?![a-z])")
-    mantissa = F.regexp_replace(F.regexp_extract(body, r"^[-+]?([0-9.,]+)", 1), r"[.,]+$", "")
-    plain = mantissa.rlike(r"^(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)$")
-    thousands = mantissa.rlike(r"^[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\.[0-9]+)?$")
-    fraction = mantissa.rlike(r"^0,[0-9]+$")
-    text = F.when(plain, body).when(thousands, F.replace(body, F.lit(","), F.lit(""))).when(fraction, F.replace(body, F.lit(","), F.lit(".")))
-    return F.when((F.size(found) == 1) & ~scaled, text.try_cast("double"))
+    scale = rf"(?i)^\s*(?:{SCALES})(?![a-z])|^[km](?![a-z])|^\s?(?:bn|mn)(?![a-z])"
+
+    def number(body: Column) -> Column:
+        mantissa = F.regexp_replace(F.regexp_extract(body, r"^[-+]?([0-9.,]+)", 1), r"[.,]+$", "")
+        plain, thousands, fraction = r"^(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)$", r"^[1-9][0-9]{0,2}(?:,[0-9]{3})+(?:\.[0-9]+)?$", r"^0,[0-9]+$"
+        text = lambda m: F.when(m.rlike(plain), body).when(m.rlike(thousands), F.replace(body, F.lit(","), F.lit(""))).when(m.rlike(fraction), F.replace(body, F.lit(","), F.lit(".")))
+        return _bind(mantissa, text).try_cast("double")
+
+    def one(folded: Column) -> Column:
+        found = F.regexp_extract_all(folded, F.lit(f"({run})"), F.lit(1))
+        single = lambda f: F.when((F.size(f) == 1) & ~F.regexp_extract(folded, rf"{run}(.*)$", 1).rlike(scale), _bind(F.regexp_replace(f[0], r"[.,]+$", ""), number))
+        return _bind(found, single)
+
+    return F.when(value.isNotNull(), _bind(F.regexp_replace(value, "[\\u2010-\\u2013\\u2212\\ufe63\\uff0d]", "-"), one))
 
 
 def coerce(value: Column, field: Field) -> Column:

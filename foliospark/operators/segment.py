@@ -238,12 +238,13 @@ def seg_fixed(blocks: DataFrame, spec: SegmentSpec) -> DataFrame:
     joined = blocks.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("block_id", "text"))).alias("b"))
     words = joined.select("document", F.flatten(F.transform("b", lambda x: words_of(x["text"]))).alias("w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - cap) / stride).cast("int"))
-    starts = words.select("document", "w", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)).alias("k", "start"))
-    body = F.array_join(F.slice("w", F.col("start") + 1, cap), " ")
+    # windows are cut inside the row, so a document's words are copied once an overlap and not once a window
+    window = lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", k * stride + 1, cap), " ").alias("text"), F.least(F.size("w") - k * stride, F.lit(cap)).alias("tokens"))
+    cut = words.withColumn("last", last).withColumn("windows", F.transform(F.sequence(F.lit(0), F.col("last")), window))
+    rows = cut.select("document", F.explode_outer("windows").alias("x")).select("document", "x.*")
     none = lambda kind: F.lit(None).cast(kind)
-    return starts.select(
-        "document", (F.col("k") + 1).alias("chunk_id"), body.alias("text"),
-        F.least(F.size("w") - F.col("start"), F.lit(cap)).alias("tokens"), F.length(body).alias("chars"),
+    return rows.select(
+        "document", (F.col("k") + 1).alias("chunk_id"), "text", "tokens", F.length("text").alias("chars"),
         none("int").alias("page"), none("string").alias("section"), none("int").alias("block_id"),
     )
 
