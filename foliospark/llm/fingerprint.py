@@ -107,14 +107,15 @@ def document_fingerprints(docs: DataFrame, k: int = K, size: int = TUPLE) -> Dat
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("v"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = cut(base.groupBy("v").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("need")))
     links = cut(next_descending(sizes).join(sizes, "v"))
-    # both uses of base are dealt by v with the same columns, so the texts are shuffled once; what travels to the
-    # document before is an opening of a third of its size and one fingerprint
-    sent = base.join(links.select(F.col("v").alias("to"), F.col("next").alias("v"), "need"), "v")
-    sent = fingerprint_columns(sent, "text", "nfp", k, size).select("to", F.expr("left(text, need)").alias("opening"), "nfp")
+    # both uses of printed are dealt by v with the same columns, so each text is read, fingerprinted and shuffled once;
+    # what travels to the document before is an opening of a third of its size and one fingerprint
+    printed = fingerprint_columns(base, "text", "fp", k, size)
+    sent = printed.join(links.select(F.col("v").alias("to"), F.col("next").alias("v"), "need"), "v")
+    sent = sent.select("to", F.expr("left(text, need)").alias("opening"), F.col("fp").alias("nfp"))
     received = sent.groupBy("to").agg(F.min("opening").alias("opening"), F.min("nfp").alias("nfp"))
-    both = base.join(received.withColumnRenamed("to", "v"), "v").withColumn("n", F.length("text"))
-    both = both.select("v", "text", "n", "nfp", F.expr("concat(left(text, n - n div 3), left(opening, cast(n div 3 as int)))").alias("edited"))
-    both = fingerprint_columns(fingerprint_columns(both, "text", "fp", k, size), "edited", "efp", k, size)
+    both = printed.join(received.withColumnRenamed("to", "v"), "v").withColumn("n", F.length("text"))
+    both = both.select("v", "text", "fp", "n", "nfp", F.expr("concat(left(text, n - n div 3), left(opening, cast(n div 3 as int)))").alias("edited"))
+    both = fingerprint_columns(both, "edited", "efp", k, size)
     return both.select(
         F.nullif(F.col("v"), none).alias("doc_id"),
         F.col("n").cast("bigint").alias("n_chars"),
