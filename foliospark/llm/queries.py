@@ -64,7 +64,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts are of base spans; n_added counts what the network adds."""
+    """Counts by kind are of base spans; n_added counts what the network adds, n_spans both."""
     found = pii.personal_data(read_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.regexp_extract_all("__fs_base", F.lit(f"{kind}:"), F.lit(0))).cast("bigint").alias(f"n_{kind}")
     commas = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ",")))
@@ -74,6 +74,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("__fs_base", 256).alias("base_sha256"),
         F.col("__fs_spans").alias("spans"),
         (commas("__fs_spans") - commas("__fs_base")).cast("bigint").alias("n_added"),
+        commas("__fs_spans").cast("bigint").alias("n_spans"),
     )
 
 
