@@ -71,12 +71,14 @@ _FRAMES = "CASE doc_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'excluded' ELSE 'kept'
     SELECT sampled_from, tp, fn, fp, tn, round(CASE WHEN sampled_from = 'all' THEN tp / nullif(tp + fn, 0)::DOUBLE END, 6) AS sensitivity, round(CASE WHEN sampled_from = 'all' THEN tn / nullif(tn + fp, 0)::DOUBLE END, 6) AS specificity,
            round(CASE WHEN sampled_from IN ('all', 'kept') THEN tp / nullif(tp + fp, 0)::DOUBLE END, 6) AS precision, round(CASE WHEN sampled_from IN ('all', 'excluded') THEN p END, 6) AS false_omission,
            round(CASE WHEN sampled_from IN ('all', 'excluded') THEN least(1.0, ((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)) END, 6) AS false_omission_high,
-           round(CASE WHEN sampled_from = 'excluded' THEN 1000 * p END, 6) AS projected_lost FROM w""")
+           round(CASE WHEN sampled_from = 'excluded' THEN (SELECT count(*) FROM t WHERE decision = 'exclude') * p END, 6) AS projected_lost FROM w""")
 def q_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     human = read_table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("document"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("human_decision"), F.expr(_FRAMES).alias("sampled_from"), F.lit(1000).alias("frame_n"),
+        F.col("doc_id").alias("document"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("human_decision"), F.expr(_FRAMES).alias("sampled_from"),
     )
-    out = S.calibrate(screened(spark, sf_dir), human)
+    table = screened(spark, sf_dir)
+    frame = table.agg(F.sum((F.col("decision") == "exclude").cast("int")).alias("frame_n"))
+    out = S.calibrate(table, human.crossJoin(F.broadcast(frame)))  # one row
     rates = ["sensitivity", "specificity", "precision", "false_omission", "false_omission_high", "projected_lost"]
     return out.select("sampled_from", "tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in rates])
 
