@@ -231,14 +231,3 @@ def drop_running_heads(df: DataFrame, group: str, key: str, text: str, least: in
     body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
     whole = df.select(group, key).join(joined.select(group, key, body.alias("body")), [group, key], "left")
     return whole.select(group, key, F.coalesce("body", F.lit("")).alias(text))
-
-
-def drop_numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Line-level form of the "12." rule, as a window over lines."""
-    lines = df.select(key, F.posexplode(F.split(text_or_empty(F.col(text)), "\n")).alias("line_no", "line"))
-    before = F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))
-    number = F.col("line").rlike(r"^[ \t]*[0-9]{1,4}[ \t]*\.[ \t]*$")
-    alone = before.isNull() | (F.trim(before) == "") | before.rlike(r"""[.!?]["')\]]*[ \t]*$""")
-    out = lines.withColumn("line", F.when(number & alone, "").otherwise(F.col("line")))
-    rows = out.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
-    return rows.select(key, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias(text))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import count_words, has_content, sentences_of, words_of
+from foliospark.functions.text import count_words, has_content, sentences_of, truncate_words, words_of
 from foliospark.functions.tokens import count_tokens, estimate_tokens
 
 CHUNKS = "document string, chunk_id int, text string, tokens int, chars int, page int, section string, block_id int"
@@ -285,10 +285,28 @@ def section_runs(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("starts", changed.cast("int")).withColumn("run", F.sum("starts").over(order)).drop("starts")
 
 
+#: A line that heads what follows: marked, numbered, named as a part, or in capitals; it ends no sentence.
+HEADING = r"^(?:#{1,6}[ \t]+\S|(?:[0-9]{1,2}(?:\.[0-9]{1,2})*\.?|[IVX]{1,5}\.|[A-Z]\.)[ \t]+\p{Lu}|(?i:chapter|section|part|appendix)[ \t]+(?:[0-9]+|[IVX]+|[A-Z])\b|[\p{Lu}0-9][\p{Lu}0-9 ,:&'()/-]{2,}$)"
+HEADING_WORDS = 30
+
+
+def inferred_sections(blocks: DataFrame) -> DataFrame:
+    """Sections of documents that have none: each from a block of one short line that reads like a heading. The heading
+    is the section's name then, and stays a block only where nothing follows it. Documents with a section are left alone."""
+    whole, order = Window.partitionBy("document"), Window.partitionBy("document").orderBy("block_id")
+    line = F.trim("text")
+    looks = (F.max("section").over(whole).isNull()) & ~line.contains("\n") & (count_words(line) < HEADING_WORDS) & line.rlike(HEADING) & ~line.rlike(r"[.!?;,]$")
+    marked = blocks.withColumn("_head", looks)
+    named = marked.withColumn("section", F.coalesce("section", F.last(F.when(F.col("_head"), F.regexp_replace(line, r"^#+[ \t]*", "")), ignorenulls=True).over(order)))
+    followed = ~F.coalesce(F.lead("_head").over(order), F.lit(True))
+    return named.withColumn("_drop", F.col("_head") & followed).filter(~F.col("_drop")).drop("_head", "_drop")
+
+
 @register_segmenter("structural")
 def seg_structural(blocks: DataFrame, spec: SegmentSpec) -> DataFrame:
-    """Packing inside each run of one section, never across; a chunk of a named section opens with its heading."""
-    runs = section_runs(blocks).withColumn("ord", F.col("block_id"))
+    """Packing inside each run of one section, never across; a chunk of a named section opens with its heading. Documents
+    without sections get those that their headings tell."""
+    runs = section_runs(inferred_sections(blocks)).withColumn("ord", F.col("block_id"))
     keyed = runs.withColumn("document", F.to_json(F.struct("document", "run"))).drop("run")
     room = replace(spec, max_tokens=max(spec.max_tokens - 8, 16))
     chunks = _pack(keyed, room, "\n\n").withColumn("at", F.from_json("document", "document string, run int"))
@@ -355,6 +373,19 @@ def with_context(chunks: DataFrame, source: str | None = None) -> DataFrame:
     return chunks.withColumn("source_text", F.col("text")).withColumn("text", F.concat(F.lit("["), parts, F.lit("]\n"), "text"))
 
 
+def with_model_context(chunks: DataFrame, client, source: str | None = None, words: int = 60) -> DataFrame:
+    """Chunks behind a line that a model writes from the chunk and the document's opening; where the call fails or says
+    nothing, behind the line of with_context. source_text keeps the chunk itself."""
+    from foliospark.operators.model import call
+
+    opening = chunks.groupBy("document").agg(F.min_by("text", "chunk_id").alias("_opening"))
+    plain = with_context(chunks, source)
+    asked = call(plain.join(opening, "document").withColumn("prompt", F.concat(F.lit("CONTEXT:\n\n"), truncate_words(F.col("_opening"), 200), F.lit("\n\n"), "source_text")), client)
+    said = truncate_words(F.regexp_extract(F.trim(F.coalesce("reply", F.lit(""))), r"^[^\n]*", 0), words)
+    text = F.when(F.col("ok") & has_content(said), F.concat(F.lit("["), said, F.lit("]\n"), "source_text")).otherwise(F.col("text"))
+    return asked.select(*[text.alias(c) if c == "text" else F.col(c) for c in plain.columns])
+
+
 def semantic_boundaries(units: DataFrame, group: str, order: str, vector: str, percent: float = 0.9) -> DataFrame:
     """Add ``distance`` to the unit before (cosine) and ``piece``: a new piece starts where the distance is at or
     above the group's percentile (linear interpolation)."""

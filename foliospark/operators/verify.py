@@ -22,6 +22,17 @@ NEGATIONS = set("not no never none neither nor without cannot can't don't doesn'
 #: Number words.
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+#: Number words of German, French and Spanish; tens join units by a word between or a hyphen.
+FOREIGN = {
+    "de": ("null ein zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn", {"zwanzig": 20, "dreissig": 30, "vierzig": 40, "fünfzig": 50, "sechzig": 60, "siebzig": 70, "achtzig": 80, "neunzig": 90}),
+    "fr": ("zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf", {"vingt": 20, "trente": 30, "quarante": 40, "cinquante": 50, "soixante": 60, "quatre-vingt": 80, "quatre-vingts": 80}),
+    "es": ("cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve", {"veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "sesenta": 60, "setenta": 70, "ochenta": 80, "noventa": 90}),
+}
+FOREIGN_SCALE = {"hundert": 100, "tausend": 1000, "cent": 100, "cents": 100, "mille": 1000, "ciento": 100, "cien": 100, "mil": 1000, "million": 1e6, "millionen": 1e6, "millions": 1e6, "millón": 1e6, "millones": 1e6}
+#: Han digits and powers.
+HAN = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
+HAN_POWERS, HAN_MYRIADS = {"十": 10, "百": 100, "千": 1000}, {"万": 10**4, "亿": 10**8}
+ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 SCALE = {"hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12, "k": 1e3, "m": 1e6, "bn": 1e9, "mn": 1e6}
 
 
@@ -205,9 +216,83 @@ def resolve_pages(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- numbers
+def han_number(word: str) -> int | None:
+    """一千二百三 as 1203 (digits, powers of ten, myriads), 二〇一九 as 2019."""
+    if all(c in HAN for c in word):
+        return int("".join(str(HAN[c]) for c in word))
+    total = section = digit = 0
+    for c in word:
+        if c in HAN:
+            digit = HAN[c]
+        elif c in HAN_POWERS:
+            section, digit = section + (digit or 1) * HAN_POWERS[c], 0
+        elif c in HAN_MYRIADS:
+            total, section, digit = total + (section + digit or 1) * HAN_MYRIADS[c], 0, 0
+        else:
+            return None
+    return total + section + digit
+
+
+def roman_number(word: str) -> int | None:
+    """A numeral of two letters or more that is written the one right way."""
+    total, before = 0, 0
+    for c in reversed(word):
+        v = ROMAN[c]
+        total, before = (total - v if v < before else total + v), max(before, v)
+    spelled, left = "", total
+    for v, r in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        spelled, left = spelled + r * (left // v), left % v
+    return total if spelled == word else None
+
+
+def _foreign_table(language: str) -> dict[str, int]:
+    """Words below a hundred, by rule: tens, and tens joined with units the way of the language."""
+    units, tens = FOREIGN[language]
+    table = {w.replace("ß", "ss"): i for i, w in enumerate(units.split())} | tens
+    small = [w.replace("ß", "ss") for w in units.split()]
+    if language == "de":
+        table |= {f"{small[u]}und{t}": v + u for t, v in tens.items() for u in range(1, 10)} | {"eins": 1, "eine": 1, "einer": 1}
+    elif language == "es":
+        table |= {f"{t} y {small[u]}": v + u for t, v in tens.items() if v > 20 for u in range(1, 10)} | {f"veinti{w}": 20 + u for u, w in enumerate("uno dós trés cuatro cinco séis siete ocho nueve".split(), 1)}
+    else:
+        over = {"soixante": 60, "quatre-vingt": 80}
+        table |= {f"{t}-{small[u]}": v + u for t, v in tens.items() if t != "quatre-vingts" for u in range(1, 20 if t in over else 10)}
+        table |= {f"{t} et un": v + 1 for t, v in tens.items()} | {"soixante et onze": 71, "soixante-dix": 70, "quatre-vingt-dix": 90}
+    return table
+
+
+FOREIGN_WORDS = {language: _foreign_table(language) for language in FOREIGN}
+_NAMES = {language: "|".join(sorted(map(re.escape, [*table, *FOREIGN_SCALE]), key=len, reverse=True)) for language, table in FOREIGN_WORDS.items()}
+_RUNS = {language: (re.compile(rf"(?<![\w-])(?:{names})(?:(?:[ -]| et | y )?(?:{names}))*(?![\w-])"), re.compile(names)) for language, names in _NAMES.items()}
+
+
+def foreign_numbers(text: str) -> list[float]:
+    """Numbers in words of German, French or Spanish, and in Han numerals. A single word under a hundred counts
+    by itself; with hundreds, thousands and millions it is multiplied and added as it is said."""
+    out: list[float] = []
+    for language, table in FOREIGN_WORDS.items():
+        runs, name = _RUNS[language]
+        for run in runs.finditer(text):
+            words = name.findall(run[0])
+            total = section = 0.0
+            for w in words:
+                scale = FOREIGN_SCALE.get(w)
+                if scale is None:
+                    section += table[w]
+                elif scale == 100:
+                    section = (section % 100 or 1) * 100 + (section - section % 100)
+                else:
+                    total, section = total + (section or 1) * scale, 0.0
+            if not (len(words) == 1 and words[0] in ("un", "uno", "ein", "eine", "einer", "six", "million", "mil", "cent", "cents")):
+                out.append(total + section)
+    out += [n for w in re.findall(rf"[{''.join([*HAN, *HAN_POWERS, *HAN_MYRIADS])}]+", text) if (n := han_number(w)) is not None]
+    return out
+
+
 def quote_numbers(text: str) -> list[float]:
-    """Values a sentence states: digits with separators and scale words, per cent, "1 in 5", fractions, English number words."""
-    text = normalise(text)
+    """Values a sentence states: digits with separators and scale words, per cent, "1 in 5", fractions, number words
+    of four languages, Han and (in capitals) Roman numerals."""
+    written, text = text, normalise(text)
     out: list[float] = []
     taken = []
     for m in re.finditer(r"(\d+)\s+(?:in|of|out of)\s+(\d+)\b", text):
@@ -242,7 +327,8 @@ def quote_numbers(text: str) -> list[float]:
             if current is not None or total is not None:
                 out.append((total or 0) + (current or 0))
             total = current = None
-    return out
+    romans = re.findall(r"(?<![\w'])[IVXLCDM]{2,}(?![\w'])", written)
+    return out + foreign_numbers(text) + [n for w in romans if (n := roman_number(w.lower())) is not None]
 
 
 def value_among(value: float, text: str, tolerance: float = 1e-9) -> bool:

@@ -20,6 +20,7 @@ PROMPTS = {
     "FILL": f"Fill the fields of the schema from the text, as a JSON object. Where the text is silent the value is null. Each __quote is the sentence of the text behind its value, word for word. {GROUND}",
     "SCREEN": 'Decide on the opening of a document by the criteria listed. Reply with a JSON object {"decision": "include", "exclude" or "unclear", "criterion": the criterion that excludes it as listed, "reason": one sentence, "quote": the words of the text behind it}.',
     "STATEMENTS": "Rewrite the text as statements that each stand alone, with names in place of pronouns. Reply with a JSON array of strings.",
+    "CONTEXT": "Here is the opening of a document and a part of it. Say in one line what the part is about and where in the document it belongs.",
     "CLAIMS": 'Draw the claims that these studies support. Reply with {"claims": [{"claim", "kind": "finding", "method" or "gap", "moderator", "scope", "studies": [ids that support it], "contradicts": [ids against it]}]}.',
     "SAME": 'Which of these claims say the same? Reply with {"groups": [[numbers], ...]}; leave out claims that stand alone.',
     "OUTLINE": 'Group the claims into sections. Reply with {"sections": [{"heading", "brief", "claims": [ids]}]}.',

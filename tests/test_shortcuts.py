@@ -40,7 +40,7 @@ def test_a_reply_that_does_not_fit_is_asked_for_once_more(spark):
 
 
 def test_every_kind_of_request_has_a_prompt():
-    kinds = [P.ASK, P.EVIDENCE, P.MERGE, P.SUMMARY, P.DRAFT, P.MARK, P.PLAN, P.STEP, P.FILL, P.SCREEN, W.CLAIMS, W.MERGE_CLAIMS, W.OUTLINE, W.WRITE, W.JOIN, W.REVISE, "STATEMENTS"]
+    kinds = [P.ASK, P.EVIDENCE, P.MERGE, P.SUMMARY, P.DRAFT, P.MARK, P.PLAN, P.STEP, P.FILL, P.SCREEN, W.CLAIMS, W.MERGE_CLAIMS, W.OUTLINE, W.WRITE, W.JOIN, W.REVISE, "STATEMENTS", "CONTEXT"]
     assert set(kinds) == set(T.PROMPTS) and T.system_prompt(f"{P.MARK}: how?\n\nx") == T.PROMPTS["SCORE"] and T.system_prompt("anything") is None
 
 

@@ -59,3 +59,29 @@ def test_reference_sheets_come_back_from_spreadsheets(spark, tmp_path):
     (tmp_path / "a" / "edited.csv").write_bytes("Human_Decision;document;frame_n;sampled_from\r\nInclude;d1;10;excluded\r\nperhaps;\"d;3\";x;excluded\r\n;;;\r\n".encode("utf-16"))
     got = {r.document: (r.human_decision, r.frame_n, r.sampled_from) for r in S.read_reference_csv(spark, str(tmp_path / "a")).collect()}
     assert got == {"d1": ("include", 10, "excluded"), "d;3": (None, None, "excluded")}
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("fünfundzwanzig Patienten", 25), ("zweihundertdreissig Fälle", 230), ("dreitausend Betten", 3000), ("vingt-cinq malades", 25), ("quatre-vingt-dix-sept cas", 97), ("soixante et onze cas", 71), ("deux cent trente", 230),
+        ("treinta y dos casos", 32), ("veintidós casos", 22), ("dos mil trescientos", None), ("mil doscientos", None), ("共有一千二百零三人", 1203), ("二〇一九年", 2019), ("三万五千", 35000), ("Chapter XIV", 14), ("the mix of it", None), ("a civil matter", None),
+        ("zwölf Millionen", 12e6),
+    ],
+)
+def test_numbers_in_other_words(text, value):
+    found = V.quote_numbers(text)
+    assert (value in found) if value is not None else not any(x > 2000 or x in (14, 1009) for x in found)
+
+
+def test_sections_are_told_by_headings(spark):
+    from foliospark.operators import segment as G
+    from foliospark.operators.model import mock_client
+
+    blocks = [("a", 1, "1. Introduction"), ("a", 2, "Body of it."), ("a", 3, "METHODS AND DATA"), ("a", 4, "We did this."), ("a", 5, "And that."), ("a", 6, "Appendix B"), ("b", 1, "No heading here, a sentence."), ("b", 2, "2 apples were eaten")]
+    df = spark.createDataFrame(blocks, "document string, block_id int, text string")
+    chunks = G.segment(df, G.SegmentSpec("structural", 100))
+    got = [(r.document, r.section, r.text) for r in chunks.orderBy("document", "chunk_id").collect()]
+    assert got == [("a", "1. Introduction", "## 1. Introduction\n\nBody of it."), ("a", "METHODS AND DATA", "## METHODS AND DATA\n\nWe did this.\n\nAnd that."), ("a", "Appendix B", "## Appendix B\n\nAppendix B"), ("b", None, "No heading here, a sentence.\n\n2 apples were eaten")]
+    said = G.with_model_context(chunks, mock_client(lambda p: "" if "apples" in p else "What it is about.\nMore"), "src").orderBy("document", "chunk_id").collect()
+    assert said[0].text == "[What it is about.]\n" + said[0].source_text and said[3].text.startswith("[src | Part 1 of 1]")
