@@ -119,10 +119,11 @@ def _apply(joined: DataFrame, columns: list[str], window: int, divisor: int) ->
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, key, ``lines``, ``at`` (numbers of the lines that are not blank) and ``h`` (md5 of every line)."""
+    """doc_id, key, ``lines``, ``at`` (numbers of the lines that are not blank) and ``h`` (md5 of every line). The key
+    tells the texts of one id apart, so 64 bits do."""
     return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-        .withColumn("key", F.unhex(F.md5("body")))
+        .withColumn("key", F.xxhash64("body"))
         .withColumn("lines", F.split("body", "\n", -1))
         .withColumn("at", F.expr(r"filter(sequence(0, size(lines) - 1), i -> lines[i] rlike '\\S')"))
         .withColumn("h", F.expr("transform(at, i -> unhex(md5(lines[i])))"))
@@ -162,7 +163,7 @@ def line_runs(docs: DataFrame) -> DataFrame:
     empty result. A very long text takes time in proportion to its length.
     """
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__fs_id"), F.col("key").alias("__fs_key2"), F.col("gone").alias("__fs_gone"))
-    joined = docs.withColumn("__fs_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    joined = docs.withColumn("__fs_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = joined.join(gone, F.col("doc_id").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_key") == F.col("__fs_key2")), "left")
     lined = joined.withColumn("__fs_l", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     kept = F.expr("transform(array_except(sequence(0, size(__fs_l) - 1), __fs_gone), i -> __fs_l[i])")
