@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import count_words, has_content, sentences_of, truncate_words, words_of
-from foliospark.functions.tokens import count_tokens, estimate_tokens
+from foliospark.functions.tokens import count_tokens, estimate_tokens, estimated_within
 
 CHUNKS = "document string, chunk_id int, text string, tokens int, chars int, page int, section string, block_id int"
 
@@ -116,15 +116,23 @@ _COUNTERS: dict[str, Callable[[str], int]] = {
 }
 
 
-def _longest_prefix(parts: list[str], joiner: str, cap: int, count: Callable[[str], int]) -> int:
-    """Most leading parts whose joined count is within ``cap``, by galloping and bisection; at least 1."""
+def _within(count: Callable[[str], int], cap: int) -> Callable[[str], bool]:
+    """Whether a text's count is within ``cap``; the estimate need not look at all of a text far beyond it."""
+    return (lambda t: estimated_within(t, cap)) if count is estimate_tokens else (lambda t: count(t) <= cap)
+
+
+def _longest_prefix(parts: list[str], joiner: str, fits: Callable[[str], bool], start: int = 0, head: tuple[str, ...] = ()) -> int:
+    """Most leading parts, of ``head`` and then of parts from ``start`` on, that fit together, by galloping and
+    bisection; at least 1."""
+    total, before = len(head) + len(parts) - start, len(head)
+    text = lambda k: joiner.join([*head, *parts[start : start + k - before]])
     low, high = 1, 2
-    while high <= len(parts) and count(joiner.join(parts[:high])) <= cap:
+    while high <= total and fits(text(high)):
         low, high = high, high * 2
-    high = min(high, len(parts) + 1)
+    high = min(high, total + 1)
     while high - low > 1:
         mid = (low + high) // 2
-        if count(joiner.join(parts[:mid])) <= cap:
+        if fits(text(mid)):
             low = mid
         else:
             high = mid
@@ -133,22 +141,24 @@ def _longest_prefix(parts: list[str], joiner: str, cap: int, count: Callable[[st
 
 def hard_split(text: str, cap: int, count: Callable[[str], int]) -> list[str]:
     """Pieces within ``cap``: words first, characters of a word that is itself too long."""
-    if count(text) <= cap:
+    fits = _within(count, cap)
+    if fits(text):
         return [text]
-    words, out = text.split(), []
-    while words:
-        if count(words[0]) > cap:
-            letters = list(words.pop(0))
-            while letters:
-                k = _longest_prefix(letters, "", cap, count)
-                if count("".join(letters[:k])) > cap:
+    words, at, out = text.split(), 0, []
+    while at < len(words):
+        if not fits(words[at]):
+            letters, i = list(words[at]), 0
+            at += 1
+            while i < len(letters):
+                k = _longest_prefix(letters, "", fits, i)
+                if not fits("".join(letters[i : i + k])):
                     raise ValueError(f"one character costs more than the cap of {cap} tokens")
-                out.append("".join(letters[:k]))
-                letters = letters[k:]
+                out.append("".join(letters[i : i + k]))
+                i += k
             continue
-        k = _longest_prefix(words, " ", cap, count)
-        out.append(" ".join(words[:k]))
-        words = words[k:]
+        k = _longest_prefix(words, " ", fits, at)
+        out.append(" ".join(words[at : at + k]))
+        at += k
     return out
 
 
@@ -162,16 +172,17 @@ def pack_texts(
     """
     cap = max(16, cap)
     overlap, least = min(overlap, cap - 1), min(least, cap)
+    fits = _within(count, cap)
     units = [(piece, k) for k, t in enumerate(texts) if t.strip() for piece in hard_split(t, cap, count)]
+    body = [u for u, _ in units]
     chunks: list[tuple[str, list[int], str]] = []
     at = 0
     tail = ""
     while at < len(units):
-        head = [tail] if tail and count(joiner.join([tail, units[at][0]])) <= cap else []
-        body = [u for u, _ in units[at:]]
-        k = _longest_prefix(head + body, joiner, cap, count) - len(head)
+        head = (tail,) if tail and fits(joiner.join([tail, body[at]])) else ()
+        k = _longest_prefix(body, joiner, fits, at, head) - len(head)
         k = max(k, 1)
-        own = joiner.join(body[:k])
+        own = joiner.join(body[at : at + k])
         chunks.append((joiner.join([*head, own]), [i for _, i in units[at : at + k]], own))
         at += k
         tail = ""
@@ -184,7 +195,7 @@ def pack_texts(
             tail = " ".join(words[-take:]) if take else ""
     merged: list[tuple[str, list[int], str]] = []
     for text, ids, own in chunks:
-        if merged and least and count(own) < least and count(joiner.join([merged[-1][0], own])) <= cap:
+        if merged and least and count(own) < least and fits(joiner.join([merged[-1][0], own])):
             before = merged.pop()
             merged.append((joiner.join([before[0], own]), before[1] + ids, joiner.join([before[2], own])))
         else:
@@ -255,8 +266,10 @@ SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", "; ", ", ", " "]
 
 def recursive_pieces(text: str, cap: int, count: Callable[[str], int], level: int = 0) -> list[str]:
     """Cut at the coarsest separator, each piece keeping it at its end; cut pieces over the cap at the next finer."""
-    if count(text) <= cap:
+    if _within(count, cap)(text):
         return [text]
+    while level < len(SEPARATORS) and SEPARATORS[level] not in text:
+        level += 1
     if level == len(SEPARATORS):
         return hard_split(text, cap, count)
     parts = text.split(SEPARATORS[level])
@@ -266,16 +279,19 @@ def recursive_pieces(text: str, cap: int, count: Callable[[str], int], level: in
 
 @register_segmenter("recursive")
 def seg_recursive(blocks: DataFrame, spec: SegmentSpec) -> DataFrame:
+    """A document's blocks joined, cut and packed; documents reach Python many to a batch."""
     count, cap = _COUNTERS[spec.tokenizer], spec.max_tokens
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_id", kind="stable")
-        pieces = recursive_pieces("\n\n".join(pdf.text), cap, count)
-        packed = pack_texts(pieces, cap, spec.overlap, spec.min_tokens, "", count)
-        rows = [(pdf.document.iloc[0], k, text, count(text), len(text), None, None, None) for k, (text, _) in enumerate(packed, 1)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"page": "Int32", "block_id": "Int32"})
-
-    return blocks.groupBy("document").applyInPandas(run, CHUNKS)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for document, text in zip(pdf.document, pdf.text, strict=True):
+                packed = pack_texts(recursive_pieces(text, cap, count), cap, spec.overlap, spec.min_tokens, "", count)
+                rows += [(document, k, t, count(t), len(t), None, None, None) for k, (t, _) in enumerate(packed, 1)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"page": "Int32", "block_id": "Int32"})
+
+    listed = blocks.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("block_id", "text"))).alias("b"))
+    return listed.select("document", F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("text")).mapInPandas(run, CHUNKS)
 
 
 def section_runs(blocks: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,28 @@ def test_mmr_chooses_out_of_all_rows(spark):
     got = R.mmr(spark.createDataFrame(data, "g string, k long, s double, v array<double>"), "k", "s", "v", 3, 0.5, "g").orderBy("g", "position").collect()
     want = {g: R.mmr_order(np.array([r[2] for r in data if r[0] == g]), np.array([r[3] for r in data if r[0] == g]), 3, 0.5) for g in "ab"}
     assert want["a"] == [0, 300, 301] and {g: [r.k for r in got if r.g == g] for g in "ab"} == want
+
+
+def test_recursive_segments_look_at_little_text(spark, monkeypatch):
+    """Documents reach Python in batches, and packing estimates a few times a document's characters, not a multiple for
+    each separator."""
+    from foliospark.functions import tokens as T
+
+    blocks = spark.createDataFrame([("d", k, "One sentence; two parts, and a stop. " * 5) for k in range(40)], "document string, block_id int, text string")
+    made = S.segment(blocks, S.SegmentSpec("recursive", 120, tokenizer="heuristic"))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    assert max(r.tokens for r in made.collect()) <= 120
+    seen, by_run = [], T._by_run
+    monkeypatch.setattr(T, "_by_run", lambda text: seen.append(len(text)) or by_run(text))
+    text = "\n\n".join(r.text for r in blocks.collect())
+    S.pack_texts(S.recursive_pieces(text, 120, T.estimate_tokens), 120, 0, 0, "", T.estimate_tokens)
+    assert sum(seen) < 6 * len(text)
+
+
+@pytest.mark.parametrize("text", ["a", " a", "a ", "  a  b \n\n c.\n\n\nd", "\n \n x", "end.\n\n", "stop...\n \n  (odd)", "it's\n", ".\n\n \n", "12345 a1 $b", "x.\n \n"])
+def test_estimate_by_run_is_the_estimate_by_match(text):
+    from foliospark.functions import tokens as T
+
+    assert math.isclose(sum(T._by_run(text)), sum(T._by_match(text)))
+    exact = T.estimate_tokens(text)
+    assert [T.estimated_within(text, n) for n in (exact - 1, exact)] == [False, True]
