@@ -342,10 +342,14 @@ def quote_backs_value(quote: pd.Series, value: pd.Series) -> pd.Series:
 
 # ---------------------------------------------------------------- citations
 def cite_pattern(word: str) -> str:
-    """One marker: the word, ids or ranges in a list, and a locator none of whose numbers is an id."""
+    """One marker: the word, ids or ranges in a list, and a locator none of whose numbers is an id.
+
+    The list gives nothing back (``*+``): no locator begins where an id could stand, and giving back takes a Java stack
+    frame an id, which a list of thousands overflows.
+    """
     plural = {"study": "stud(?:y|ies)"}.get(word, f"{word}s?")
     number = r"[0-9]+(?:\s*[-‐-―−]\s*[0-9]+)?"
-    more = rf"(?:\s*(?:[,;&]|and)(?:\s*(?:and|&))?\s*(?:{plural}\s+)?{number})*"
+    more = rf"(?:\s*(?:[,;&]|and)(?:\s*(?:and|&))?\s*(?:{plural}\s+)?{number})*+"
     locator = rf"(?:\s*[,;:]?\s*(?:pp?\.|pages?\b|paras?\.|paragraphs?\b|sec(?:tion)?s?\b\.?|lines?\b|§)(?:(?!{plural}\s+[0-9])[^\]])*)?"
     return rf"(?i)\[{plural}\s+({number}{more}){locator}\]"
 

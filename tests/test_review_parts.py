@@ -222,3 +222,11 @@ def test_a_cache_that_is_a_plan_runs_once(spark):
     got = M.call(asked, client, cache).collect()
     assert {(r.prompt, r.reply, r.cached) for r in got} == {(f"p{k}", f"P{k}", k < 3) for k in range(5)} and len(got) == 20
     assert runs.value == 5
+
+
+def test_a_citation_may_list_thousands(spark):
+    """Thousands of ids in one marker: the pattern keeps no stack frame an id."""
+    text = "Shown [studies " + ", ".join(map(str, range(1, 20_001))) + ", p. 4]. More [study unknown]."
+    df = spark.createDataFrame([(text,)], "answer string")
+    r = df.select(F.size(Q.cited_ids(F.col("answer"), "study")).alias("c"), Q.unparsed_citations(F.col("answer"), "study").alias("u")).first()
+    assert r.c == 20_000 and r.u == ["[study unknown]"]
