@@ -143,9 +143,10 @@ def claim_order(support: DataFrame, weights: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- bibliography
 def letters(n: Column) -> Column:
-    """1 a, 2 b, ..., 26 z, 27 aa."""
-    letter = lambda k: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), k.cast("int"), F.lit(1))
-    return F.when(n <= 26, letter(n)).otherwise(F.concat(letter(F.floor((n - 1) / 26)), letter(F.pmod(n - 1, F.lit(26)) + 1)))
+    """1 a, 2 b, ..., 26 z, 27 aa, ..., 702 zz; then the first sign goes on through the characters behind z, {a, {b, ...,
+    so no two numbers share one."""
+    sign = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+    return F.when(n <= 26, sign(n + 96)).otherwise(F.concat(sign(F.floor((n - 1) / 26) + 96), sign(F.pmod(n - 1, F.lit(26)) + 97)))
 
 
 def author_year(authors: Column, year: Column, joiner: str = "&") -> Column:

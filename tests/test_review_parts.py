@@ -230,3 +230,9 @@ def test_a_citation_may_list_thousands(spark):
     df = spark.createDataFrame([(text,)], "answer string")
     r = df.select(F.size(Q.cited_ids(F.col("answer"), "study")).alias("c"), Q.unparsed_citations(F.col("answer"), "study").alias("u")).first()
     assert r.c == 20_000 and r.u == ["[study unknown]"]
+
+
+def test_letters_beyond_zz_stay_apart(spark):
+    made = spark.range(1, 20_001).select("id", V.letters(F.col("id")).alias("c"))
+    got = {r.id: r.c for r in made.collect()}
+    assert [got[k] for k in (1, 26, 27, 702, 703, 729, 3433)] == ["a", "z", "aa", "zz", "{a", "|a", "\u00e4a"] and len(set(got.values())) == 20_000
