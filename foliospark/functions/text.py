@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,12 +93,31 @@ def lexical_terms(text: Column, min_chars: int = 2) -> Column:
     return F.when(text_or_empty(text).rlike(f"[{DENSE_SCRIPTS}]"), F.concat(plain, dense)).otherwise(runs)
 
 
+#: The absence verdict alone, and at the head of a reply.
+_ABSENT = r"(?i)^[\p{P}\p{S}\s]*not[_ ]in[_ ]document[\p{P}\p{S}\s]*$"
+_ABSENT_HEAD = r"^[\p{P}\p{S}\s]*(?:(?i:not_in_document|not_in document|not in_document)|NOT IN DOCUMENT)[\p{P}\p{S}]*(?:[.:;,]\s|[。、]|\s*[-–—(\[]|\s*\n)"
+
+
 def is_not_found(answer: Column) -> Column:
     """The absence verdict: blank, the sentinel alone under any decoration, or opening a reply as a token."""
     value = F.trim(text_or_empty(answer))
-    alone = value.rlike(r"(?i)^[\p{P}\p{S}\s]*not[_ ]in[_ ]document[\p{P}\p{S}\s]*$")
-    opens = value.rlike(r"^[\p{P}\p{S}\s]*(?:(?i:not_in_document|not_in document|not in_document)|NOT IN DOCUMENT)[\p{P}\p{S}]*(?:[.:;,]\s|[。、]|\s*[-–—(\[]|\s*\n)")
-    return (value == "") | alone | opens
+    return (value == "") | value.rlike(_ABSENT) | value.rlike(_ABSENT_HEAD)
+
+
+@functools.cache
+def _absent_patterns() -> list[re.Pattern]:
+    """The same patterns for Python, which has no classes of punctuation and symbols: each is spelled out."""
+    signs = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "PS")
+    spelled = lambda p: p.replace("$", r"[\u0085\u2028\u2029]?\Z").replace(r"\p{P}\p{S}", signs)
+    return [re.compile(spelled(p), re.ASCII) for p in (_ABSENT, _ABSENT_HEAD)]
+
+
+def not_found(answer: str | None) -> bool:
+    """``is_not_found`` of one reply, in Python."""
+    value = (answer or "").strip(" ")
+    if not value:
+        return True
+    return "document" in value.lower() and any(p.match(value) for p in _absent_patterns())
 
 
 def is_none_reply(answer: Column) -> Column:

@@ -200,6 +200,41 @@ def _send(todo: DataFrame, client: Client, concurrency: int | None = None) -> Da
     return todo.select("key", "prompt", "params").mapInPandas(run, REPLY)
 
 
+def call_in_turn(rows: DataFrame, client: Client, by: str, order: str, take: Callable, schema: str) -> DataFrame:
+    """A row each group of ``rows``, folded in ``order`` where each request needs the reply before it: ``take(state, row,
+    ask)`` gives the next state, at first of None. A state is a tuple of the schema's columns behind ``by``.
+
+    ask(prompt) -> (reply, ok); as in ``call``, a failed request is a value. A group's rows stream through one task, so
+    none is held whole, and the plan does not grow with the longest group. A Desk, whose limits span all groups, is not
+    for it.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        send = client.make()
+
+        def ask(prompt: str | None) -> tuple[str | None, bool]:
+            try:
+                return send(prompt or "", {})[0], True
+            except Exception:  # the contract: errors are values
+                return None, False
+
+        group = state = None
+        for pdf in parts:
+            done = []
+            for row in pdf.itertuples(index=False):
+                if state is not None and getattr(row, by) != group:
+                    done.append((group, *state))
+                    state = None
+                group = getattr(row, by)
+                state = take(state, row, ask)
+            yield pd.DataFrame(done, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(group, *state)], columns=names)
+
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInPandas(run, schema)
+
+
 def cacheable(replies: DataFrame) -> DataFrame:
     """What a cache may keep: good, complete, not from the cache already; a row a key."""
     keep = replies.filter(F.col("ok") & (F.col("finish_reason") != "length") & ~F.col("cached"))

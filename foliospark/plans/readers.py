@@ -17,11 +17,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import NONE, NOT_FOUND, count_words, has_content, is_none_reply, is_not_found, lexical_terms, premise_split, truncate_words
+from foliospark.functions.text import NONE, NOT_FOUND, count_words, has_content, is_none_reply, is_not_found, lexical_terms, not_found, premise_split, truncate_words
 from foliospark.functions.tokens import count_tokens
 from foliospark.operators import extract as X
 from foliospark.operators import rank as R
-from foliospark.operators.model import Client, call, read_json
+from foliospark.operators.model import Client, Desk, call, call_in_turn, read_json
 from foliospark.operators.verify import cite_pattern, cited_ids, contains_quote, unparsed_citations
 from foliospark.session import cut
 
@@ -178,9 +178,32 @@ def read_map_reduce(chunks: DataFrame, question: str, client: Client, spec: Read
 def read_refine(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
     """A draft carried forward, chunk by chunk; a failed step keeps the draft.
 
-    The fold is sequential by nature: a round a chunk, over the documents that have one left, as many rounds as the
-    longest document has chunks. A document's state leaves the loop with its last chunk.
+    The fold is sequential by nature: a document's chunks pass through one task in order. Documents of equal chunks
+    are read once. At a Desk, whose limits span the documents, each round is a call.
     """
+    if isinstance(client, Desk):
+        return _refine_in_rounds(chunks, question, client)
+    own = cut(chunks.select("document", "chunk_id", "text"))
+    whole = own.groupBy("document").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2("text", 256).alias("text"))))), 256).alias("chunks"))
+    whole = cut(whole)
+    firsts = whole.groupBy("chunks").agg(F.min("document").alias("document"))
+
+    def take(state, row, ask):
+        draft, failed, used, calls = state or (None, False, [], 0)
+        opening = f"{ASK if draft is None else DRAFT}: {question}\n\n" + ("" if draft is None else f"{draft}\n\n")
+        reply, ok = ask(None if row.text is None else f"{opening}[chunk {row.chunk_id}]\n{row.text}")
+        if ok and not not_found(reply):
+            draft, used = reply, [*used, int(row.chunk_id)]
+        return draft, failed or not ok, used, calls + 1
+
+    told = call_in_turn(own.join(firsts.select("document"), "document", "left_semi"), client, "document", "chunk_id", take, "document string, draft string, failed boolean, used array<int>, calls int")
+    done = cut(told).join(firsts, "document").drop("document")
+    return _answers(whole.join(done, "chunks").select("document", F.col("draft").alias("answer"), F.col("failed").alias("partial"), F.array_sort("used").alias("chunks_used"), "calls"), "refine")
+
+
+def _refine_in_rounds(chunks: DataFrame, question: str, client: Client) -> DataFrame:
+    """A round a chunk, over the documents that have one left, as many rounds as the longest document has chunks. A
+    document's state leaves the loop with its last chunk."""
     order = Window.partitionBy("document").orderBy("chunk_id")
     steps = cut(chunks.select("document", "chunk_id", "text", F.row_number().over(order).alias("step"), F.count(F.lit(1)).over(Window.partitionBy("document")).alias("steps")))
     rounds = steps.agg(F.max("step")).first()[0] or 0  # one row

@@ -203,3 +203,33 @@ def test_auto_takes_a_recipe_a_document(spark):
     blocks = spark.createDataFrame([("short", 1, "few words"), ("long", 1, "many words " * 400)], "document string, block_id int, text string")
     got = {r.document: r.reader for r in P.answer_documents(blocks, "q", mock_client(answer), "auto", 600).collect()}
     assert got == {"short": "stuff", "long": "map_reduce"}
+
+
+def test_refine_takes_as_many_jobs_however_long_a_document(spark):
+    """A chunk more is no job more, a failed step keeps the draft and makes the answer partial, copies are read once."""
+
+    def answer(prompt):
+        if "w7 " in prompt:
+            raise OSError("down")
+        return "NOT_IN_DOCUMENT." if prompt.startswith(P.ASK) and "w1 " in prompt else f"{prompt.count('[chunk')} {prompt[-3:]}"
+
+    def jobs(n):
+        rows = [(d, k, f"w{k} {k % 10}", 2) for d in "ab" for k in range(1, n + 1)] + [("c", 1, "w1 1", 2)]
+        spark.sparkContext.setJobGroup(f"refine-{n}", "")
+        got = P.read(spark.createDataFrame(rows, "document string, chunk_id int, text string, tokens int"), "q?", mock_client(answer), P.ReadSpec("refine")).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"refine-{n}")), {r.document: r for r in got}
+
+    few, _ = jobs(3)
+    many, got = jobs(12)
+    assert many == few
+    assert got["a"].partial and got["a"].calls == 12 and got["a"].chunks_used == [2, 3, 4, 5, 6, 8, 9, 10, 11, 12] and got["b"].answer == got["a"].answer
+    assert got["c"].not_found and got["c"].calls == 1
+
+
+def test_the_absence_verdict_is_the_same_in_python(spark):
+    from foliospark.functions.text import is_not_found, not_found
+
+    said = ["", "  ", "**Not in document.**", "NOT_IN_DOCUMENT: it is not", "NOT IN DOCUMENT (none)", "not in document that we have", "It is NOT_IN_DOCUMENT", "€not_in_document\u2028", "not_in_document\u2028\n"]
+    rows = spark.createDataFrame([(s,) for s in said], "s string").select("s", is_not_found(F.col("s")).alias("b")).collect()
+    assert [not_found(r.s) for r in rows] == [r.b for r in rows]
