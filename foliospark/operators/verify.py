@@ -64,13 +64,17 @@ def normalise_column(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(out), r"\s+", " "))
 
 
-def contains_quote(source: Column, quote: Column) -> Column:
-    """Whether the normalised quotation stands in the normalised source between word and number boundaries."""
-    s, q = normalise_column(source), normalise_column(quote)
+def stands_in(s: Column, q: Column) -> Column:
+    """Whether a normalised quotation stands in a normalised source between word and number boundaries."""
     escaped = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<![\p{N}][.,])\Q"), F.replace(q, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}])(?![.,]\p{N})"))
     return (q != "") & F.contains(s, q) & F.rlike(s, escaped)
 
 
+def contains_quote(source: Column, quote: Column) -> Column:
+    """``stands_in`` of both as they are."""
+    return stands_in(normalise_column(source), normalise_column(quote))
+
+
 def in_order(source: str, quote: str) -> bool:
     """Pieces of an elided quotation ("a ... b") in order; a gap may hold no negation and no sentence end."""
     pieces = [p.strip(" .,;") for p in re.split(r"\[?(?:\.{3,}|…)\]?", normalise(quote))]

@@ -22,7 +22,7 @@ from foliospark.functions.tokens import count_tokens
 from foliospark.operators import extract as X
 from foliospark.operators import rank as R
 from foliospark.operators.model import Client, Desk, call, call_in_turn, read_json
-from foliospark.operators.verify import cite_pattern, cited_ids, contains_quote, unparsed_citations
+from foliospark.operators.verify import cite_pattern, cited_ids, contains_quote, normalise_column, stands_in, unparsed_citations
 from foliospark.session import cut
 
 
@@ -183,7 +183,7 @@ def read_refine(chunks: DataFrame, question: str, client: Client, spec: ReadSpec
     """
     if isinstance(client, Desk):
         return _refine_in_rounds(chunks, question, client)
-    own = cut(chunks.select("document", "chunk_id", "text"))
+    own = cut(chunks).select("document", "chunk_id", "text")
     whole = own.groupBy("document").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2("text", 256).alias("text"))))), 256).alias("chunks"))
     whole = cut(whole)
     firsts = whole.groupBy("chunks").agg(F.min("document").alias("document"))
@@ -228,42 +228,42 @@ def _refine_in_rounds(chunks: DataFrame, question: str, client: Client) -> DataF
     return _answers(done.select("document", F.col("draft").alias("answer"), F.col("failed").alias("partial"), F.array_sort("used").alias("chunks_used"), F.col("steps").alias("calls")), "refine")
 
 
-def evidence_lines(asked: DataFrame) -> DataFrame:
-    """(document, chunk_id, line, text, verified) of replies about chunks: whether each line stands in its chunk, its
-    citations aside."""
-    lines = asked.select("document", "chunk_id", F.col("text").alias("_chunk"), F.posexplode(F.split("reply", "\n")).alias("line", "text"))
-    lines = lines.withColumn("text", F.trim(F.regexp_replace("text", cite_pattern("chunk"), " "))).filter(has_content(F.col("text")))
-    return lines.select("document", "chunk_id", "line", "text", contains_quote(F.col("_chunk"), F.col("text")).alias("verified"))
+def loose_lines(reply, chunk):
+    """How many lines of a reply about a chunk, their citations aside, the chunk does not hold."""
+    lines = F.filter(F.transform(F.split(reply, "\n"), lambda x: F.trim(F.regexp_replace(x, cite_pattern("chunk"), " "))), has_content)
+    return F.transform(F.array(normalise_column(chunk)), lambda s: F.size(F.filter(F.transform(lines, normalise_column), lambda q: ~stands_in(s, q))))[0]
 
 
 @register_reader("skim", "all|N+1|none")
 def read_skim(chunks: DataFrame, question: str, client: Client, spec: ReadSpec) -> DataFrame:
     """Evidence from every chunk, NONE dropped, one answer over it. Evidence over the budget is merged in a tree first;
     where the merge gives up short of the budget or one of its calls fails, the answer is over all that is left and
-    partial. So is an answer over evidence with a line that its chunk does not hold; notes count these lines."""
-    asked = cut(_ask(chunks.withColumn("prompt", _prompt(EVIDENCE, question, render())), client))
-    some = asked.filter(F.col("ok") & ~is_none_reply(F.col("reply")))
-    loose = evidence_lines(some).filter(~F.col("verified")).groupBy("document").agg(F.count(F.lit(1)).alias("loose"))
-    found = some.select("document", "chunk_id", F.col("reply").alias("text"), count_words(F.col("reply")).alias("tokens"))
-    packed = _gather(found, "chunk_id").drop("dropped").join(found.groupBy("document").agg(F.sum("tokens").alias("size")), "document")
-    over = packed.filter(F.col("size") > spec.budget).select("document")
-    pieces = found.join(over, "document", "left_semi").select("document", F.col("chunk_id").alias("n"), render().alias("text"))
-    merged = merge_levels(pieces, question, client, spec.budget).withColumnRenamed("calls", "merges")
-    packed = packed.join(merged, "document", "left").withColumn("body", F.coalesce("answer", "body")).drop("answer")
-    final = _ask(packed.withColumn("prompt", _prompt(ASK, question, F.col("body"))), client).select(
-        "document", F.col("reply").alias("answer"), "chunks_used", F.coalesce("merges", F.lit(0)).alias("merges"),
-        (F.coalesce("merge_failed", F.lit(False)) | (F.coalesce("gave_up", F.lit(False)) & (count_words(F.col("body")) > spec.budget))).alias("unmerged"), F.col("ok").alias("final_ok"),
-    )
-    totals = asked.groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("ok")).alias("failed"))
-    out = totals.join(final, "document", "left").join(loose, "document", "left")
-    return _answers(
-        out.select(
-            "document", "answer", (F.col("failed") | F.coalesce("unmerged", F.lit(False)) | ~F.coalesce("final_ok", F.lit(True)) | F.col("loose").isNotNull()).alias("partial"),
-            F.coalesce("chunks_used", F.expr(NO_CHUNKS)).alias("chunks_used"),
-            (F.col("n") + F.coalesce("merges", F.lit(0)) + F.col("final_ok").isNotNull().cast("int")).alias("calls"),
-            F.when(F.col("loose").isNotNull(), F.create_map(F.lit("unverified_lines"), F.col("loose").cast("string"))).alias("notes"),
-        ), "skim",
+    partial. So is an answer over evidence with a line that its chunk does not hold; notes count these lines.
+
+    Only the evidence is kept of a chunk, and a row a document of that, so each plan stays small.
+    """
+    told = _ask(chunks.withColumn("prompt", _prompt(EVIDENCE, question, render())), client)
+    some = F.col("ok") & ~is_none_reply(F.col("reply"))
+    told = told.select("document", "chunk_id", "ok", F.when(some, F.col("reply")).alias("reply"), F.when(some, loose_lines(F.col("reply"), F.col("text"))).alias("loose"), F.when(some, count_words(F.col("reply"))).alias("words"))
+    told = cut(told)
+    found = F.when(F.col("reply").isNotNull(), F.struct("chunk_id", render("reply").alias("r")))
+    rows = told.groupBy("document").agg(
+        F.count(F.lit(1)).alias("n"), F.max(~F.col("ok")).alias("failed"), F.coalesce(F.sum("loose"), F.lit(0)).alias("loose"), F.coalesce(F.sum("words"), F.lit(0)).alias("size"), F.array_sort(F.collect_list(found)).alias("us"),
     )
+    rows = cut(rows.select("document", "n", "failed", "loose", "size", F.array_join(F.transform("us", lambda x: x["r"]), "\n\n").alias("body"), F.transform("us", lambda x: x["chunk_id"]).alias("chunks_used")))
+    over = rows.filter(F.col("size") > spec.budget).select("document")
+    if over.limit(1).count():
+        pieces = told.filter("reply is not null").join(over, "document", "left_semi").select("document", F.col("chunk_id").alias("n"), render("reply").alias("text"))
+        merged = merge_levels(pieces, question, client, spec.budget)
+        body = F.coalesce("answer", "body")
+        unmerged = F.coalesce(F.col("merge_failed") | (F.col("gave_up") & (count_words(body) > spec.budget)), F.lit(False))
+        rows = cut(rows.join(merged, "document", "left").select("document", (F.col("n") + F.coalesce("calls", F.lit(0))).alias("n"), (F.col("failed") | unmerged).alias("failed"), "loose", body.alias("body"), "chunks_used"))
+    some = F.size("chunks_used") > 0
+    final = _ask(rows.filter(some).withColumn("prompt", _prompt(ASK, question, F.col("body"))), client)
+    kept = ["document", "failed", "loose", "chunks_used", (F.col("n") + some.cast("int")).alias("calls")]
+    out = final.select(*kept, F.col("reply").alias("answer"), "ok").unionByName(rows.filter(~some).select(*kept, F.lit(None).cast("string").alias("answer"), F.lit(True).alias("ok")))
+    out = out.withColumns({"partial": F.col("failed") | (F.col("loose") > 0) | ~F.col("ok"), "notes": F.when(F.col("loose") > 0, F.create_map(F.lit("unverified_lines"), F.col("loose").cast("string")))})
+    return _answers(out, "skim")
 
 
 def score_chunks(chunks: DataFrame, question: str) -> DataFrame:
@@ -502,11 +502,11 @@ def read_ensemble(chunks: DataFrame, question: str, client: Client, spec: ReadSp
     signatures = {READERS[m][1] for m in spec.members}
     if len(spec.members) < 2 or len(signatures) < len(spec.members):
         raise ValueError("an ensemble needs at least two readers, each of another signature")
-    rows = None
+    # written once for all members, and each member's answers by themselves: the members' plans never stand in one
+    chunks, rows = cut(chunks), None
     for m in spec.members:
-        one = read(chunks, question, client, replace(spec, reader=m))
+        one = cut(read(chunks, question, client, replace(spec, reader=m)).select("document", "reader", "answer", "partial", "chunks_used", "calls"))
         rows = one if rows is None else rows.unionByName(one)
-    rows = cut(rows)
     lists = rows.groupBy("document").agg(
         F.array_sort(F.collect_list(F.struct("reader", "answer"))).alias("m"), F.sum("calls").alias("inner"), F.max("partial").alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks_used")))).alias("chunks_used"),
     )

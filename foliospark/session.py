@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,18 +45,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "foliospark-checkpoints"))
 
 
+#: Frames that cut() returned, as long as somebody holds them.
+_CUT: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
+
 def cut(df: DataFrame, spread: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: a plan used twice runs once, and what
-    it held survives the loss of any executor.
+    it held survives the loss of any executor. What is such a frame already is not written again.
 
     Without ``spread`` shuffled data arrive in partitions of the advisory size, not one for each core, so a small table
     leaves few files. The setting is put back, as the write has ended by then.
     """
+    if df in _CUT:
+        return df
     spark, name = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
     ensure_checkpoint_dir(spark)
     was = spark.conf.get(name)
     spark.conf.set(name, str(spread and was.lower() == "true").lower())
     try:
-        return df.checkpoint(eager=True)
+        done = df.checkpoint(eager=True)
+        _CUT.add(done)
+        return done
     finally:
         spark.conf.set(name, was)

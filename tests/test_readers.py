@@ -233,3 +233,50 @@ def test_the_absence_verdict_is_the_same_in_python(spark):
     said = ["", "  ", "**Not in document.**", "NOT_IN_DOCUMENT: it is not", "NOT IN DOCUMENT (none)", "not in document that we have", "It is NOT_IN_DOCUMENT", "€not_in_document\u2028", "not_in_document\u2028\n"]
     rows = spark.createDataFrame([(s,) for s in said], "s string").select("s", is_not_found(F.col("s")).alias("b")).collect()
     assert [not_found(r.s) for r in rows] == [r.b for r in rows]
+
+
+def test_an_ensembles_members_stand_in_plans_of_their_own(spark, monkeypatch):
+    """The chunks are made once for all members, and no plan of an ensemble is larger than the largest of a member alone,
+    but for the last call, which reads their written answers."""
+    sizes, made = [], spark.sparkContext.accumulator(0)
+    operators = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    def noted(df, *a, real=P.cut, **b):
+        sizes.append(operators(df))
+        return real(df, *a, **b)
+
+    def counted(parts):
+        for pdf in parts:
+            made.add(len(pdf))
+            yield pdf
+
+    monkeypatch.setattr(P, "cut", noted)
+    chunks = six(spark).mapInPandas(counted, "document string, chunk_id int, text string, tokens int, section string")
+    alone = []
+    for m in ("stuff", "skim", "refine"):
+        alone.append(operators(P.read(six(spark), "how?", mock_client(answer), P.ReadSpec(m))))
+    alone, sizes = [*alone, *sizes], sizes.clear() or sizes
+    got = P.read(chunks, "how?", mock_client(answer), P.ReadSpec("ensemble", members=("stuff", "skim", "refine")))
+    assert [r.calls for r in got.collect()] == [1 + 7 + 6 + 1] and made.value == 6
+    assert max(sizes) <= max(alone) + 2  # the columns that are kept
+
+
+def test_skim_counts_the_lines_that_chunks_do_not_hold(spark):
+    told = {
+        "one": "Part one [chunk 1]\n\n \ntells  of fish", "two": "nothing of this\nfish; [chunk 2]\nnor \\E this", "three": "*NONE*", "four": None, "five": "says",
+    }
+
+    def reply(prompt):
+        word = prompt.split()[-1]
+        if prompt.startswith(P.ASK):
+            return "said"
+        if told[word] is None:
+            raise OSError("down")
+        return told[word]
+
+    rows = [("a", 1, "part one tells of fish and one", 7), ("a", 2, "of fish, \\E says two", 5), ("b", 1, "three", 1), ("b", 2, "four", 1), ("c", 1, "it says five", 3), ("d", 1, "three", 1)]
+    got = {r.document: r for r in P.read(spark.createDataFrame(rows, "document string, chunk_id int, text string, tokens int"), "q?", mock_client(reply), P.ReadSpec("skim")).collect()}
+    assert got["a"].notes == {"unverified_lines": "3"} and got["a"].partial and got["a"].chunks_used == [1, 2] and got["a"].calls == 3
+    assert got["b"].not_found and got["b"].partial and got["b"].chunks_used == [] and got["b"].calls == 2 and got["b"].notes is None
+    assert got["c"].answer == "said" and not got["c"].partial and got["c"].chunks_used == [1] and got["c"].calls == 2 and got["c"].notes is None
+    assert got["d"].not_found and not got["d"].partial and got["d"].calls == 1
